@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, url_filter, warc
+from . import bpe, exact_dedup, mixing, quality, rules, url_filter, warc
 from .common import table
 
 #: Host labels whose urls make up the list of op5.
@@ -17,6 +17,10 @@ def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     host, path = url_filter.host(F.col("url")), url_filter.path(F.col("url"))
@@ -46,6 +50,10 @@ FROM fits
 """
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -69,7 +77,7 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_entropy_mix, op5_url_filter, op7_byte_bpe, op9_warc, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_entropy_mix, op4_quality, op5_url_filter, op6_quality_rules, op7_byte_bpe, op9_warc, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
