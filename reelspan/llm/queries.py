@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, rules, suffix_dedup, url_filter, warc
+from . import bpe, exact_dedup, mixing, quality, rules, suffix_dedup, url_filter, warc, window_dedup
 from .common import table
 
 #: Host labels whose urls make up the list of op5.
@@ -17,6 +17,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
 
 
+def op2_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_dedup.remove_windows(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -81,7 +85,7 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op3_entropy_mix, op4_quality, op5_url_filter, op6_quality_rules, op7_byte_bpe, op9_warc, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_window_dedup, op3_entropy_mix, op4_quality, op5_url_filter, op6_quality_rules, op7_byte_bpe, op9_warc, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
