@@ -8,16 +8,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelspan.llm import bpe, exact_dedup, mixing
-from reelspan.llm.common import stash
+from reelspan.llm import bpe, exact_dedup, jaccard_join, mixing, quality
+from reelspan.llm.common import stash, table
 from reelspan.llm.queries import VOCABULARY
 
 
+def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be of quality 1."""
+    scores = quality.classify(docs, table(spark, sf_dir, "labels"))
+    good = scores.where("predicted = 1").select(F.col("doc_id").alias("good_id")).distinct()
+    return docs.join(good, docs["doc_id"].eqNullSafe(good["good_id"]), "left_semi")
+
+
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup.drop_copies(docs)
 
 
+def dissimilar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest id."""
+    return jaccard_join.drop_similar(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
@@ -32,7 +44,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-STAGES = [("exact dedup", distinct_texts), ("mixing", mixed), ("byte bpe", encoded)]
+STAGES = [("quality", good_texts), ("exact dedup", distinct_texts), ("near copies", dissimilar_texts), ("mixing", mixed), ("byte bpe", encoded)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, rules, suffix_dedup, url_filter, warc, window_dedup
+from . import bpe, exact_dedup, jaccard_join, mixing, quality, rules, suffix_dedup, url_filter, warc, window_dedup
 from .common import table
 
 #: Host labels whose urls make up the list of op5.
@@ -68,6 +68,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_warc(table(spark, sf_dir, "pages"), warc.archive_folder(spark))
     return warc.read_warc(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -85,7 +89,7 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_window_dedup, op3_entropy_mix, op4_quality, op5_url_filter, op6_quality_rules, op7_byte_bpe, op9_warc, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_window_dedup, op3_entropy_mix, op4_quality, op5_url_filter, op6_quality_rules, op7_byte_bpe, op8_jaccard_join, op9_warc, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
