@@ -1,8 +1,10 @@
 """N-gram Jaccard join by vertical partitioning, and the components of its links.
 
-Documents with equal sets of shingles form one class; classes are joined. The global order of shingles is by hash, with those
-that are frequent in some part of the corpus moved to its end, by count. Two classes that are similar enough share a shingle
-among the first of both (a fifth of each set), so candidates meet in the buckets of these.
+Documents with equal sets of shingles form one class; classes are joined. The global order of shingles is by the number of
+sets that hold them, then by hash. Documents are dealt into chunks of some megabytes; each chunk asks the shards of its shingles'
+hashes for these counts. Shards tell shingles apart by 32 bits, which may raise a count, alike for all chunks.
+Two classes that are similar enough share a shingle among the first of both (a fifth of each set), so candidates meet in the
+buckets of these; shingles of one set only meet nothing and are left out.
 Candidate pairs are verified by fragments: the order is cut into FRAGMENTS ranges, each range's part of two sets meets in a task
 of its own that counts the partial overlap, and the counts are summed per pair. Before, two bitmaps of hashed shingles
 bound a pair's difference from below and drop what cannot be similar.
@@ -13,6 +15,7 @@ groups of near copies never turn into all their pairs, and no link between compo
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, cut, stash
-from .window_dedup import _joined, _mix, _parts, word_spans
+from .window_dedup import _joined, _mix, _parts, _runs, _shard, word_spans
 
 WORDS, PERCENT = 5, 80
 FRAGMENTS, BITMAP = 4, 2048
-#: Documents of a part of PART bytes that make a shingle frequent there; most frequent shingles, which are broadcast (16 bytes each).
-OFTEN, PART, FREQUENT = 4, 4 << 20, 100_000
+#: Bytes of text for each chunk and for each shard; bytes of segments that are put out together.
+CHUNK, SHARD, PART = 4 << 20, 12 << 20, 4 << 20
 #: Rows of a bucket's slot; rows of the documents that are broadcast to bring their sets (32 bytes each); members per pivot's slot.
 HOT, BRING, MEMBERS = 50_000, 200_000, 2_000
 #: Neighbour rounds at most, and pairs to compare for each class after which no further round is made.
-ROUNDS, FEW = 6, 4
+ROUNDS, FEW = 4, 4
 _U, _A = np.uint64, np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -45,10 +48,15 @@ def shingles(text: bytes, words: int) -> np.ndarray:
 
 
 class Part:
-    """Sets of some documents, one after the other."""
+    """Sets of a chunk's documents, one after the other, each set once; of: the set of each document."""
 
     def __init__(self, texts: list[bytes], words: int):
-        sets = [shingles(t, words) for t in texts]
+        sets, places, self.of = [], {}, np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            s = shingles(t, words)
+            self.of[i] = places.setdefault(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(sets))
+            if self.of[i] == len(sets):
+                sets.append(s)
         self.n = np.array([len(s) for s in sets], np.int64)
         self.all = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(len(sets)), self.n)
@@ -61,60 +69,73 @@ class Part:
         bits[self.doc, (_mix(self.all) % _U(BITMAP)).astype(np.int64)] = True
         return np.packbits(bits, axis=1)
 
-    def often(self) -> tuple[np.ndarray, np.ndarray]:
+    def items(self, shards: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+        """Distinct shingles in order, how many of the sets hold each, and the shards' runs."""
         values, counts = np.unique(self.all, return_counts=True)
-        return values[counts >= OFTEN], counts[counts >= OFTEN]
+        of = _shard(values, shards)
+        return values, counts, [(int(of[lo]), lo, hi) for lo, hi in _runs(of)]
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
-    lo, part, size = 0, [], 0
-    for k, t in enumerate(batch.column("text")):
-        part.append(t.as_py())
-        size += len(part[-1])
-        if size >= PART:
-            yield lo, k + 1, part
-            lo, part, size = k + 1, [], 0
-    if part:
-        yield lo, batch.num_rows, part
+def _marks(values: np.ndarray) -> np.ndarray:
+    """What a shard tells shingles apart by: 32 bits that its own number doesn't depend on."""
+    return (_mix(values * _A) >> _U(32)).astype(np.uint32)
 
 
-FIRST = "id long, t int, k long, n int, bits binary, s long, c long"
+CHUNK_ROW = "chunk long, shard long, items binary, counts binary"
+_CHUNK_ROW = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("items", pa.binary()), ("counts", pa.binary())])
+#: Rows of documents (id, t, k, n, bits), and rows of shingles in prefixes (s, k, n, slots).
+FIRST = "id long, t int, k long, n int, bits binary, s long, slots int"
+_FIRST = pa.schema([("id", pa.int64()), ("t", pa.int32()), ("k", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("s", pa.int64()), ("slots", pa.int32())])
 
 
-def _first(words: int):
-    """A row for each document and each shingle that is frequent in its part."""
+def _counting(words: int, shards: int):
+    """A chunk's shingles to the shards that count them."""
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "t", "k", "n", "bits", "s", "c"]
-        for b in batches:
-            for lo, hi, texts in _texts(b):
-                p, m = Part(texts, words), hi - lo
-                none = lambda t, n: pa.nulls(n, t)
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(lo, m), b.column("t").slice(lo, m), pa.array(p.key), pa.array(p.n.astype(np.int32)), pa.array([x.tobytes() for x in p.bitmaps()], pa.binary()), none(pa.int64(), m), none(pa.int64(), m)], names)
-                s, c = p.often()
-                yield pa.RecordBatch.from_arrays([none(pa.int64(), len(s)), none(pa.int32(), len(s)), none(pa.int64(), len(s)), none(pa.int32(), len(s)), none(pa.binary(), len(s)), pa.array(s.view(np.int64)), pa.array(c)], names)
+    def group(table: pa.Table) -> pa.Table:
+        values, counts, runs = Part([t.as_py() for t in table.column("text")], words).items(shards)
+        marks, counts, chunk = _marks(values), np.minimum(counts, 255).astype(np.uint8), table.column("chunk")[0].as_py()
+        rows = [(chunk, of, marks[lo:hi].tobytes(), counts[lo:hi].tobytes()) for of, lo, hi in runs]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, _CHUNK_ROW.types)], schema=_CHUNK_ROW)
 
-    return task
+    return group
 
 
-def _prefixes(words: int, percent: int, frequent, hot: int):
-    """The first shingles, in the global order, of each document: shingle, class, size of its set, slots of the shingle's bucket."""
+def _counted(table: pa.Table) -> pa.Table:
+    """A shard's reply to each chunk: eight times the binary logarithm of each shingle's count, 0 for a single one."""
+    items = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("items")]
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("counts")])
+    _, at = np.unique(np.concatenate(items), return_inverse=True)
+    level = np.minimum(np.ceil(8 * np.log2(np.bincount(at, counts))), 255).astype(np.uint8)[at]
+    ends = np.cumsum([len(x) for x in items])
+    replies = pa.array([level[e - len(x) : e].tobytes() for x, e in zip(items, ends)], pa.binary())
+    return pa.Table.from_arrays([table.column("chunk"), table.column("shard"), replies, pa.nulls(len(items), pa.binary())], schema=_CHUNK_ROW)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = frequent.value
-        for b in batches:
-            for _, _, texts in _texts(b):
-                p = Part(texts, words)
-                at = np.minimum(np.searchsorted(known, p.all), max(len(known) - 1, 0))
-                count = np.where(known[at] == p.all, counts[at], 0) if len(known) else np.zeros(len(p.all), np.int64)
-                order = np.lexsort((p.all, count, p.doc))
-                place = np.arange(len(order)) - np.repeat(p.ends - p.n, p.n)
-                few = p.n - (percent * p.n + 99) // 100 + 1
-                pick = order[place < np.repeat(few, p.n)]
-                doc = p.doc[pick]
-                yield pa.RecordBatch.from_arrays([pa.array(p.all[pick].view(np.int64)), pa.array(p.key[doc]), pa.array(p.n[doc].astype(np.int32)), pa.array((1 + count[pick] // hot).astype(np.int32))], ["s", "k", "n", "slots"])
 
-    return task
+def _prefixes(words: int, percent: int, shards: int, hot: int):
+    """A row for each document, and one for each shingle among the first of a set that other sets hold, too."""
+
+    def group(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _FIRST.empty_table()
+        p = Part([t.as_py() for t in table.column("text")], words)
+        told = dict(zip(replies.column("shard").to_pylist(), replies.column("items")))
+        values, _, runs = p.items(shards)
+        levels = np.concatenate([np.frombuffer(told[of].as_py(), np.uint8) for of, _, _ in runs]) if runs else np.zeros(0, np.uint8)
+        level = levels[np.searchsorted(values, p.all)]
+        order = np.lexsort((p.all, level, p.doc))
+        place = np.arange(len(order)) - np.repeat(p.ends - p.n, p.n)
+        few = p.n - (percent * p.n + 99) // 100 + 1
+        pick = order[place < np.repeat(few, p.n)]
+        pick = pick[level[pick] > 0]
+        slots = (1 + 2 ** (level[pick] / 8) // hot).astype(np.int32)
+        bits, n = p.bitmaps(), p.n.astype(np.int32)
+        docs = [table.column("id"), table.column("t"), pa.array(p.key[p.of]), pa.array(n[p.of]), pa.array([bits[i].tobytes() for i in p.of], pa.binary())]
+        found = [pa.array(p.key[p.doc[pick]]), pa.array(n[p.doc[pick]]), pa.nulls(len(pick), pa.binary()), pa.array(p.all[pick].view(np.int64)), pa.array(slots)]
+        none = [pa.nulls(table.num_rows, t) for t in _FIRST.types[5:]]
+        empty = [pa.nulls(len(pick), t) for t in _FIRST.types[:2]]
+        return pa.concat_tables([pa.Table.from_arrays([*docs, *none], schema=_FIRST), pa.Table.from_arrays([*empty, *found], schema=_FIRST)])
+
+    return group
 
 
 def _near(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -273,14 +294,13 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """k, label: the smallest key reachable over edges (x, y). Labels spread to neighbours, then each jumps to its label's label."""
+    """k, label: the smallest key reachable over edges (x, y). Labels spread to neighbours, and each jumps to its label's last label."""
     both = cut(edges.select("x", "y").union(edges.select("y", "x")).distinct())
     labels = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).withColumnRenamed("x", "k"))
     while True:
         near = both.join(labels, both["y"] == labels["k"]).groupBy("x").agg(F.min("label").alias("near"))
         new = labels.join(near, labels["k"] == near["x"]).select("k", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        new = cut(new)
-        up = new.select(F.col("k").alias("u"), F.col("label").alias("up"))
+        up = labels.select(F.col("k").alias("u"), F.col("label").alias("up"))
         new = cut(new.join(up, new["label"] == up["u"]).select("k", "old", F.least("label", "up").alias("label")))
         labels = new.select("k", "label")
         if new.where("label <> old").isEmpty():
@@ -295,17 +315,15 @@ class Join:
         self.words, self.percent, self.hot, self.members = words, percent, hot, members
         text = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
         self.docs = df.select(F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col)).alias("t"), text.alias("text"))
-        self.first = stash(self.docs.mapInArrow(_first(words), FIRST))
-        self.rows = self.first.where("k is not null").select("id", "t", "k", "n")
-        classes = self.first.where("k is not null and n > 0").groupBy("k").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("id", "t")).alias("r"))
+        total = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        chunks, shards = int(total // CHUNK + 1), int(total // SHARD + 1)
+        by_chunk = self.docs.withColumn("chunk", F.pmod(F.xxhash64("id", "t"), F.lit(chunks)).cast("long")).groupBy("chunk")
+        counted = by_chunk.applyInArrow(_counting(words, shards), CHUNK_ROW).groupBy("shard").applyInArrow(_counted, CHUNK_ROW)
+        first = stash(by_chunk.cogroup(counted.groupBy("chunk")).applyInArrow(_prefixes(words, percent, shards, hot), FIRST))
+        self.rows = first.where("s is null").select("id", "t", "k", "n")
+        classes = first.where("s is null and n > 0").groupBy("k").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("id", "t")).alias("r"))
         self.classes = stash(classes)
-
-    def prefixes(self) -> DataFrame:
-        top = self.first.where("s is not null").groupBy("s").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "s").limit(FREQUENT).toArrow()
-        s, c = top.column("s").to_numpy().view(np.uint64), top.column("c").to_numpy()
-        order = np.argsort(s)
-        frequent = self.spark.sparkContext.broadcast((s[order], c[order]))
-        return self.docs.mapInArrow(_prefixes(self.words, self.percent, frequent, self.hot), "s long, k long, n int, slots int")
+        self.prefixes = first.where("s is not null").select("s", "k", "n", "slots")
 
     def meet(self, rows: DataFrame, turn: int, keep: bool) -> DataFrame:
         order = F.xxhash64("k", F.lit(turn))
@@ -338,10 +356,12 @@ class Join:
         return linked.select("x", "y")
 
     def open(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """Rows of buckets that still hold two labels."""
+        """Rows of buckets that still hold two labels; of buckets with the same classes, which shared passages make, one is enough."""
         rows = rows.drop("label").join(labels.withColumnRenamed("k", "l"), F.col("k") == F.col("l"), "left").withColumn("label", F.coalesce("label", "k")).drop("l")
         rows = stash(rows)
-        several = rows.groupBy("s").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("s")
+        held = [F.bit_xor(F.xxhash64("k", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)]
+        several = rows.groupBy("s").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("c"), *held).where("a <> z")
+        several = several.groupBy("c", "h1", "h2").agg(F.min("s").alias("s")).select("s")
         return stash(rows.join(several, "s", "left_semi"))
 
     def cross(self, rows: DataFrame) -> DataFrame:
@@ -355,7 +375,7 @@ class Join:
 
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links that connect all components, and the labels of the classes they touch."""
-        met = self.prefixes().withColumn("label", F.col("k"))
+        met = self.prefixes.withColumn("label", F.col("k"))
         met = stash(self.meet(met, 0, True))
         links = stash(self.verified(met.where("y is not null").select(F.col("k").alias("x"), "y"), True))
         labels = components(links)
