@@ -1,0 +1,16 @@
+"""The folder that the driver and all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="reelspan-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
