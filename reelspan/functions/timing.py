@@ -37,9 +37,9 @@ def clock(seconds: Column) -> Column:
 
 def human_size(n: Column) -> Column:
     """Bytes in B, KB, MB, GB or TB with one decimal from KB on."""
-    out = F.concat(F.format_number(n / 1024.0**4, "0.0"), F.lit(" TB"))
+    out = F.concat(F.format_string("%.1f", n / 1024.0**4), F.lit(" TB"))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(n < 1024 ** (power + 1), F.concat(F.format_number(n / 1024.0**power, "0.0"), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n < 1024 ** (power + 1), F.concat(F.format_string("%.1f", n / 1024.0**power), F.lit(f" {unit}"))).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
 
