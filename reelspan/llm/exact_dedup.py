@@ -50,6 +50,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     rows = rows.repartitionByRange("p", "h", "id").sortWithinPartitions("p", "h", "t", "id", F.desc("n")).select("id", "n", "t")
     rows = cut(rows.mapInArrow(_runs, "id long, n int, sha string, repeated boolean"))
     groups = rows.groupBy("sha").agg(F.min(F.struct((-F.col("n")).alias("m"), "id")).alias("best"), F.count("*").alias("group_size"))
+    groups = cut(groups)  # both sides of the join then come straight from a shuffle, so that adaptive execution splits large groups
     kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("n") == -F.col("best.m")) & ~F.col("repeated")
     return rows.join(groups, "sha").select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
 
