@@ -268,7 +268,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col)).alias("t"), text.alias("text"))
     anchors = docs.where(F.octet_length("text") >= least).mapInArrow(_scan(shape), ANCHOR)
     keys = anchors.groupBy("key").agg(F.count("*").alias("n"), (F.min("context") != F.max("context")).alias("mixed")).where("n > 1").drop("n")
-    shared = stash(anchors.join(keys, "key"))
+    # written before the join, whose sides then both come straight from a shuffle, so that adaptive execution splits hot keys
+    shared = stash(anchors.join(stash(keys), "key"))
     contexts = shared.where("mixed").groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "t", "a", "lo", "hi")).alias("r"))
     contexts = stash(contexts)
     twice = shared.where("mixed").join(contexts.where("n > 1").select("key", "context"), ["key", "context"], "left_semi")
