@@ -32,8 +32,10 @@ FRAGMENTS, BITMAP = 4, 2048
 CHUNK, SHARD, PART = 4 << 20, 12 << 20, 4 << 20
 #: Rows of a bucket's slot; rows of the documents that are broadcast to bring their sets (32 bytes each); members per pivot's slot.
 HOT, BRING, MEMBERS = 50_000, 200_000, 2_000
+#: Rows of small tables (pairs, labels) for each partition.
+GATHER = 200_000
 #: Neighbour rounds at most, and pairs to compare for each class after which no further round is made.
-ROUNDS, FEW = 4, 4
+ROUNDS, FEW = 4, 16
 _U, _A = np.uint64, np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -194,19 +196,22 @@ def _meet(percent: int, keep: bool):
 
 
 def _cross(percent: int):
-    """Over rows sorted by block: all pairs of a block with different labels and sizes that allow a link, each once for its block."""
+    """Over rows sorted by block: the pairs of a block with different labels whose sizes and bitmaps allow a link, each once for its block."""
 
     def pairs(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         _, at = np.unique(c["k"], return_index=True)
+        at = at[np.argsort(c["n"][at], kind="stable")]
         k, n, label, side = (c[f][at] for f in ("k", "n", "label", "side"))
-        order = np.argsort(n, kind="stable")
-        k, n, label, side = k[order], n[order], label[order], side[order]
+        bits = np.frombuffer(b"".join(c["bits"][at]), np.uint64).reshape(len(at), -1)
         upto = np.searchsorted(n, n.astype(np.int64) * 100 // percent, side="right")
         held, size = [], 0
         two = c["two"][0]
         for i in range(len(k)):
             j = np.arange(i + 1, upto[i])
             j = j[(label[j] != label[i]) & (not two or side[j] != side[i])]
+            if len(j):
+                apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
+                j = j[apart * (100 + percent) <= (n[j].astype(np.int64) + n[i]) * (100 - percent)]
             if len(j):
                 held.append(np.sort(np.stack([np.full(len(j), k[i]), k[j]], 1), 1))
                 size += len(j)
@@ -217,7 +222,7 @@ def _cross(percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in np.concatenate(held).T], ["x", "y"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, names = None, ("s", "lo", "hi", "k", "n", "label", "side", "two")
+        held, names = None, ("s", "lo", "hi", "k", "n", "label", "side", "two", "bits")
         for b in batches:
             c = {f: b.column(f).to_numpy(zero_copy_only=False) for f in names}
             if held is not None:
@@ -293,15 +298,21 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], ["x", "y", "o"])
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """A computed table in no more partitions than its rows need; small ones otherwise make many tiny files in every later shuffle."""
+    return df.coalesce(-(-df.count() // GATHER) or 1)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """k, label: the smallest key reachable over edges (x, y). Labels spread to neighbours, and each jumps to its label's last label."""
-    both = cut(edges.select("x", "y").union(edges.select("y", "x")).distinct())
-    labels = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).withColumnRenamed("x", "k"))
+    both = gathered(cut(edges.select("x", "y").union(edges.select("y", "x")).distinct()))
+    parts = -(-both.count() // GATHER) or 1
+    labels = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).withColumnRenamed("x", "k").coalesce(parts))
     while True:
         near = both.join(labels, both["y"] == labels["k"]).groupBy("x").agg(F.min("label").alias("near"))
         new = labels.join(near, labels["k"] == near["x"]).select("k", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("k").alias("u"), F.col("label").alias("up"))
-        new = cut(new.join(up, new["label"] == up["u"]).select("k", "old", F.least("label", "up").alias("label")))
+        new = cut(new.join(up, new["label"] == up["u"]).select("k", "old", F.least("label", "up").alias("label")).coalesce(parts))
         labels = new.select("k", "label")
         if new.where("label <> old").isEmpty():
             return labels
@@ -338,14 +349,14 @@ class Join:
         side = lambda v: self.classes.select(F.col("k").alias(v), F.col("n").alias(f"n{v}"), F.col("bits").alias(f"b{v}"))
         pairs = pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_possible(percent), "x long, y long, nx int, ny int, c long")
         if best:
-            pairs = cut(pairs)
+            pairs = gathered(cut(pairs))
             ends = pairs.select(F.col("x").alias("e"), "*").union(pairs.select(F.col("y").alias("e"), "*"))
             pairs = ends.groupBy("e").agg(F.max(F.struct("c", F.xxhash64("x", "y").alias("h"), "x", "y", "nx", "ny")).alias("b")).select("b.x", "b.y", "b.nx", "b.ny").distinct()
-        pairs = cut(pairs)
+        pairs = gathered(cut(pairs))
         pivots = pairs.groupBy("y").agg(F.ceil(F.count("*") / self.members).cast("int").alias("slots"))
         members = pairs.join(pivots, "y").select("x", F.struct("y", F.pmod(F.xxhash64("x"), "slots").cast("int").alias("slot")).alias("p")).groupBy("x").agg(F.collect_list("p").alias("to"))
         need = members.withColumnRenamed("x", "m").join(pivots, F.col("m") == F.col("y"), "full").select(F.coalesce("m", "y").alias("k"), "to", "slots")
-        need = cut(need.join(self.classes.select("k", "r"), "k").select("k", "to", "slots", F.col("r.id").alias("i"), F.col("r.t").alias("h")))
+        need = gathered(cut(need.join(self.classes.select("k", "r"), "k").select("k", "to", "slots", F.col("r.id").alias("i"), F.col("r.t").alias("h"))))
         if need.count() + pairs.count() <= BRING:
             need = F.broadcast(need)
         sets = self.docs.join(need, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("h"))).select("text", "k", "to", "slots")
@@ -365,10 +376,11 @@ class Join:
         return stash(rows.join(several, "s", "left_semi"))
 
     def cross(self, rows: DataFrame) -> DataFrame:
-        """All pairs of a bucket with different labels; slots meet two by two, in blocks of a bounded size."""
+        """Pairs of a bucket with different labels that may link; slots meet two by two, in blocks of a bounded size."""
         own = F.pmod(F.xxhash64("k"), F.col("slots")).cast("int")
         rows = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
         rows = rows.select("s", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "k", "n", "label", "side", (F.col("side") != F.col("other")).alias("two"))
+        rows = rows.join(self.classes.select("k", "bits"), "k").select(*rows.columns, "bits")
         # a block of two slots also gets, from either, the rows that meet the other slot's
         rows = rows.repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
         return rows.mapInArrow(_cross(self.percent), "x long, y long")
