@@ -248,7 +248,7 @@ def _possible(percent: int):
                 apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1).astype(np.int64)
                 n = b.column("nx").to_numpy().astype(np.int64) + b.column("ny").to_numpy()
                 ok = apart * (100 + percent) <= n * (100 - percent)
-                yield pa.RecordBatch.from_arrays([b.column(f) for f in ("x", "y", "nx", "ny", "c")], ["x", "y", "nx", "ny", "c"]).filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([b.column(f) for f in ("x", "y", "nx", "ny")], ["x", "y", "nx", "ny"]).filter(pa.array(ok))
 
     return task
 
@@ -346,12 +346,12 @@ class Join:
         """Links (x, y) among pairs. best: of each class's pairs, only the one that meets most often, by either side."""
         percent = self.percent
         pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("c"))
-        side = lambda v: self.classes.select(F.col("k").alias(v), F.col("n").alias(f"n{v}"), F.col("bits").alias(f"b{v}"))
-        pairs = pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_possible(percent), "x long, y long, nx int, ny int, c long")
         if best:
             pairs = gathered(cut(pairs))
             ends = pairs.select(F.col("x").alias("e"), "*").union(pairs.select(F.col("y").alias("e"), "*"))
-            pairs = ends.groupBy("e").agg(F.max(F.struct("c", F.xxhash64("x", "y").alias("h"), "x", "y", "nx", "ny")).alias("b")).select("b.x", "b.y", "b.nx", "b.ny").distinct()
+            pairs = ends.groupBy("e").agg(F.max(F.struct("c", F.xxhash64("x", "y").alias("h"), "x", "y")).alias("b")).select("b.x", "b.y").distinct()
+        side = lambda v: self.classes.select(F.col("k").alias(v), F.col("n").alias(f"n{v}"), F.col("bits").alias(f"b{v}"))
+        pairs = pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_possible(percent), "x long, y long, nx int, ny int")
         pairs = gathered(cut(pairs))
         pivots = pairs.groupBy("y").agg(F.ceil(F.count("*") / self.members).cast("int").alias("slots"))
         members = pairs.join(pivots, "y").select("x", F.struct("y", F.pmod(F.xxhash64("x"), "slots").cast("int").alias("slot")).alias("p")).groupBy("x").agg(F.collect_list("p").alias("to"))
