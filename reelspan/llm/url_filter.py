@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, cut
 
 #: Fixed values: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -72,6 +72,7 @@ def filter_urls(df: DataFrame, listed: DataFrame, id_col: str = "page_id", url_c
     table or an empty list is fine. The filter is broadcast only up to BROADCAST_BLOCKS blocks and is joined by shuffle beyond.
     """
     keys = listed.select(F.col("key").cast("string").alias("key")).where("key is not null").distinct()
+    keys = cut(keys)  # read twice; and the last join's sides come straight from shuffles, so that adaptive execution splits a hot url
     words, blocks = bloom(keys, "key", keys.count())
     if blocks <= BROADCAST_BLOCKS:
         words = F.broadcast(words)

@@ -81,12 +81,12 @@ def write_warc(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str
     store.create_dir(root)
     payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("id").alias("first"))
-    first = first.withColumnRenamed("digest", "d")
+    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    # only payloads of several pages can be revisited; written first, so that adaptive execution splits one that very many share
+    first = cut(first.where("n > 1").select(F.col("digest").alias("d"), "first"))
     rows = rows.join(first, (F.col("digest") == F.col("d")) & (F.octet_length("payload") >= least), "left")
     revisit = F.col("d").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     rows = rows.select("id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"), "digest")
-    # a payload that many pages share is split by adaptive execution's skew join
     return cut(rows.mapInArrow(_write(folder), "path string, size long, records long"))
 
 
