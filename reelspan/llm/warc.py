@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
-#: Bytes of a reader's range, and of one read.
-RANGE, READ = 16 << 20, 1 << 20
+#: Bytes of a reader's range, and of one read; most tasks of a reader, which then take several ranges each.
+RANGE, READ, TASKS = 16 << 20, 1 << 20, 50_000
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 _URN = "urn:reelspan:page:"
 
@@ -188,7 +188,9 @@ def read_warc(manifest: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     """Records of the files in manifest (path, size), one task's work being a byte range; columns as in RECORD."""
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long")))
     ranges = manifest.where("size > 0").select("path", starts.alias("start"), "size").select("path", "start", F.least(F.col("start") + range_bytes, "size").alias("end"))
-    return ranges.repartition("path", "start").mapInArrow(_read, RECORD)
+    # a stated number of partitions: adaptive execution would join these small rows into one task
+    tasks = min(ranges.count(), TASKS) or 1
+    return ranges.repartition(tasks).mapInArrow(_read, RECORD)
 
 
 def archive_folder(spark: SparkSession) -> str:
