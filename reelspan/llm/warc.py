@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, shared_dir
 
-MAGIC = b"\x1f\x8b\x08"
+#: A gzip member's first bytes, and a record's.
+MAGIC, START = b"\x1f\x8b\x08", b"WARC/1."
 #: Bytes of a reader's range, and of one read; most tasks of a reader, which then take several ranges each.
 RANGE, READ, TASKS = 16 << 20, 1 << 20, 50_000
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -111,7 +112,7 @@ class _Tail:
 
 def _member(tail: _Tail, at: int) -> tuple[bytes, int] | None:
     """The member that starts at a candidate position and the position after it, or None if that is no WARC record."""
-    z, out, pos = zlib.decompressobj(31), [], at
+    z, out, pos, head = zlib.decompressobj(31), [], at, b""
     try:
         while not z.eof:
             if not tail.upto(pos + 1):
@@ -119,14 +120,16 @@ def _member(tail: _Tail, at: int) -> tuple[bytes, int] | None:
             piece = tail.data[pos - tail.base :][:READ]
             out.append(z.decompress(piece))
             pos += len(piece) - len(z.unused_data)
-            if len(out) == 1 and not out[0].startswith(b"WARC/1."[: max(1, len(out[0]))]):
+            # a read may end inside the member's first bytes, which then give no or few bytes yet
+            head = head if len(head) == len(START) else (head + out[-1])[: len(START)]
+            if not START.startswith(head):
                 return None
     except zlib.error:
         return None
     tail.upto(pos + len(MAGIC))
     after = tail.data[pos - tail.base :][: len(MAGIC)]
     data = b"".join(out)
-    return (data, pos) if data.startswith(b"WARC/1.") and after in (b"", MAGIC) else None
+    return (data, pos) if data.startswith(START) and after in (b"", MAGIC) else None
 
 
 def parse(data: bytes) -> tuple | None:

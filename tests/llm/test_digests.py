@@ -220,6 +220,22 @@ def test_warc(spark, least, size):
     assert all(bytes(x.payload) in texts for x in got.where("record_type = 'response'").collect())
 
 
+@pytest.mark.parametrize("read,size", [(1, 100), (7, 333), (40, 10_000), (64, 1 << 20)])
+def test_warc_members_across_reads(tmp_path, monkeypatch, read, size):
+    """Members whose first bytes lie in two reads, or whose record crosses ranges, are each read once."""
+    import pyarrow as pa
+
+    payloads = [f"page {i} ".encode() * (i % 9) for i in range(60)]
+    members = [warc.record(i, "u", p, None, False, warc.base32_sha1(p)) for i, p in enumerate(payloads)]
+    file = tmp_path / "a.warc.gz"
+    file.write_bytes(b"".join(members))
+    monkeypatch.setattr(warc, "READ", read)
+    starts = list(range(0, file.stat().st_size, size))
+    ranges = pa.RecordBatch.from_pydict({"path": [f"file://{file}"] * len(starts), "start": starts, "end": [x + size for x in starts]})
+    got = [(x["page_id"], x["payload"]) for b in warc._read(iter([ranges])) for x in b.to_pylist()]
+    assert got == list(enumerate(payloads))
+
+
 @pytest.mark.parametrize("run", [exact_dedup.exact_dedup, mixing.mix, rules.judge, lambda d: quality.classify(d, d.selectExpr("doc_id", "1 AS quality"))])
 def test_empty_tables(spark, run):
     assert run(frame(spark, [])).collect() == []
