@@ -146,7 +146,8 @@ def _near(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 def _meet(percent: int, keep: bool):
     """Over rows (s, slot, k, n, label, slots) sorted by bucket: pairs of a row with the one before and the bucket's first, where
-    labels differ and sizes allow. keep: also rows of buckets with two classes, with s set and y null."""
+    labels differ and sizes allow. keep: also rows of buckets with two classes, with s set and y null; where s is dealt into slots,
+    those of all buckets, as other slots may hold a further class: open() then decides by s."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["s", "k", "n", "slots", "y"]
@@ -175,7 +176,7 @@ def _meet(percent: int, keep: bool):
                 new = same & (c["k"] != c["k"][np.arange(m) - 1])  # a further class of the bucket
                 firsts = np.flatnonzero(~same)
                 bucket = np.cumsum(~same) - 1
-                shared = np.bincount(bucket[new], minlength=len(firsts)) > 0
+                shared = (np.bincount(bucket[new], minlength=len(firsts)) > 0) | (c["slots"][firsts] > 1)
                 done = bool(carry) and carry[2]  # the carried bucket was found shared before, and its first row was put out
                 fresh = new.copy()
                 if carry:

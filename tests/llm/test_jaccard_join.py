@@ -88,3 +88,17 @@ def test_meeting_rows_across_batches():
         kept = [(x["s"], x["k"]) for x in rows if x["y"] is None]
         assert len(kept) == len(set(kept)) and set(kept) == want
         assert {x["k"] for x in rows if x["y"] is not None} <= set(k.tolist())
+
+
+def test_large_classes_in_different_slots(spark, monkeypatch):
+    """Near copies that each have many exact copies over the chunks, so that all their shared shingles are dealt into slots."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 2_000)
+    rows = []
+    for g in range(3):
+        for v in range(2):
+            w = [f"w{g}x{k}" for k in range(90)]
+            w[40] += "y" * v
+            rows += [(1000 * g + 100 * v + i, " ".join(w)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, jaccard_join.similar(df, hot=2).collect()))
+    assert got == sorted(brute(rows, 5, 80)) and len({c for _, _, c in got}) == 3
