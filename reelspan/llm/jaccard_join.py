@@ -49,6 +49,12 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(_joined(h, _parts(n), _U(n)))
 
 
+def _keys(items: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Keys of sets of n shingles each that lie one after the other."""
+    sums, ends = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(items ^ _A))]), np.cumsum(n)
+    return _mix(sums[ends] - sums[ends - n] + n.astype(np.uint64) * _A).view(np.int64)
+
+
 class Part:
     """Sets of a chunk's documents, one after the other, each set once; of: the set of each document."""
 
@@ -63,8 +69,7 @@ class Part:
         self.all = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         self.doc = np.repeat(np.arange(len(sets)), self.n)
         self.ends = np.cumsum(self.n)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(self.all ^ _A))])
-        self.key = _mix(sums[self.ends] - sums[self.ends - self.n] + self.n.astype(np.uint64) * _A).view(np.int64)
+        self.key = _keys(self.all, self.n)
 
     def bitmaps(self) -> np.ndarray:
         bits = np.zeros((len(self.n), BITMAP), bool)
@@ -258,13 +263,20 @@ SEGMENT = "y long, slot int, f int, x long, segment binary"
 
 
 def _segments(words: int):
-    """A document's set in fragments, for each pair it takes part in: to the pivot's slots as the pivot (x null), else to the pivot's slot."""
+    """A document's set in fragments, for each pair it takes part in: to the pivot's slots as the pivot (x null), else to the pivot's slot.
+    A class is put out once a task, however often its row is repeated, and never by another text whose id and hash are the same."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for b in batches:
             rows, size = [], 0
             for text, key, to, slots in zip(b.column("text"), b.column("k").to_pylist(), b.column("to").to_pylist(), b.column("slots").to_pylist()):
+                if key in seen:
+                    continue
                 s = shingles(text.as_py(), words)
+                if _keys(s, np.array([len(s)]))[0] != key:
+                    continue
+                seen.add(key)
                 cuts = np.searchsorted(s, (np.arange(1, FRAGMENTS, dtype=np.uint64) << _U(62))) if FRAGMENTS == 4 else None
                 for f, segment in enumerate(np.split(s, cuts)):
                     segment = segment.tobytes()
@@ -283,17 +295,18 @@ def _segments(words: int):
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over segments sorted by pivot, slot and fragment, the pivot's first: partial overlaps of its members."""
-    pivot, segment = None, None
+    """Over segments sorted by pivot, slot and fragment, the pivot's first, then by member: partial overlaps of its members, each once."""
+    pivot, segment, member = None, None, None
     for b in batches:
         out = []
         for y, slot, f, x, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
             own = np.frombuffer(own.as_py(), np.uint64)
             if x is None:
-                pivot, segment = (y, slot, f), own
-            else:
+                pivot, segment, member = (y, slot, f), own, None
+            elif x != member or pivot != (y, slot, f):
                 if pivot != (y, slot, f):
                     raise ValueError("a member came without its pivot")
+                member = x
                 out.append((x, y, len(np.intersect1d(own, segment, assume_unique=True))))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], ["x", "y", "o"])
@@ -363,7 +376,7 @@ class Join:
         sets = self.docs.join(need, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("h"))).select("text", "k", "to", "slots")
         segments = sets.mapInArrow(_segments(self.words), SEGMENT)
         segments = segments.repartition("y", "slot", "f").sortWithinPartitions("y", "slot", "f", F.asc_nulls_first("x"))
-        overlap = segments.mapInArrow(_overlaps, "x long, y long, o long").groupBy("x", "y", ).agg(F.sum("o").alias("o"))
+        overlap = segments.mapInArrow(_overlaps, "x long, y long, o long").groupBy("x", "y").agg(F.sum("o").alias("o"))
         linked = overlap.join(pairs, ["x", "y"]).where((100 + percent) * F.col("o") >= percent * (F.col("nx") + F.col("ny")))
         return linked.select("x", "y")
 

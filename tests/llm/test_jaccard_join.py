@@ -102,3 +102,27 @@ def test_large_classes_in_different_slots(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(map(tuple, jaccard_join.similar(df, hot=2).collect()))
     assert got == sorted(brute(rows, 5, 80)) and len({c for _, _, c in got}) == 3
+
+
+def test_repeated_long_rows(spark):
+    """Repeated rows, by id or by null ids in several tasks, beside a text of similarity 0.7 count once in an intersection."""
+    rows = []
+    for g in range(2):
+        w = [f"w{g}x{k}" for k in range(3_530)]
+        a, b = " ".join(w[:3_000]), " ".join(w[530:])
+        rows += [(i, t) for i, t in ((1 + 2 * g, a), (2 + 2 * g, b)) for _ in range(3)] + [(None, a), (None, b)] * 3 * g
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, jaccard_join.similar(df).collect()), key=str)
+    assert got == sorted(brute(rows, 5, 80), key=str) and {c for _, _, c in got} == {1, 2, 3, 4}
+
+
+def test_overlaps_count_a_repeated_segment_once():
+    import numpy as np
+    import pyarrow as pa
+
+    seg = np.arange(10, dtype=np.uint64).tobytes()
+    rows = [(1, 0, f, x, seg) for f in (0, 1) for x in (None, None, 5, 5, 5, 6)]
+    table = pa.table([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["y", "slot", "f", "x", "segment"])
+    for step in (1, 2, 3, 12):
+        got = [tuple(r.values()) for b in jaccard_join._overlaps(iter(table.to_batches(step))) for r in b.to_pylist()]
+        assert got == [(5, 1, 10), (6, 1, 10)] * 2
