@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan.llm import bpe, exact_dedup, jaccard_join, mixing, quality
-from reelspan.llm.common import stash, table
+from reelspan.llm.common import stash, table, tagged
 from reelspan.llm.queries import VOCABULARY
 
 
 def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be of quality 1."""
-    scores = quality.classify(docs, table(spark, sf_dir, "labels"))
-    good = scores.where("predicted = 1").select(F.col("doc_id").alias("good_id")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["good_id"]), "left_semi")
+    rows, key = tagged(docs)
+    good = quality.classify(rows, table(spark, sf_dir, "labels"), row_col=key).where("predicted = 1").select(key)
+    return rows.join(good, key, "left_semi").select(*docs.columns)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +32,9 @@ def dissimilar_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["taken_id"]))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    rows, key = tagged(docs)
+    taken = mixing.mix(rows, row_col=key).where("copies > 0").select(key, F.sequence(F.lit(1).cast("long"), "copies").alias(f"{key}taken"))
+    return rows.join(taken, key).withColumn(f"{key}copy", F.explode(f"{key}taken")).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

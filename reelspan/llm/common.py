@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -54,6 +55,18 @@ def _drop(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def tagged(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with a key (string) of its own for each row, and the name of that column, which is longer than any of df's.
+
+    The key is the row's place in its Parquet file, so that all reads agree on it; anything but a bare Parquet table is
+    written first. Files are told apart by 64-bit hashes of their paths.
+    """
+    if not re.fullmatch(r"Relation \[.*\] parquet", df._jdf.queryExecution().analyzed().toString().strip()):
+        df = stash(df)
+    key = max([*df.columns, "row"], key=len) + "_"
+    return df.select("*", F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), "_metadata.row_index").alias(key)), key
+
+
 def n_words(text: Column) -> Column:
     """Words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -15,14 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut
+from .common import WHITE, cut, tagged
 
 #: Characters of the normalised text in a splitter.
 SPLITTER_PREFIX = 24
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest of each sorted row, hashed once for a run of equal neighbours; repeated marks a row equal to the one before in text, id and length."""
+    """Digest of each sorted row, hashed once for a run of equal neighbours; repeated marks a row equal to the one before in text, id and length.
+    Columns after the text come along."""
     before, digest, row = None, "", None
     for batch in batches:
         ids, lengths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -34,28 +35,31 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(digest)
             repeated.append(row == (i, length))
             row = (i, length)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(repeated, pa.bool_())], ["id", "n", "sha", "repeated"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.string()), pa.array(repeated, pa.bool_()), *batch.columns[3:]], ["id", "n", "sha", "repeated", *batch.schema.names[3:]])
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One decision per row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without white space; the row with the most code points, then the smallest id, stays.
     Null and empty texts are equal to each other. A null id sorts first. Of rows repeated with the same id and length,
     one stays. Other columns of df are ignored, whatever their names; an empty table gives an empty result.
+    row_col: a column of keys (string) of the rows themselves, put out as well.
     """
+    row, named = ([F.col(row_col).alias("row")], ["row"]) if row_col else ([], [])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.char_length(text).alias("n"), F.translate(text, WHITE, "").alias("t"))
-    rows = rows.select("id", "n", F.encode("t", "UTF-8").alias("t"), F.substring("t", 1, SPLITTER_PREFIX).alias("p"), F.xxhash64("t").alias("h"))
-    rows = rows.repartitionByRange("p", "h", "id").sortWithinPartitions("p", "h", "t", "id", F.desc("n")).select("id", "n", "t")
-    rows = cut(rows.mapInArrow(_runs, "id long, n int, sha string, repeated boolean"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.char_length(text).alias("n"), F.translate(text, WHITE, "").alias("t"), *row)
+    rows = rows.select("id", "n", F.encode("t", "UTF-8").alias("t"), F.substring("t", 1, SPLITTER_PREFIX).alias("p"), F.xxhash64("t").alias("h"), *named)
+    rows = rows.repartitionByRange("p", "h", "id").sortWithinPartitions("p", "h", "t", "id", F.desc("n")).select("id", "n", "t", *named)
+    rows = cut(rows.mapInArrow(_runs, "id long, n int, sha string, repeated boolean" + (", row string" if row_col else "")))
     groups = rows.groupBy("sha").agg(F.min(F.struct((-F.col("n")).alias("m"), "id")).alias("best"), F.count("*").alias("group_size"))
     groups = cut(groups)  # both sides of the join then come straight from a shuffle, so that adaptive execution splits large groups
     kept = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("n") == -F.col("best.m")) & ~F.col("repeated")
-    return rows.join(groups, "sha").select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    return rows.join(groups, "sha").select(F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"), *[F.col(c).alias(row_col) for c in named])
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that exact_dedup() keeps; ids have to be unique."""
-    kept = exact_dedup(df, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept"))
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    """The rows of df that exact_dedup() keeps: one of each group, ids repeated or null alike."""
+    rows, key = tagged(df)
+    kept = exact_dedup(rows, id_col, text_col, key).where("kept").select(key)
+    return rows.join(kept, key, "left_semi").select(*df.columns)

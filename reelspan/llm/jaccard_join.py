@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, stash
+from .common import LOWER, UPPER, cut, stash, tagged
 from .window_dedup import _joined, _mix, _parts, _runs, _shard, word_spans
 
 WORDS, PERCENT = 5, 80
@@ -90,9 +90,9 @@ def _marks(values: np.ndarray) -> np.ndarray:
 
 CHUNK_ROW = "chunk long, shard long, items binary, counts binary"
 _CHUNK_ROW = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("items", pa.binary()), ("counts", pa.binary())])
-#: Rows of documents (id, t, k, n, bits), and rows of shingles in prefixes (s, k, n, slots).
-FIRST = "id long, t int, k long, n int, bits binary, s long, slots int"
-_FIRST = pa.schema([("id", pa.int64()), ("t", pa.int32()), ("k", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("s", pa.int64()), ("slots", pa.int32())])
+#: Rows of documents (id, t, k, n, bits, row), and rows of shingles in prefixes (s, k, n, slots).
+FIRST = "id long, t int, k long, n int, bits binary, s long, slots int, row string"
+_FIRST = pa.schema([("id", pa.int64()), ("t", pa.int32()), ("k", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("s", pa.int64()), ("slots", pa.int32()), ("row", pa.string())])
 
 
 def _counting(words: int, shards: int):
@@ -138,9 +138,9 @@ def _prefixes(words: int, percent: int, shards: int, hot: int):
         bits, n = p.bitmaps(), p.n.astype(np.int32)
         docs = [table.column("id"), table.column("t"), pa.array(p.key[p.of]), pa.array(n[p.of]), pa.array([bits[i].tobytes() for i in p.of], pa.binary())]
         found = [pa.array(p.key[p.doc[pick]]), pa.array(n[p.doc[pick]]), pa.nulls(len(pick), pa.binary()), pa.array(p.all[pick].view(np.int64)), pa.array(slots)]
-        none = [pa.nulls(table.num_rows, t) for t in _FIRST.types[5:]]
+        none = [pa.nulls(table.num_rows, t) for t in _FIRST.types[5:7]]
         empty = [pa.nulls(len(pick), t) for t in _FIRST.types[:2]]
-        return pa.concat_tables([pa.Table.from_arrays([*docs, *none], schema=_FIRST), pa.Table.from_arrays([*empty, *found], schema=_FIRST)])
+        return pa.concat_tables([pa.Table.from_arrays([*docs, *none, table.column("row")], schema=_FIRST), pa.Table.from_arrays([*empty, *found, pa.nulls(len(pick), pa.string())], schema=_FIRST)])
 
     return group
 
@@ -335,17 +335,17 @@ def components(edges: DataFrame) -> DataFrame:
 class Join:
     """State of a join: the documents, their classes, and the links found."""
 
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, words: int, percent: int, hot: int, members: int):
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, words: int, percent: int, hot: int, members: int, row_col: str | None = None):
         self.spark: SparkSession = df.sparkSession
         self.words, self.percent, self.hot, self.members = words, percent, hot, members
         text = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
-        self.docs = df.select(F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col)).alias("t"), text.alias("text"))
+        self.docs = df.select(F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col)).alias("t"), text.alias("text"), (F.col(row_col) if row_col else F.lit(None)).cast("string").alias("row"))
         total = self.docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         chunks, shards = int(total // CHUNK + 1), int(total // SHARD + 1)
         by_chunk = self.docs.withColumn("chunk", F.pmod(F.xxhash64("id", "t"), F.lit(chunks)).cast("long")).groupBy("chunk")
         counted = by_chunk.applyInArrow(_counting(words, shards), CHUNK_ROW).groupBy("shard").applyInArrow(_counted, CHUNK_ROW)
         first = stash(by_chunk.cogroup(counted.groupBy("chunk")).applyInArrow(_prefixes(words, percent, shards, hot), FIRST))
-        self.rows = first.where("s is null").select("id", "t", "k", "n")
+        self.rows = first.where("s is null").select("id", "t", "k", "n", "row")
         classes = first.where("s is null and n > 0").groupBy("k").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("id", "t")).alias("r"))
         self.classes = stash(classes)
         self.prefixes = first.where("s is not null").select("s", "k", "n", "slots")
@@ -431,17 +431,25 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     Repeated rows are in one component. A null id is never the smallest; a component of null ids alone has none. Other columns
     are ignored; an empty table gives an empty result. Shingles are 64-bit hashes, as are the keys of equal sets.
     """
-    j = Join(df, id_col, text_col, words, percent, hot, members)
+    rows = labelled(Join(df, id_col, text_col, words, percent, hot, members))
+    return rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+
+
+def labelled(j: Join) -> DataFrame:
+    """Rows (id, t, k, n, row) with their component's label and smallest id; neither for rows without shingles."""
     _, labels = j.links()
     marked = j.classes.select("k", "least").join(labels.withColumnRenamed("k", "l"), F.col("k") == F.col("l"), "left").select("k", "least", F.coalesce("label", "k").alias("label"))
     marked = cut(marked)
     smallest = marked.groupBy("label").agg(F.min("least").alias("component"))
-    of = marked.join(smallest, "label").select(F.col("k").alias("c"), "component")
-    rows = j.rows.join(of, (F.col("k") == F.col("c")) & (F.col("n") > 0), "left")
-    return rows.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    of = marked.join(smallest, "label").select(F.col("k").alias("c"), "label", "component")
+    return j.rows.join(of, (F.col("k") == F.col("c")) & (F.col("n") > 0), "left")
 
 
 def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row of each component that has its smallest id; ids have to be unique."""
-    kept = similar(df, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept"))
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    """One row of each component: that with its smallest id, null last; of several, that with the smallest hash of its text, and of
+    rows alike in both any one. Rows without shingles link with nothing and all stay."""
+    docs, key = tagged(df)
+    rows = cut(labelled(Join(docs, id_col, text_col, WORDS, PERCENT, HOT, MEMBERS, key)).select("id", "t", "n", "row", "label"))
+    best = rows.where("n > 0").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t", "row")).alias("b")).select(F.col("b.row").alias(key))
+    kept = best.union(rows.where("n = 0").select("row"))
+    return docs.join(kept, key, "left_semi").select(*df.columns)

@@ -51,14 +51,16 @@ def tilt(source_size: Column, target: Column) -> Column:
     return F.when((source_size > 0) & (target > 0), F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), step))).otherwise(0.0)
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, copies.
 
     Null texts and texts without words have size 0 and are never taken. A null source is a source of its own, the last.
     Reruns agree: all choices depend on ids, sizes and sources only. Rows repeated with the same id are documents of
     their own. Other columns of df are ignored; an empty table gives an empty result.
+    row_col: a column of keys (string) of the rows themselves, put out as well.
     """
-    docs = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")))
+    row, named = ([F.col(row_col).alias("row")], ["row"]) if row_col else ([], [])
+    docs = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *row))
     sources = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
     sources = cut(sources.withColumn("rate", F.least(F.lit(float(MOST)), tilt(F.col("source_size"), F.col("target")))))
     slot = F.pmod(F.xxhash64("id", F.lit("slot")), F.lit(SLOTS))
@@ -70,9 +72,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rates = sources.select(F.col("source").alias("s_source"), "source_size", "target", "rate")
     cells = cells.join(rates, F.col("c_source").eqNullSafe(F.col("s_source")))
     rows = docs.join(cells, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class")) & (F.col("slot") == F.col("c_slot")))
-    inside = Window.partitionBy("source", "class", "slot").orderBy("size", "id")
+    inside = Window.partitionBy("source", "class", "slot").orderBy("size", "id", *named)
     place = F.col("before") + F.row_number().over(inside)
     upto = lambda k: F.floor(k * F.col("rate") + 0.5)
     copies = F.when(F.col("size") > 0, F.least(F.lit(MOST), upto(place) - upto(place - 1))).otherwise(0).cast("long")
     rows = rows.withColumn("copies", copies)
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *[F.col(c).alias(row_col) for c in named])

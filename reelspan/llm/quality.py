@@ -58,7 +58,7 @@ def statistics(text: str) -> list[float]:
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = np.array([statistics(t.as_py() or "") for t in b.column(1)], np.float64).reshape(-1, len(STATISTICS))
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, k]) for k in range(len(STATISTICS)))], ["id", *STATISTICS])
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, k]) for k in range(len(STATISTICS))), *b.columns[2:]], ["id", *STATISTICS, *b.schema.names[2:]])
 
 
 @dataclass
@@ -124,16 +124,17 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, threshold: float = THRESHOLD, row_col: str | None = None) -> DataFrame:
     """One row per row: id, held_out, score, predicted.
 
     Learns from at most `sample` rows that have a label 0 or 1 and aren't held out, those with the smallest hashes of their id;
     of several labels for an id the largest counts. Only statistics of the text are inputs of a score; null texts count as
     empty, and empty texts have a score too. Without usable labels all scores are 0.5. Repeated rows give repeated results; other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. row_col: a column of keys (string) of the rows themselves, put out as well.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = stash(rows.mapInArrow(_statistics, ", ".join(["id long", *(f"{s} double" for s in STATISTICS)])))
+    row, named = ([F.col(row_col).alias("row")], ["row"]) if row_col else ([], [])
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *row)
+    rows = stash(rows.mapInArrow(_statistics, ", ".join(["id long", *(f"{s} double" for s in STATISTICS), *(f"{c} string" for c in named)])))
     labelled = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("label_id")).agg(F.max(label_col).alias("label"))
     train = rows.where(~held_out(F.col("id"))).join(labelled, F.col("id") == F.col("label_id"))
     train = train.orderBy(F.xxhash64("id"), "id", *STATISTICS).limit(sample).select("label", *STATISTICS).toArrow()
@@ -142,8 +143,8 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = model.score(np.stack([c.to_numpy() for c in b.columns[1:]], 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], ["id", "score"])
+            got = model.score(np.stack([c.to_numpy() for c in b.columns[1 : len(STATISTICS) + 1]], 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got), *b.columns[len(STATISTICS) + 1 :]], ["id", "score", *named])
 
-    out = rows.mapInArrow(score, "id long, score double")
-    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = rows.mapInArrow(score, "id long, score double" + (", row string" if row_col else ""))
+    return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *[F.col(c).alias(row_col) for c in named])

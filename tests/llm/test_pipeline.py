@@ -70,3 +70,27 @@ def test_nulls_repeats_and_empty_stages(spark):
         for _, stage in corpus_pipeline.STAGES[1:4]:
             now = stage(spark, now, SF)
             assert now.columns == docs.columns and now.where(F.lit(True)).count() <= 3 * docs_in.count()
+
+
+def test_stages_decide_by_row(spark):
+    """Rows with one id, or none, are each kept, dropped or repeated for themselves."""
+    of = spark.read.parquet(f"{SF}/documents.parquet").schema
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "web", k) for k, (i, t) in enumerate(rows)], of)
+    texts = lambda df: sorted([(x.doc_id, x.text) for x in df.collect()], key=str)
+    rows = [(1, "a b"), (1, "a b"), (2, "a  b c"), (2, "ab"), (None, "ab"), (None, "x y"), (None, "x y"), (None, "z"), (3, "z"), (4, None), (4, None)]
+    got = texts(corpus_pipeline.distinct_texts(spark, frame(rows), SF))
+    assert got == sorted([(1, "a b"), (2, "a  b c"), (None, "x y"), (None, "z"), (4, None)], key=str)
+    rows = [(1, "a b"), (1, "a b"), (1, "A B"), (2, "a b"), (2, "c d"), (None, "x y"), (None, "x y"), (None, "c d"), (None, "v w"), (4, None), (4, "")]
+    got = texts(corpus_pipeline.dissimilar_texts(spark, frame(rows), SF))
+    assert [(i, (t or "").lower()) for i, t in got] == sorted([(1, "a b"), (2, "c d"), (None, "v w"), (None, "x y"), (4, ""), (4, "")], key=str)
+
+    words = " ".join(f"w{k}" for k in range(20))
+    mix = texts(corpus_pipeline.mixed(spark, frame([(7, words)] * 5 + [(None, words)] * 4), SF))
+    assert mix == sorted([(7, words)] * 5 + [(None, words)] * 4, key=str)
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    told = docs.join(quality.classify(docs, labels).select("doc_id", "predicted"), "doc_id").select(*docs.columns, "predicted")
+    good, bad = told.where("predicted = 1").first(), told.where("predicted = 0").first()
+    twins = docs.where(F.col("doc_id") != bad.doc_id).union(spark.createDataFrame([(good.doc_id, bad.text, bad.lang, bad.source, bad[4])], docs.schema))
+    scores = quality.classify(twins, labels).where("predicted = 1").count()
+    assert corpus_pipeline.good_texts(spark, twins, SF).count() == scores
