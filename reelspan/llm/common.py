@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="reelspan-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     sc = spark.sparkContext
@@ -44,7 +46,15 @@ def stash(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/reelspan-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stashed = path
+    return found
+
+
+def unstash(df: DataFrame) -> None:
+    """Removes a table that stash() gave, once nothing reads it any more; other tables stay."""
+    if getattr(df, "_stashed", None):
+        _drop(df.sparkSession, df._stashed)
 
 
 def _drop(spark: SparkSession, path: str) -> None:

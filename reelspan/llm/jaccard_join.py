@@ -3,13 +3,14 @@
 Documents with equal sets of shingles form one class; classes are joined. The global order of shingles is by the number of
 sets that hold them, then by hash. Documents are dealt into chunks of some megabytes; each chunk asks the shards of its shingles'
 hashes for these counts. Shards tell shingles apart by 32 bits, which may raise a count, alike for all chunks.
-Two classes that are similar enough share a shingle among the first of both (a fifth of each set), so candidates meet in the
-buckets of these; shingles of one set only meet nothing and are left out.
-Candidate pairs are verified by fragments: the order is cut into FRAGMENTS ranges, each range's part of two sets meets in a task
-of its own that counts the partial overlap, and the counts are summed per pair. Before, two bitmaps of hashed shingles
-bound a pair's difference from below and drop what cannot be similar.
+CUTS divides this order into fragments, and each class's set into segments, one for each fragment; shingles of one set only meet
+nothing and are left out. Two classes that are similar enough share a shingle among the first of both (a fifth of each
+set), so candidates meet in the buckets of these; two bitmaps of hashed shingles bound a pair's difference from below
+and drop what cannot be similar. Then each fragment's segments meet in tasks of their own that count the
+partial overlap, and the counts are summed per pair.
 Links are sought only between classes that aren't connected yet: first each class meets its neighbours in its buckets, in an
-order that changes each round; once few pairs of differently labelled classes are left, all of them are compared. So large
+order that changes each round, and the links found are contracted at once; once few pairs of differently labelled classes are left,
+they are all compared, first the closest pair of any two components, then those that are still apart. So large
 groups of near copies never turn into all their pairs, and no link between components is lost.
 """
 
@@ -23,19 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, stash, tagged
+from .common import LOWER, UPPER, stash, tagged, unstash
 from .window_dedup import _joined, _mix, _parts, _runs, _shard, word_spans
 
 WORDS, PERCENT = 5, 80
-FRAGMENTS, BITMAP = 4, 2048
-#: Bytes of text for each chunk and for each shard; bytes of segments that are put out together.
-CHUNK, SHARD, PART = 4 << 20, 12 << 20, 4 << 20
-#: Rows of a bucket's slot; rows of the documents that are broadcast to bring their sets (32 bytes each); members per pivot's slot.
+BITMAP = 2048
+#: Where the global order is cut: a level (8 times the binary logarithm of a count, rounded up) and the share of its hashes before the cut.
+CUTS = ((8, 0.5), (9, 0), (17, 0), (33, 0))
+#: Bytes of text for each chunk and for each shard.
+CHUNK, SHARD = 4 << 20, 12 << 20
+#: Rows of a bucket's slot; rows (40 bytes each) that are broadcast to bring segments; members per pivot's slot.
 HOT, BRING, MEMBERS = 50_000, 200_000, 2_000
-#: Rows of small tables (pairs, labels) for each partition.
-GATHER = 200_000
 #: Neighbour rounds at most, and pairs to compare for each class after which no further round is made.
-ROUNDS, FEW = 4, 16
+ROUNDS, FEW = 6, 16
 _U, _A = np.uint64, np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -76,6 +77,17 @@ class Part:
         bits[self.doc, (_mix(self.all) % _U(BITMAP)).astype(np.int64)] = True
         return np.packbits(bits, axis=1)
 
+    def segments(self, level: np.ndarray, wanted: np.ndarray) -> list[list[bytes] | None]:
+        """Each wanted set's shingles that other sets hold, too, by fragment of the global order; None for other sets."""
+        cuts = np.array([(k << 56) + int(share * (1 << 56)) for k, share in CUTS], np.uint64)
+        fragment = np.searchsorted(cuts, level.astype(np.uint64) << _U(56) | self.all >> _U(8), side="right")
+        pick = np.flatnonzero((level > 0) & wanted[self.doc])
+        pick = pick[np.lexsort((fragment[pick], self.doc[pick]))]  # stable: hashes stay in order
+        many = len(CUTS) + 1
+        ends = np.searchsorted(self.doc[pick] * many + fragment[pick], np.arange(len(self.n) * many + 1)).tolist()
+        items = self.all[pick]
+        return [[items[lo:hi].tobytes() for lo, hi in zip(ends[i * many : (i + 1) * many], ends[i * many + 1 :])] if ok else None for i, ok in enumerate(wanted)]
+
     def items(self, shards: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
         """Distinct shingles in order, how many of the sets hold each, and the shards' runs."""
         values, counts = np.unique(self.all, return_counts=True)
@@ -90,9 +102,16 @@ def _marks(values: np.ndarray) -> np.ndarray:
 
 CHUNK_ROW = "chunk long, shard long, items binary, counts binary"
 _CHUNK_ROW = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("items", pa.binary()), ("counts", pa.binary())])
-#: Rows of documents (id, t, k, n, bits, row), and rows of shingles in prefixes (s, k, n, slots).
-FIRST = "id long, t int, k long, n int, bits binary, s long, slots int, row string"
-_FIRST = pa.schema([("id", pa.int64()), ("t", pa.int32()), ("k", pa.int64()), ("n", pa.int32()), ("bits", pa.binary()), ("s", pa.int64()), ("slots", pa.int32()), ("row", pa.string())])
+#: Rows of documents (id, t, k, n, row), of a chunk's classes (id: the least; k, n, chunk, bits, segments), and of shingles in prefixes (k, n, s, slots).
+FIRST = "id long, t int, k long, n int, row string, chunk long, bits binary, segments array<binary>, s long, slots int"
+_FIRST = pa.schema(
+    [("id", pa.int64()), ("t", pa.int32()), ("k", pa.int64()), ("n", pa.int32()), ("row", pa.string()), ("chunk", pa.int64())]
+    + [("bits", pa.binary()), ("segments", pa.list_(pa.binary())), ("s", pa.int64()), ("slots", pa.int32())]
+)
+
+
+def _first(rows: int, **columns: pa.Array) -> pa.Table:
+    return pa.Table.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _FIRST], schema=_FIRST)
 
 
 def _counting(words: int, shards: int):
@@ -119,7 +138,7 @@ def _counted(table: pa.Table) -> pa.Table:
 
 
 def _prefixes(words: int, percent: int, shards: int, hot: int):
-    """A row for each document, and one for each shingle among the first of a set that other sets hold, too."""
+    """A row for each document, one for each class, and one for each shingle among the first of a set that other sets hold, too."""
 
     def group(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -135,12 +154,20 @@ def _prefixes(words: int, percent: int, shards: int, hot: int):
         pick = order[place < np.repeat(few, p.n)]
         pick = pick[level[pick] > 0]
         slots = (1 + 2 ** (level[pick] / 8) // hot).astype(np.int32)
-        bits, n = p.bitmaps(), p.n.astype(np.int32)
-        docs = [table.column("id"), table.column("t"), pa.array(p.key[p.of]), pa.array(n[p.of]), pa.array([bits[i].tobytes() for i in p.of], pa.binary())]
-        found = [pa.array(p.key[p.doc[pick]]), pa.array(n[p.doc[pick]]), pa.nulls(len(pick), pa.binary()), pa.array(p.all[pick].view(np.int64)), pa.array(slots)]
-        none = [pa.nulls(table.num_rows, t) for t in _FIRST.types[5:7]]
-        empty = [pa.nulls(len(pick), t) for t in _FIRST.types[:2]]
-        return pa.concat_tables([pa.Table.from_arrays([*docs, *none, table.column("row")], schema=_FIRST), pa.Table.from_arrays([*empty, *found, pa.nulls(len(pick), pa.string())], schema=_FIRST)])
+        n, ids = p.n.astype(np.int32), table.column("id").to_pylist()
+        least = [None] * len(n)
+        for i, of in zip(ids, p.of.tolist()):
+            if i is not None and (least[of] is None or i < least[of]):
+                least[of] = i
+        some = np.flatnonzero(p.n > 0)
+        met = np.zeros(len(n), bool)
+        met[p.doc[pick]] = True
+        bits, segments, chunk = p.bitmaps(), p.segments(level, met), table.column("chunk")[0].as_py()
+        docs = _first(table.num_rows, id=table.column("id"), t=table.column("t"), k=pa.array(p.key[p.of]), n=pa.array(n[p.of]), row=table.column("row"))
+        found = _first(len(pick), k=pa.array(p.key[p.doc[pick]]), n=pa.array(n[p.doc[pick]]), s=pa.array(p.all[pick].view(np.int64)), slots=pa.array(slots))
+        of = {"id": pa.array([least[i] for i in some], pa.int64()), "k": pa.array(p.key[some]), "n": pa.array(n[some]), "chunk": pa.array([chunk] * len(some), pa.int64())}
+        classes = _first(len(some), **of, bits=pa.array([bits[i].tobytes() for i in some], pa.binary()), segments=pa.array([segments[i] for i in some], pa.list_(pa.binary())))
+        return pa.concat_tables([docs, classes, found])
 
     return group
 
@@ -210,22 +237,24 @@ def _cross(percent: int):
         k, n, label, side = (c[f][at] for f in ("k", "n", "label", "side"))
         bits = np.frombuffer(b"".join(c["bits"][at]), np.uint64).reshape(len(at), -1)
         upto = np.searchsorted(n, n.astype(np.int64) * 100 // percent, side="right")
-        held, size = [], 0
+        held, size, names = [], 0, ["x", "y", "lx", "ly", "apart"]
         two = c["two"][0]
         for i in range(len(k)):
             j = np.arange(i + 1, upto[i])
             j = j[(label[j] != label[i]) & (not two or side[j] != side[i])]
             if len(j):
                 apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
-                j = j[apart * (100 + percent) <= (n[j].astype(np.int64) + n[i]) * (100 - percent)]
+                ok = apart * (100 + percent) <= (n[j].astype(np.int64) + n[i]) * (100 - percent)
+                j, apart = j[ok], apart[ok]
             if len(j):
-                held.append(np.sort(np.stack([np.full(len(j), k[i]), k[j]], 1), 1))
+                x, y = np.where(label[j] < label[i], j, i), np.where(label[j] < label[i], i, j)  # the smaller label first
+                held.append(np.stack([k[x], k[y], label[x], label[y], apart]))
                 size += len(j)
             if size > 100_000:
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(held).T)), ["x", "y"])
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(held, 1))), names)
                 held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in np.concatenate(held).T], ["x", "y"])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(held, 1))), names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, names = None, ("s", "lo", "hi", "k", "n", "label", "side", "two", "bits")
@@ -259,77 +288,50 @@ def _possible(percent: int):
     return task
 
 
-SEGMENT = "y long, slot int, f int, x long, segment binary"
-
-
-def _segments(words: int):
-    """A document's set in fragments, for each pair it takes part in: to the pivot's slots as the pivot (x null), else to the pivot's slot.
-    A class is put out once a task, however often its row is repeated, and never by another text whose id and hash are the same."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for b in batches:
-            rows, size = [], 0
-            for text, key, to, slots in zip(b.column("text"), b.column("k").to_pylist(), b.column("to").to_pylist(), b.column("slots").to_pylist()):
-                if key in seen:
-                    continue
-                s = shingles(text.as_py(), words)
-                if _keys(s, np.array([len(s)]))[0] != key:
-                    continue
-                seen.add(key)
-                cuts = np.searchsorted(s, (np.arange(1, FRAGMENTS, dtype=np.uint64) << _U(62))) if FRAGMENTS == 4 else None
-                for f, segment in enumerate(np.split(s, cuts)):
-                    segment = segment.tobytes()
-                    rows += [(p["y"], p["slot"], f, key, segment) for p in to or []] + [(key, k, f, None, segment) for k in range(slots or 0)]
-                    size += len(segment) * (len(to or []) + (slots or 0))
-                if size > PART:
-                    yield _rows(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _rows(rows)
-
-    def _rows(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["y", "slot", "f", "x", "segment"])
-
-    return task
-
-
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over segments sorted by pivot, slot and fragment, the pivot's first, then by member: partial overlaps of its members, each once."""
+    """Over segments sorted by pivot, slot and fragment, the pivot's first, then by member: partial overlaps of its members, each
+    once. A pivot without shingles in a fragment has no segment there."""
     pivot, segment, member = None, None, None
     for b in batches:
         out = []
         for y, slot, f, x, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4)):
-            own = np.frombuffer(own.as_py(), np.uint64)
             if x is None:
-                pivot, segment, member = (y, slot, f), own, None
-            elif x != member or pivot != (y, slot, f):
-                if pivot != (y, slot, f):
-                    raise ValueError("a member came without its pivot")
+                pivot, segment, member = (y, slot, f), np.frombuffer(own.as_py(), np.uint64), None
+            elif pivot == (y, slot, f) and x != member:
                 member = x
-                out.append((x, y, len(np.intersect1d(own, segment, assume_unique=True))))
+                out.append((x, y, len(np.intersect1d(np.frombuffer(own.as_py(), np.uint64), segment, assume_unique=True))))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], ["x", "y", "o"])
 
 
-def gathered(df: DataFrame) -> DataFrame:
-    """A computed table in no more partitions than its rows need; small ones otherwise make many tiny files in every later shuffle."""
-    return df.coalesce(-(-df.count() // GATHER) or 1)
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """k, label: the smallest key reachable over edges (x, y). Labels spread to neighbours, and each jumps to its label's last label."""
-    both = gathered(cut(edges.select("x", "y").union(edges.select("y", "x")).distinct()))
-    parts = -(-both.count() // GATHER) or 1
-    labels = cut(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).withColumnRenamed("x", "k").coalesce(parts))
-    while True:
-        near = both.join(labels, both["y"] == labels["k"]).groupBy("x").agg(F.min("label").alias("near"))
-        new = labels.join(near, labels["k"] == near["x"]).select("k", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("k").alias("u"), F.col("label").alias("up"))
-        new = cut(new.join(up, new["label"] == up["u"]).select("k", "old", F.least("label", "up").alias("label")).coalesce(parts))
-        labels = new.select("k", "label")
-        if new.where("label <> old").isEmpty():
-            return labels
+    """k, label: the smallest key reachable over edges (a, b). Each end goes to its smallest neighbour and jumps on to where that one went
+    until none moves; then the edges are contracted, so that each turn has fewer of them."""
+    pairs = lambda df: stash(df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges, labels = pairs(edges), None
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("k"), F.col("b").alias("up")).union(edges.select("b", "a"))
+        up = stash(both.groupBy("k").agg(F.least(F.min("up"), F.col("k")).alias("up")))
+        moved = True
+        while moved:
+            far, was = up.select(F.col("k").alias("via"), F.col("up").alias("far")), up
+            up = stash(up.join(far, F.col("up") == F.col("via")).select("k", F.col("far").alias("up"), (F.col("up") != F.col("far")).alias("moved")))
+            unstash(was)
+            moved = not up.where("moved").isEmpty()
+        up = up.select("k", "up")
+        labels = up.withColumnRenamed("up", "label") if labels is None else relabelled(labels, up)
+        was = edges
+        for end in ("a", "b"):
+            edges = edges.join(up, F.col(end) == F.col("k")).withColumn(end, F.col("up")).select("a", "b")
+        edges = pairs(edges)
+        unstash(was)
+    return labels if labels is not None else edges.select(F.col("a").alias("k"), F.col("b").alias("label"))
+
+
+def relabelled(labels: DataFrame, up: DataFrame) -> DataFrame:
+    """Labels (k, label) after labels k of up have gone to up."""
+    up = up.select(F.col("k").alias("was"), "up")
+    return stash(labels.join(up, F.col("label") == F.col("was"), "left").select("k", F.coalesce("up", "label").alias("label")))
 
 
 class Join:
@@ -345,10 +347,12 @@ class Join:
         by_chunk = self.docs.withColumn("chunk", F.pmod(F.xxhash64("id", "t"), F.lit(chunks)).cast("long")).groupBy("chunk")
         counted = by_chunk.applyInArrow(_counting(words, shards), CHUNK_ROW).groupBy("shard").applyInArrow(_counted, CHUNK_ROW)
         first = stash(by_chunk.cogroup(counted.groupBy("chunk")).applyInArrow(_prefixes(words, percent, shards, hot), FIRST))
-        self.rows = first.where("s is null").select("id", "t", "k", "n", "row")
-        classes = first.where("s is null and n > 0").groupBy("k").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct("id", "t")).alias("r"))
-        self.classes = stash(classes)
+        self.rows = first.where("s is null and chunk is null").select("id", "t", "k", "n", "row")
+        parts = first.where("chunk is not null")
+        self.classes = stash(parts.groupBy("k").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("chunk").alias("home")))
+        self.sets = parts.where("segments is not null").select("k", "chunk", "segments")
         self.prefixes = first.where("s is not null").select("s", "k", "n", "slots")
+        self.labels = self.spark.createDataFrame([], "k long, label long")
 
     def meet(self, rows: DataFrame, turn: int, keep: bool) -> DataFrame:
         order = F.xxhash64("k", F.lit(turn))
@@ -356,71 +360,95 @@ class Join:
         rows = rows.repartition("s", "slot").sortWithinPartitions("s", "slot", "o", "k").drop("o")
         return rows.mapInArrow(_meet(self.percent, keep), "s long, k long, n int, slots int, y long")
 
-    def verified(self, pairs: DataFrame, best: bool) -> DataFrame:
-        """Links (x, y) among pairs. best: of each class's pairs, only the one that meets most often, by either side."""
+    def best(self, pairs: DataFrame) -> DataFrame:
+        """Of each class's pairs (k, y) the one that meets most often, by either side, as (x, y): y was chosen by x."""
+        pairs = stash(pairs.select(F.col("k").alias("x"), "y").groupBy("x", "y").agg(F.count("*").alias("c")))
+        ends = pairs.select("x", "y", "c").union(pairs.select("y", "x", "c"))
+        ends = ends.groupBy("x").agg(F.max(F.struct("c", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("h"), "y")).alias("b"))
+        chosen = ends.select(F.least("x", "b.y").alias("a"), F.greatest("x", "b.y").alias("z"), F.struct("x", "b.y").alias("p"))
+        return chosen.groupBy("a", "z").agg(F.min("p").alias("p")).select("p.x", "p.y")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Links (x, y) among distinct pairs (x, y). Of many pairs with one class it should be y, the pivot: its segments go to each of its
+        slots once, and the members' to theirs."""
         percent = self.percent
-        pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("c"))
-        if best:
-            pairs = gathered(cut(pairs))
-            ends = pairs.select(F.col("x").alias("e"), "*").union(pairs.select(F.col("y").alias("e"), "*"))
-            pairs = ends.groupBy("e").agg(F.max(F.struct("c", F.xxhash64("x", "y").alias("h"), "x", "y")).alias("b")).select("b.x", "b.y").distinct()
         side = lambda v: self.classes.select(F.col("k").alias(v), F.col("n").alias(f"n{v}"), F.col("bits").alias(f"b{v}"))
         pairs = pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_possible(percent), "x long, y long, nx int, ny int")
-        pairs = gathered(cut(pairs))
+        pairs = stash(pairs)
         pivots = pairs.groupBy("y").agg(F.ceil(F.count("*") / self.members).cast("int").alias("slots"))
-        members = pairs.join(pivots, "y").select("x", F.struct("y", F.pmod(F.xxhash64("x"), "slots").cast("int").alias("slot")).alias("p")).groupBy("x").agg(F.collect_list("p").alias("to"))
-        need = members.withColumnRenamed("x", "m").join(pivots, F.col("m") == F.col("y"), "full").select(F.coalesce("m", "y").alias("k"), "to", "slots")
-        need = gathered(cut(need.join(self.classes.select("k", "r"), "k").select("k", "to", "slots", F.col("r.id").alias("i"), F.col("r.t").alias("h"))))
-        if need.count() + pairs.count() <= BRING:
+        members = pairs.join(pivots, "y").select(F.col("x").alias("k"), "y", F.pmod(F.xxhash64("x"), "slots").cast("int").alias("slot"), "x")
+        own = pivots.select(F.col("y").alias("k"), "y", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(None).cast("long").alias("x"))
+        need = stash(members.union(own).join(self.classes.select("k", "home"), "k"))
+        if need.count() <= BRING:
             need = F.broadcast(need)
-        sets = self.docs.join(need, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("h"))).select("text", "k", "to", "slots")
-        segments = sets.mapInArrow(_segments(self.words), SEGMENT)
+        sets = self.sets.join(need.withColumnRenamed("k", "key"), (F.col("k") == F.col("key")) & (F.col("chunk") == F.col("home")))
+        segments = sets.select("y", "slot", "x", F.posexplode("segments").alias("f", "segment")).where(F.octet_length("segment") > 0).select("y", "slot", "f", "x", "segment")
         segments = segments.repartition("y", "slot", "f").sortWithinPartitions("y", "slot", "f", F.asc_nulls_first("x"))
         overlap = segments.mapInArrow(_overlaps, "x long, y long, o long").groupBy("x", "y").agg(F.sum("o").alias("o"))
         linked = overlap.join(pairs, ["x", "y"]).where((100 + percent) * F.col("o") >= percent * (F.col("nx") + F.col("ny")))
         return linked.select("x", "y")
 
-    def open(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+    def join(self, pairs: DataFrame) -> None:
+        """Joins the components of the linked ones of distinct pairs (x, y)."""
+        edges = self.verified(pairs).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        for end in ("a", "b"):
+            edges = edges.join(self.labels, F.col(end) == F.col("k"), "left").withColumn(end, F.coalesce("label", end)).select("a", "b")
+        up = components(edges).withColumnRenamed("label", "up")
+        fresh = up.join(self.labels.select(F.col("k").alias("known")), F.col("k") == F.col("known"), "left_anti").select("k", F.col("up").alias("label"))
+        self.labels = stash(relabelled(self.labels, up).union(fresh))
+
+    def label(self, rows: DataFrame, key: str, label: str) -> DataFrame:
+        """rows with the label of their class."""
+        labels = self.labels.select(F.col("k").alias("l"), F.col("label").alias("found"))
+        return rows.drop(label).join(labels, F.col(key) == F.col("l"), "left").withColumn(label, F.coalesce("found", key)).drop("l", "found")
+
+    def open(self, rows: DataFrame) -> DataFrame:
         """Rows of buckets that still hold two labels; of buckets with the same classes, which shared passages make, one is enough."""
-        rows = rows.drop("label").join(labels.withColumnRenamed("k", "l"), F.col("k") == F.col("l"), "left").withColumn("label", F.coalesce("label", "k")).drop("l")
-        rows = stash(rows)
+        was, rows = rows, stash(self.label(rows, "k", "label"))
+        unstash(was)
         held = [F.bit_xor(F.xxhash64("k", F.lit(seed))).alias(f"h{seed}") for seed in (1, 2)]
         several = rows.groupBy("s").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("c"), *held).where("a <> z")
         several = several.groupBy("c", "h1", "h2").agg(F.min("s").alias("s")).select("s")
-        return stash(rows.join(several, "s", "left_semi"))
+        left = stash(rows.join(several, "s", "left_semi"))
+        unstash(rows)
+        return left
 
     def cross(self, rows: DataFrame) -> DataFrame:
-        """Pairs of a bucket with different labels that may link; slots meet two by two, in blocks of a bounded size."""
+        """Pairs of a bucket with different labels that may link, and how many bits they are apart; the rows of a bucket are dealt into slots of
+        at most about `hot`, which meet two by two."""
+        slots = rows.groupBy("s").agg(F.ceil(F.count("*") / self.hot).cast("int").alias("slots"))
+        rows = rows.drop("slots").join(slots, "s")
         own = F.pmod(F.xxhash64("k"), F.col("slots")).cast("int")
         rows = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
         rows = rows.select("s", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "k", "n", "label", "side", (F.col("side") != F.col("other")).alias("two"))
         rows = rows.join(self.classes.select("k", "bits"), "k").select(*rows.columns, "bits")
         # a block of two slots also gets, from either, the rows that meet the other slot's
         rows = rows.repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
-        return rows.mapInArrow(_cross(self.percent), "x long, y long")
+        return rows.mapInArrow(_cross(self.percent), "x long, y long, lx long, ly long, apart long")
 
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """Links that connect all components, and the labels of the classes they touch."""
+    def links(self) -> DataFrame:
+        """Labels (k, label) of all classes that link with another one."""
         met = self.prefixes.withColumn("label", F.col("k"))
         met = stash(self.meet(met, 0, True))
-        links = stash(self.verified(met.where("y is not null").select(F.col("k").alias("x"), "y"), True))
-        labels = components(links)
-        rows = self.open(met.where("y is null").select("s", "k", "n", "slots"), labels)
+        self.join(self.best(met.where("y is not null")))
+        rows = self.open(met.where("y is null").select("s", "k", "n", "slots"))
         classes = self.classes.count()
         for turn in range(1, ROUNDS):
             each = rows.groupBy("s", "label").agg(F.count("*").cast("double").alias("c")).groupBy("s").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q"))
             if (each.agg(F.sum(F.col("c") * F.col("c") - F.col("q")) / 2).first()[0] or 0) <= FEW * classes:
                 break
-            more = self.meet(rows, turn, False).select(F.col("k").alias("x"), "y")
-            links = stash(links.union(self.verified(more, True)))
-            labels = components(links)
-            rows = self.open(rows, labels)
+            self.join(self.best(self.meet(rows, turn, False)))
+            rows = self.open(rows)
         if not rows.isEmpty():
-            last = stash(self.verified(self.cross(rows), False))
-            if not last.isEmpty():
-                links = stash(links.union(last))
-                labels = components(links)
-        return links, labels
+            close = stash(self.cross(rows).distinct())
+            chosen = stash(close.groupBy("lx", "ly").agg(F.min_by(F.struct("x", "y"), F.struct("apart", "x", "y")).alias("p")).select("p.x", "p.y"))
+            self.join(chosen)
+            rest = close.select("x", "y").join(chosen, ["x", "y"], "left_anti")
+            rest = self.label(self.label(rest, "x", "lx"), "y", "ly").where("lx <> ly").select("x", "y")
+            rest = stash(rest)
+            if not rest.isEmpty():
+                self.join(rest)
+        return self.labels
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, hot: int = HOT, members: int = MEMBERS) -> DataFrame:
@@ -437,9 +465,9 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
 
 def labelled(j: Join) -> DataFrame:
     """Rows (id, t, k, n, row) with their component's label and smallest id; neither for rows without shingles."""
-    _, labels = j.links()
+    labels = j.links()
     marked = j.classes.select("k", "least").join(labels.withColumnRenamed("k", "l"), F.col("k") == F.col("l"), "left").select("k", "least", F.coalesce("label", "k").alias("label"))
-    marked = cut(marked)
+    marked = stash(marked)
     smallest = marked.groupBy("label").agg(F.min("least").alias("component"))
     of = marked.join(smallest, "label").select(F.col("k").alias("c"), "label", "component")
     return j.rows.join(of, (F.col("k") == F.col("c")) & (F.col("n") > 0), "left")
@@ -449,7 +477,7 @@ def drop_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of each component: that with its smallest id, null last; of several, that with the smallest hash of its text, and of
     rows alike in both any one. Rows without shingles link with nothing and all stay."""
     docs, key = tagged(df)
-    rows = cut(labelled(Join(docs, id_col, text_col, WORDS, PERCENT, HOT, MEMBERS, key)).select("id", "t", "n", "row", "label"))
+    rows = stash(labelled(Join(docs, id_col, text_col, WORDS, PERCENT, HOT, MEMBERS, key)).select("id", "t", "n", "row", "label"))
     best = rows.where("n > 0").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t", "row")).alias("b")).select(F.col("b.row").alias(key))
     kept = best.union(rows.where("n = 0").select("row"))
     return docs.join(kept, key, "left_semi").select(*df.columns)

@@ -58,9 +58,10 @@ def corpus(seed):
 @pytest.mark.parametrize("words,percent,hot,few", [(5, 80, 50_000, 4), (5, 80, 8, 0), (2, 60, 20, 0)])
 def test_against_brute_force(spark, monkeypatch, words, percent, hot, few):
     monkeypatch.setattr(jaccard_join, "FEW", few)
-    monkeypatch.setattr(jaccard_join, "PART", 20_000)
-    if few == 0:
+    if few == 0:  # several chunks and shards, slots, no broadcast
         monkeypatch.setattr(jaccard_join, "BRING", 0)
+        monkeypatch.setattr(jaccard_join, "CHUNK", 4_000)
+        monkeypatch.setattr(jaccard_join, "SHARD", 9_000)
     rows = corpus(words)
     df = spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, k string").repartition(3)
     got = sorted(map(tuple, jaccard_join.similar(df, words=words, percent=percent, hot=hot, members=3).collect()), key=str)
@@ -72,6 +73,29 @@ def test_empty(spark):
     assert jaccard_join.similar(df).collect() == []
 
 
+@pytest.mark.parametrize("cuts", [(), ((9, 0),), ((8, 0.25), (8, 0.5), (12, 0), (17, 0), (25, 0.5))])
+def test_any_cuts_of_the_global_order(spark, monkeypatch, cuts):
+    """Few rounds, so that most links are found when all pairs left are compared."""
+    for name, value in (("CUTS", cuts), ("ROUNDS", 1), ("CHUNK", 3_000), ("SHARD", 5_000)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = corpus(11)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, jaccard_join.similar(df, hot=6).collect()), key=str)
+    assert got == sorted(brute(rows, 5, 80), key=str)
+
+
+def test_components(spark):
+    r = random.Random(4)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100, x) for x in range(101, 130)] + [tuple(r.sample(range(200, 260), 2)) for _ in range(45)]
+    up = {x: x for e in edges for x in e}
+    for _ in edges:
+        for a, b in edges:
+            up[a] = up[b] = min(up[a], up[b])
+    got = jaccard_join.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted(up.items())
+    assert jaccard_join.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_meeting_rows_across_batches():
     import numpy as np
     import pyarrow as pa
