@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, stash, tagged, unstash
@@ -35,8 +35,10 @@ CUTS = ((8, 0.5), (9, 0), (17, 0), (33, 0))
 CHUNK, SHARD = 4 << 20, 12 << 20
 #: Rows of a bucket's slot; rows (40 bytes each) that are broadcast to bring segments; members per pivot's slot.
 HOT, BRING, MEMBERS = 50_000, 200_000, 2_000
+#: Rows of a small table (pairs, labels) for each of its partitions.
+GATHER = 200_000
 #: Neighbour rounds at most, and pairs to compare for each class after which no further round is made.
-ROUNDS, FEW = 6, 16
+ROUNDS, FEW = 4, 100
 _U, _A = np.uint64, np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -304,41 +306,50 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*out)], ["x", "y", "o"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """k, label: the smallest key reachable over edges (a, b). Each end goes to its smallest neighbour and jumps on to where that one went
-    until none moves; then the edges are contracted, so that each turn has fewer of them."""
-    pairs = lambda df: stash(df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+def gathered(df: DataFrame, rows: int | None = None, light: bool = False) -> DataFrame:
+    """df, of at most about `rows` rows (None: counted), written in no more partitions than these need; a table of one partition needs no
+    shuffle later. light: df is computed in few partitions already, or by next to no work."""
+    if rows is None:
+        table = stash(df)
+        parts = table.count() // GATHER + 1
+    else:
+        parts = rows // GATHER + 1
+        table = stash(df.coalesce(parts) if light else df.repartition(parts))
+    found = table.coalesce(1) if parts == 1 else table
+    found._stashed = table._stashed
+    return found
+
+
+def components(edges: DataFrame, rows: int) -> DataFrame:
+    """k, label: the smallest key reachable over at most `rows` edges (a, b). Each end goes to its smallest neighbour and jumps on to where
+    that one went; then the edges are contracted, so that each turn has fewer of them. Keys are hashes, so paths to smaller ones are short."""
+    pairs = lambda df: gathered(df.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), rows, True)
     edges, labels = pairs(edges), None
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("k"), F.col("b").alias("up")).union(edges.select("b", "a"))
-        up = stash(both.groupBy("k").agg(F.least(F.min("up"), F.col("k")).alias("up")))
-        moved = True
-        while moved:
-            far, was = up.select(F.col("k").alias("via"), F.col("up").alias("far")), up
-            up = stash(up.join(far, F.col("up") == F.col("via")).select("k", F.col("far").alias("up"), (F.col("up") != F.col("far")).alias("moved")))
-            unstash(was)
-            moved = not up.where("moved").isEmpty()
-        up = up.select("k", "up")
-        labels = up.withColumnRenamed("up", "label") if labels is None else relabelled(labels, up)
+        up = gathered(both.groupBy("k").agg(F.least(F.min("up"), F.col("k")).alias("up")), 2 * rows, True)
+        for _ in range(3):
+            up = up.join(up.select(F.col("k").alias("via"), F.col("up").alias("far")), F.col("up") == F.col("via")).select("k", F.col("far").alias("up"))
+        up = gathered(up, 2 * rows, True)
+        labels = up.withColumnRenamed("up", "label") if labels is None else relabelled(labels, up, 2 * rows)
         was = edges
         for end in ("a", "b"):
-            edges = edges.join(up, F.col(end) == F.col("k")).withColumn(end, F.col("up")).select("a", "b")
+            edges = edges.join(up.withColumnRenamed("up", "to"), F.col(end) == F.col("k")).withColumn(end, F.col("to")).select("a", "b")
         edges = pairs(edges)
         unstash(was)
     return labels if labels is not None else edges.select(F.col("a").alias("k"), F.col("b").alias("label"))
 
 
-def relabelled(labels: DataFrame, up: DataFrame) -> DataFrame:
+def relabelled(labels: DataFrame, up: DataFrame, rows: int) -> DataFrame:
     """Labels (k, label) after labels k of up have gone to up."""
     up = up.select(F.col("k").alias("was"), "up")
-    return stash(labels.join(up, F.col("label") == F.col("was"), "left").select("k", F.coalesce("up", "label").alias("label")))
+    return gathered(labels.join(up, F.col("label") == F.col("was"), "left").select("k", F.coalesce("up", "label").alias("label")), rows, True)
 
 
 class Join:
     """State of a join: the documents, their classes, and the links found."""
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, words: int, percent: int, hot: int, members: int, row_col: str | None = None):
-        self.spark: SparkSession = df.sparkSession
         self.words, self.percent, self.hot, self.members = words, percent, hot, members
         text = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
         self.docs = df.select(F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col)).alias("t"), text.alias("text"), (F.col(row_col) if row_col else F.lit(None)).cast("string").alias("row"))
@@ -352,7 +363,8 @@ class Join:
         self.classes = stash(parts.groupBy("k").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("chunk").alias("home")))
         self.sets = parts.where("segments is not null").select("k", "chunk", "segments")
         self.prefixes = first.where("s is not null").select("s", "k", "n", "slots")
-        self.labels = self.spark.createDataFrame([], "k long, label long")
+        self.many = self.classes.count()
+        self.labels = gathered(df.sparkSession.createDataFrame([], "k long, label long"), 0, True)
 
     def meet(self, rows: DataFrame, turn: int, keep: bool) -> DataFrame:
         order = F.xxhash64("k", F.lit(turn))
@@ -362,23 +374,23 @@ class Join:
 
     def best(self, pairs: DataFrame) -> DataFrame:
         """Of each class's pairs (k, y) the one that meets most often, by either side, as (x, y): y was chosen by x."""
-        pairs = stash(pairs.select(F.col("k").alias("x"), "y").groupBy("x", "y").agg(F.count("*").alias("c")))
+        pairs = gathered(pairs.select(F.col("k").alias("x"), "y").groupBy("x", "y").agg(F.count("*").alias("c")))
         ends = pairs.select("x", "y", "c").union(pairs.select("y", "x", "c"))
         ends = ends.groupBy("x").agg(F.max(F.struct("c", F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("h"), "y")).alias("b"))
         chosen = ends.select(F.least("x", "b.y").alias("a"), F.greatest("x", "b.y").alias("z"), F.struct("x", "b.y").alias("p"))
         return chosen.groupBy("a", "z").agg(F.min("p").alias("p")).select("p.x", "p.y")
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Links (x, y) among distinct pairs (x, y). Of many pairs with one class it should be y, the pivot: its segments go to each of its
+    def verified(self, pairs: DataFrame, rows: int) -> DataFrame:
+        """Links (x, y) among at most `rows` distinct pairs (x, y). Of many pairs with one class it should be y, the pivot: its segments go to each of its
         slots once, and the members' to theirs."""
         percent = self.percent
         side = lambda v: self.classes.select(F.col("k").alias(v), F.col("n").alias(f"n{v}"), F.col("bits").alias(f"b{v}"))
         pairs = pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_possible(percent), "x long, y long, nx int, ny int")
-        pairs = stash(pairs)
+        pairs = gathered(pairs, rows)
         pivots = pairs.groupBy("y").agg(F.ceil(F.count("*") / self.members).cast("int").alias("slots"))
         members = pairs.join(pivots, "y").select(F.col("x").alias("k"), "y", F.pmod(F.xxhash64("x"), "slots").cast("int").alias("slot"), "x")
         own = pivots.select(F.col("y").alias("k"), "y", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.lit(None).cast("long").alias("x"))
-        need = stash(members.union(own).join(self.classes.select("k", "home"), "k"))
+        need = gathered(members.union(own).join(self.classes.select("k", "home"), "k"), 2 * rows)
         if need.count() <= BRING:
             need = F.broadcast(need)
         sets = self.sets.join(need.withColumnRenamed("k", "key"), (F.col("k") == F.col("key")) & (F.col("chunk") == F.col("home")))
@@ -388,14 +400,16 @@ class Join:
         linked = overlap.join(pairs, ["x", "y"]).where((100 + percent) * F.col("o") >= percent * (F.col("nx") + F.col("ny")))
         return linked.select("x", "y")
 
-    def join(self, pairs: DataFrame) -> None:
-        """Joins the components of the linked ones of distinct pairs (x, y)."""
-        edges = self.verified(pairs).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    def join(self, pairs: DataFrame, rows: int) -> None:
+        """Joins the components of the linked ones of at most `rows` distinct pairs (x, y)."""
+        edges = gathered(self.verified(pairs, rows).select(F.col("x").alias("a"), F.col("y").alias("b")), rows)
         for end in ("a", "b"):
             edges = edges.join(self.labels, F.col(end) == F.col("k"), "left").withColumn(end, F.coalesce("label", end)).select("a", "b")
-        up = components(edges).withColumnRenamed("label", "up")
+        up = components(edges, rows).withColumnRenamed("label", "up")
         fresh = up.join(self.labels.select(F.col("k").alias("known")), F.col("k") == F.col("known"), "left_anti").select("k", F.col("up").alias("label"))
-        self.labels = stash(relabelled(self.labels, up).union(fresh))
+        was = self.labels
+        self.labels = gathered(relabelled(was, up, self.many).union(fresh), self.many, True)
+        unstash(was)
 
     def label(self, rows: DataFrame, key: str, label: str) -> DataFrame:
         """rows with the label of their class."""
@@ -430,24 +444,24 @@ class Join:
         """Labels (k, label) of all classes that link with another one."""
         met = self.prefixes.withColumn("label", F.col("k"))
         met = stash(self.meet(met, 0, True))
-        self.join(self.best(met.where("y is not null")))
+        self.join(self.best(met.where("y is not null")), self.many)
         rows = self.open(met.where("y is null").select("s", "k", "n", "slots"))
-        classes = self.classes.count()
+        unstash(met)
         for turn in range(1, ROUNDS):
             each = rows.groupBy("s", "label").agg(F.count("*").cast("double").alias("c")).groupBy("s").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("q"))
-            if (each.agg(F.sum(F.col("c") * F.col("c") - F.col("q")) / 2).first()[0] or 0) <= FEW * classes:
+            if (each.agg(F.sum(F.col("c") * F.col("c") - F.col("q")) / 2).first()[0] or 0) <= FEW * self.many:
                 break
-            self.join(self.best(self.meet(rows, turn, False)))
+            self.join(self.best(self.meet(rows, turn, False)), self.many)
             rows = self.open(rows)
         if not rows.isEmpty():
             close = stash(self.cross(rows).distinct())
-            chosen = stash(close.groupBy("lx", "ly").agg(F.min_by(F.struct("x", "y"), F.struct("apart", "x", "y")).alias("p")).select("p.x", "p.y"))
-            self.join(chosen)
+            left = close.count()
+            chosen = gathered(close.groupBy("lx", "ly").agg(F.min_by(F.struct("x", "y"), F.struct("apart", "x", "y")).alias("p")).select("p.x", "p.y"), left)
+            self.join(chosen, left)
             rest = close.select("x", "y").join(chosen, ["x", "y"], "left_anti")
-            rest = self.label(self.label(rest, "x", "lx"), "y", "ly").where("lx <> ly").select("x", "y")
-            rest = stash(rest)
+            rest = gathered(self.label(self.label(rest, "x", "lx"), "y", "ly").where("lx <> ly").select("x", "y"), left)
             if not rest.isEmpty():
-                self.join(rest)
+                self.join(rest, left)
         return self.labels
 
 

@@ -60,6 +60,7 @@ def test_against_brute_force(spark, monkeypatch, words, percent, hot, few):
     monkeypatch.setattr(jaccard_join, "FEW", few)
     if few == 0:  # several chunks and shards, slots, no broadcast
         monkeypatch.setattr(jaccard_join, "BRING", 0)
+        monkeypatch.setattr(jaccard_join, "GATHER", 20)
         monkeypatch.setattr(jaccard_join, "CHUNK", 4_000)
         monkeypatch.setattr(jaccard_join, "SHARD", 9_000)
     rows = corpus(words)
@@ -86,14 +87,15 @@ def test_any_cuts_of_the_global_order(spark, monkeypatch, cuts):
 
 def test_components(spark):
     r = random.Random(4)
-    edges = [(k, k + 1) for k in range(0, 60)] + [(100, x) for x in range(101, 130)] + [tuple(r.sample(range(200, 260), 2)) for _ in range(45)]
+    path = r.sample(range(60), 60)
+    edges = [*zip(path, path[1:]), (98, 99), (97, 98), (96, 97), (95, 96)] + [(100, x) for x in range(101, 130)] + [tuple(r.sample(range(200, 260), 2)) for _ in range(45)]
     up = {x: x for e in edges for x in e}
     for _ in edges:
         for a, b in edges:
             up[a] = up[b] = min(up[a], up[b])
-    got = jaccard_join.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()
+    got = jaccard_join.components(spark.createDataFrame(edges, "a long, b long").repartition(3), 200).collect()
     assert sorted(map(tuple, got)) == sorted(up.items())
-    assert jaccard_join.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert jaccard_join.components(spark.createDataFrame([], "a long, b long"), 0).collect() == []
 
 
 def test_meeting_rows_across_batches():
