@@ -1,24 +1,27 @@
 """MCAP recordings as DataFrames, after the public MCAP format: messages, chunk indexes and summaries.
 
-Formats: mcap_messages, mcap_chunks, mcap_summary (register() makes them known to a session). Options: path (a folder or file, any
-URI that pyarrow opens), and for messages topics (comma-separated), from_ns and to_ns. One partition reads one chunk of a file,
-found through the chunk index at its end, and chunks outside the times asked for are never opened; a file without a valid index
-is one partition, read from its start. A record that is cut short ends its file with a row that has an error and no message.
+Formats: mcap_messages, mcap_times (the same without payloads), mcap_chunks, mcap_summary; register() makes them known to a session.
+Options: path (a folder or file, any URI that pyarrow opens), flat (true: not the folders below), and for messages topics
+(comma-separated), from_ns and to_ns; filters on topic and log_time_ns are pushed down. One partition reads one chunk of a file,
+found through the chunk index at its end, and chunks outside the times asked for are never opened; another one reads the records between
+the chunks. A file without a valid index is one partition, read record by record from its start. A record that is cut short or a
+chunk that can't be unpacked ends its partition with a row that has an error and no message.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 #: The magic, and opcodes of records.
 MAGIC = b"\x89MCAP0\r\n"
-HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, CHUNK_INDEX, STATISTICS, DATA_END = 1, 2, 3, 4, 5, 6, 8, 11, 15
+HEADER, FOOTER, SCHEMA, CHANNEL, MESSAGE, CHUNK, MESSAGE_INDEX, CHUNK_INDEX, ATTACHMENT, STATISTICS, DATA_END = 1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 15
 
 
 class McapError(ValueError):
@@ -70,13 +73,19 @@ def unpack_chunk(body: bytes) -> bytes:
     if kind == "zstd":
         import zstandard
 
-        return zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
+        try:
+            return zstandard.ZstdDecompressor().decompress(data, max_output_size=size)
+        except zstandard.ZstdError as e:
+            raise McapError(f"a chunk can't be unpacked: {e}") from e
     if kind == "lz4":
         try:
             import lz4.frame
         except ImportError as e:
             raise McapError("lz4 chunks need the lz4 package") from e
-        return lz4.frame.decompress(data)
+        try:
+            return lz4.frame.decompress(data)
+        except RuntimeError as e:
+            raise McapError(f"a chunk can't be unpacked: {e}") from e
     if kind:
         raise McapError(f"unknown compression {kind}")
     return data
@@ -92,6 +101,18 @@ class Index:
     counts: dict[int, int]
     start: int | None = None
     end: int | None = None
+    profile: str | None = None
+    library: str | None = None
+    more: dict = field(default_factory=dict)
+
+
+def read_header(file, index: Index) -> None:
+    """Profile and library, from the record after the magic."""
+    file.seek(len(MAGIC))
+    op, n = struct.unpack("<BQ", file.read(9))
+    if op == HEADER:
+        c = Cursor(file.read(n))
+        index.profile, index.library = c.text(), c.text()
 
 
 def add_definition(index: Index, op: int, body: bytes) -> None:
@@ -124,7 +145,9 @@ def read_index(file, size: int) -> Index | None:
             if op == CHUNK_INDEX:
                 index.chunks.append(tuple(c.number("Q") for _ in range(4)))
             elif op == STATISTICS:
-                c.take(8 + 2 + 16)
+                c.take(8 + 2)
+                c.number("I")
+                index.more = {k: c.number("I") for k in ("attachments", "metadata", "chunks")}
                 index.start, index.end = c.number("Q"), c.number("Q")
                 index.counts = c.pairs("HQ")
             else:
@@ -134,13 +157,23 @@ def read_index(file, size: int) -> Index | None:
     return index if index.channels else None
 
 
-def find_files(path: str) -> list[tuple[str, int]]:
-    """(URI, size) of the .mcap files at or below path, without hidden ones."""
+def find_files(path: str, suffix: str = ".mcap", recursive: bool = True) -> list[tuple[str, int]]:
+    """(URI, size) of the files with that suffix, case ignored, in path and (recursive) below, without hidden ones, by lower-cased path.
+    A folder that can't be read is left out."""
     store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     prefix = path[: len(path) - len(root)] if "://" in path else ""
     info = store.get_file_info(root)
-    found = [info] if info.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
-    files = [(prefix + f.path, f.size) for f in found if f.is_file and f.base_name.lower().endswith(".mcap") and not f.base_name.startswith(".")]
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    found, folders = ([info], []) if info.is_file else ([], [root])
+    while folders:
+        try:
+            inside = store.get_file_info(fs.FileSelector(folders.pop()))
+        except OSError:
+            continue
+        found += [f for f in inside if f.is_file]
+        folders += [f.path for f in inside if recursive and f.type == fs.FileType.Directory]
+    files = [(prefix + f.path, f.size) for f in found if f.is_file and f.base_name.lower().endswith(suffix) and not f.base_name.startswith(".")]
     return sorted(files, key=lambda f: (f[0].lower(), f[0]))
 
 
@@ -149,55 +182,96 @@ def open_file(uri: str):
     return store.open_input_file(name)
 
 
+def stream(file, at: int, end: int, skip: tuple[int, ...] = ()) -> Iterator[tuple[int, bytes]]:
+    """(opcode, body) of the records of a file from at to end, read one by one; bodies of opcodes in skip are passed over."""
+    while at < end:
+        file.seek(at)
+        head = file.read(9)
+        if not head:
+            return
+        if len(head) < 9:
+            raise McapError("a record's head ends early")
+        op, n = struct.unpack("<BQ", head)
+        body = b"" if op in skip else file.read(n)
+        if op not in skip and len(body) < n:
+            raise McapError("a record ends early")
+        yield op, body
+        at += 9 + n
+
+
 @dataclass
 class Piece(InputPartition):
+    """Part of a file: one chunk (offset, length), the records between its chunks (regions), or all of it."""
+
     file: str
     size: int
     offset: int | None = None
     length: int | None = None
     ordinal: int = 0
+    regions: tuple = ()
+
+
+def index_of(f: tuple[str, int]) -> Index | None:
+    with open_file(f[0]) as file:
+        return read_index(file, f[1])
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.recursive = options["path"], options.get("flat", "false").lower() != "true"
         self.topics = {t for t in options.get("topics", "").split(",") if t}
         self.low, self.high = int(options.get("from_ns", 0)), int(options.get("to_ns", 2**63 - 1))
 
+    def files(self) -> list[tuple[str, int]]:
+        return find_files(self.path, recursive=self.recursive)
+
     def partitions(self):
-        return [Piece(f, n) for f, n in find_files(self.path)]
+        return [Piece(f, n) for f, n in self.files()] or [Piece("", 0)]
 
 
 class _Messages(_Reader):
+    payload = True
+
+    def pushFilters(self, filters):
+        """Narrows topics and times; Spark applies the filters again."""
+        for f in filters:
+            if f.attribute == ("topic",) and isinstance(f, (EqualTo, In)):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.topics = wanted & self.topics if self.topics else wanted
+                self.topics = self.topics or {None}
+            elif f.attribute == ("log_time_ns",):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    self.high = min(self.high, f.value - isinstance(f, LessThan))
+            yield f
+
     def partitions(self):
-        out = []
-        for f, n in find_files(self.path):
-            with open_file(f) as file:
-                index = read_index(file, n)
-            if index and index.chunks:
-                out += [Piece(f, n, at, length, k) for k, (a, z, at, length) in enumerate(sorted(index.chunks, key=lambda c: c[2])) if z >= self.low and a <= self.high]
-            else:
+        files, out = self.files(), []
+        with ThreadPoolExecutor(32) as pool:  # the ends of the files only
+            indexes = list(pool.map(index_of, files))
+        for (f, n), index in zip(files, indexes):
+            if not index or not index.chunks:
                 out.append(Piece(f, n))
+                continue
+            chunks = sorted(index.chunks, key=lambda c: c[2])
+            edges = [len(MAGIC), *(x for _, _, at, length in chunks for x in (at, at + length)), n]
+            out.append(Piece(f, n, regions=tuple((lo, hi) for lo, hi in zip(edges[::2], edges[1::2]) if lo < hi)))
+            out += [Piece(f, n, at, length, k + 1) for k, (a, z, at, length) in enumerate(chunks) if z >= self.low and a <= self.high]
         return out or [Piece("", 0)]
 
     def read(self, p):
         if not p.file:
             return
         with open_file(p.file) as file:
-            index = Index([], {}, {}, {})
-            if p.offset is None:
-                data = file.read()
-                if not data.startswith(MAGIC):
-                    yield (p.file, None, None, None, None, None, None, None, "no MCAP file")
-                    return
-                source = self._whole(data, index)
-            else:
-                index = read_index(file, p.size)
-                file.seek(p.offset)
-                source = self._chunk(file.read(p.length), index)
             k = p.ordinal << 32
+            bad = (None,) * (8 if self.payload else 7)
             try:
-                for body in source:
+                if file.read(len(MAGIC)) != MAGIC:
+                    raise McapError("no MCAP file")
+                whole = p.offset is None and not p.regions
+                index = Index([], {}, {}, {}) if whole else read_index(file, p.size)
+                for body in self._bodies(file, p, index):
                     c = Cursor(body)
                     channel, sequence, log, publish = c.number("H"), c.number("I"), c.number("Q"), c.number("Q")
                     if channel not in index.channels:
@@ -205,45 +279,66 @@ class _Messages(_Reader):
                     topic = index.channels[channel][1]
                     k += 1
                     if (not self.topics or topic in self.topics) and self.low <= log <= self.high:
-                        yield (p.file, k, channel, topic, sequence, log, publish, body[c.at :], None)
+                        row = (p.file, k, channel, topic, sequence, log, publish)
+                        yield (*row, body[c.at :], None) if self.payload else (*row, None)
             except McapError as e:
-                yield (p.file, None, None, None, None, None, None, None, str(e))
-
-    def _chunk(self, data: bytes, index: Index):
-        for _, body in records(data):
-            for op, inner in records(unpack_chunk(body)):
-                add_definition(index, op, inner)
-                if op == MESSAGE:
-                    yield inner
-
-    def _whole(self, data: bytes, index: Index):
-        for op, body in records(data, len(MAGIC)):
-            if op in (FOOTER, DATA_END):
-                return
-            add_definition(index, op, body)
-            if op == MESSAGE:
-                yield body
-            elif op == CHUNK:
-                for inner_op, inner in records(unpack_chunk(body)):
+                yield (p.file, *bad[1:], str(e))
+
+    def _bodies(self, file, p, index: Index):
+        """Bodies of messages; definitions on the way go to the index."""
+        whole = p.offset is None and not p.regions
+        regions = [(p.offset, p.offset + p.length)] if p.offset is not None else p.regions or [(len(MAGIC), p.size)]
+        for lo, hi in regions:
+            for op, body in stream(file, lo, hi, () if whole or p.offset is not None else (CHUNK, CHUNK_INDEX, MESSAGE_INDEX, ATTACHMENT)):
+                if op in (FOOTER, DATA_END):
+                    return
+                for inner_op, inner in records(unpack_chunk(body)) if op == CHUNK and body else [(op, body)]:
                     add_definition(index, inner_op, inner)
                     if inner_op == MESSAGE:
                         yield inner
 
 
+class _Times(_Messages):
+    payload = False
+
+
 class _Chunks(_Reader):
     def read(self, p):
-        with open_file(p.file) as file:
-            index = read_index(file, p.size)
+        index = index_of((p.file, p.size)) if p.file else None
         yield from ((p.file, *c) for c in (index.chunks if index else []))
 
 
 class _Summary(_Reader):
+    """From the index, or else (from_index false) by a scan, which ends at the first record that can't be read."""
+
     def read(self, p):
+        if not p.file:
+            return
         with open_file(p.file) as file:
+            if file.read(len(MAGIC)) != MAGIC:
+                return
             index = read_index(file, p.size)
-        for i, (schema, topic, encoding) in sorted(index.channels.items()) if index else []:
+            found = index is not None
+            try:
+                if not found:
+                    index = self._scan(file, p)
+                read_header(file, index)
+            except (McapError, struct.error):
+                pass
+            index = index or self.scanned
+        for i, (schema, topic, encoding) in sorted(index.channels.items()):
             name, schema_encoding = index.schemas.get(schema, (None, None))
-            yield (p.file, i, topic, encoding, name, schema_encoding, index.counts.get(i, 0), index.start, index.end)
+            more = [index.more.get(k) for k in ("attachments", "metadata", "chunks")]
+            yield (p.file, i, topic, encoding, name, schema_encoding, index.counts.get(i, 0), index.start, index.end, index.profile, index.library, *more, found)
+
+    def _scan(self, file, p) -> Index:
+        self.scanned = index = Index([], {}, {}, {})
+        for body in _Messages({"path": self.path})._bodies(file, p, index):
+            channel, log = struct.unpack_from("<H", body)[0], struct.unpack_from("<Q", body, 6)[0]
+            index.counts[channel] = index.counts.get(channel, 0) + 1
+            index.start = log if index.start is None else min(index.start, log)
+            index.end = log if index.end is None else max(index.end, log)
+        return index
 
 
 def _source(kind: str, columns: str, reader: type[_Reader]) -> type[DataSource]:
@@ -261,13 +356,17 @@ def _source(kind: str, columns: str, reader: type[_Reader]) -> type[DataSource]:
     return Source
 
 
+_KEY = "file string, ordinal long, channel_id int, topic string, sequence long, log_time_ns long, publish_time_ns long"
 SOURCES = [
-    _source("mcap_messages", "file string, ordinal long, channel_id int, topic string, sequence long, log_time_ns long, publish_time_ns long, data binary, error string", _Messages),
+    _source("mcap_messages", f"{_KEY}, data binary, error string", _Messages),
+    _source("mcap_times", f"{_KEY}, error string", _Times),
     _source("mcap_chunks", "file string, start_ns long, end_ns long, offset long, length long", _Chunks),
-    _source("mcap_summary", "file string, channel_id int, topic string, message_encoding string, schema_name string, schema_encoding string, messages long, start_ns long, end_ns long", _Summary),
+    _source("mcap_summary", "file string, channel_id int, topic string, message_encoding string, schema_name string, schema_encoding string, messages long, start_ns long, end_ns long, "
+            "profile string, library string, attachments long, metadata long, chunks long, from_index boolean", _Summary),
 ]
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for s in SOURCES:
         spark.dataSource.register(s)

@@ -56,7 +56,7 @@ def test_index_prunes_chunks_and_answers_counts(spark, tmp_path):
     make(tmp_path / "x.mcap", ROWS)
     load = lambda f, **o: spark.read.format(f).options(path=str(tmp_path), **o).load()
     assert load("mcap_chunks").count() == 3
-    assert load("mcap_messages", to_ns="1030").rdd.getNumPartitions() == 1
+    assert load("mcap_messages", to_ns="1030").rdd.getNumPartitions() == 2  # the chunk, and what lies between chunks
     assert sorted((r.topic, r.messages, r.start_ns, r.end_ns) for r in load("mcap_summary").collect()) == [("/a", 5, 1000, 1090), ("/b", 5, 1000, 1090)]
 
 
@@ -67,3 +67,67 @@ def test_faults_become_rows(spark, tmp_path):
     rows = spark.read.format("mcap_messages").options(path=str(tmp_path)).load().collect()
     assert {r.error for r in rows if r.file.endswith("b.mcap")} == {"no MCAP file"}
     assert sum(r.error is None for r in rows) == 8 and any(r.error and r.file.endswith("a.mcap") for r in rows)
+
+
+def loose(path, cut_chunk=False):
+    """A message between two chunks, which the index doesn't name, and maybe a chunk that can't be unpacked."""
+    make(path, ROWS, kind="zstd")
+    raw = path.read_bytes()
+    (a, z, at, length), extra = index_entries(raw)[0], rec(5, struct.pack("<HIQQ", 2, 99, 1035, 1035) + b"loose")
+    moved = raw[: at + length] + extra + raw[at + length :]
+    if cut_chunk:
+        moved = moved[: at + length - 6] + b"\xff" * 6 + moved[at + length :]
+    path.write_bytes(shift(moved, at + length, len(extra)))
+
+
+def index_entries(raw):
+    start = struct.unpack_from("<Q", raw, len(raw) - 8 - 20)[0]
+    return [struct.unpack_from("<QQQQ", body) for op, body in mcap.records(raw[start : len(raw) - 8 - 29]) if op == 8]
+
+
+def shift(raw, beyond, by):
+    """Moves the offsets of the index and the footer past an insertion."""
+    out = bytearray(raw)
+    start = struct.unpack_from("<Q", raw, len(raw) - 28)[0] + by
+    struct.pack_into("<Q", out, len(raw) - 28, start)
+    at = start
+    while at < len(raw) - 37:
+        op, n = struct.unpack_from("<BQ", raw, at)
+        if op == 8:
+            place = struct.unpack_from("<Q", raw, at + 9 + 16)[0]
+            struct.pack_into("<Q", out, at + 9 + 16, place + by if place >= beyond else place)
+        at += 9 + n
+    return bytes(out)
+
+
+def test_records_between_chunks_are_read_and_bad_chunks_become_rows(spark, tmp_path):
+    mcap.register(spark)
+    (tmp_path / "good").mkdir()
+    (tmp_path / "bad").mkdir()
+    loose(tmp_path / "good" / "x.mcap")
+    loose(tmp_path / "bad" / "x.mcap", cut_chunk=True)
+    load = lambda f, **o: spark.read.format("mcap_messages").options(path=str(tmp_path / f), **o).load()
+    good = load("good").collect()
+    assert len(good) == 11 and [bytes(r.data) for r in good if r.sequence == 99] == [b"loose"] and not any(r.error for r in good)
+    bad = load("bad").collect()
+    assert sum(r.error is None for r in bad) == 7 and sum("unpacked" in (r.error or "") for r in bad) == 1
+    times = spark.read.format("mcap_times").option("path", str(tmp_path / "good")).load()
+    assert times.count() == 11 and "data" not in times.columns
+    assert load(".", flat="true").count() == 0
+
+
+def test_filters_reach_the_reader_and_scans_stand_in_for_the_index(spark, tmp_path):
+    mcap.register(spark)
+    make(tmp_path / "x.mcap", ROWS)
+    make(tmp_path / "y.mcap", ROWS, summary=False)
+    df = spark.read.format("mcap_messages").option("path", str(tmp_path)).load()
+    got = sorted((r.file[-6:], r.log_time_ns) for r in df.where("topic = '/b' and log_time_ns > 1030 and log_time_ns <= 1070").collect())
+    assert got == [(f, t) for f in ("x.mcap", "y.mcap") for t in (1050, 1070)]
+    reader = mcap._Messages({"path": str(tmp_path)})
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    list(reader.pushFilters([EqualTo(("topic",), "/b"), GreaterThan(("log_time_ns",), 1070)]))
+    assert reader.topics == {"/b"} and len([p for p in reader.partitions() if p.offset]) == 1
+    rows = spark.read.format("mcap_summary").option("path", str(tmp_path)).load().collect()
+    assert {(r.file[-6:], r.topic, r.messages, r.start_ns, r.end_ns, r.library, r.from_index) for r in rows} == {(f, t, 5, 1000, 1090, "t", f == "x.mcap") for f in ("x.mcap", "y.mcap") for t in ("/a", "/b")}
+    assert {(r.file[-6:], r.chunks) for r in rows} == {("x.mcap", 3), ("y.mcap", None)}
