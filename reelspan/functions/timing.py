@@ -28,11 +28,23 @@ def iso_utc(ns: Column) -> Column:
     return F.when(is_absolute(ns), F.concat(text, F.lit("Z")))
 
 
-def clock(seconds: Column) -> Column:
-    """h:mm:ss of seconds; empty for null."""
-    s = F.floor(seconds).cast("long")
+def _hms(s: Column) -> Column:
     pad = lambda x: F.lpad(x.cast("string"), 2, "0")
-    return F.coalesce(F.concat_ws(":", F.floor(s / 3600).cast("string"), pad(F.floor(s / 60) % 60), pad(s % 60)), F.lit(""))
+    return F.concat_ws(":", F.floor(s / 3600).cast("string"), pad(F.floor(s / 60) % 60), pad(s % 60))
+
+
+def clock(seconds: Column) -> Column:
+    """h:mm:ss of seconds; a dash for null, NaN, negative ones and more than ten million."""
+    usable = seconds.isNotNull() & ~F.isnan(seconds.cast("double")) & (seconds >= 0) & (seconds <= 10**7)
+    return F.when(usable, _hms(F.floor(seconds).cast("long"))).otherwise("\u2014")
+
+
+def position(ms: Column, millis: bool = False) -> Column:
+    """mm:ss of milliseconds, h:mm:ss from an hour on, with the milliseconds if asked for; null and negative ones count as 0."""
+    ms = F.greatest(F.coalesce(ms.cast("double"), F.lit(0.0)), F.lit(0.0))
+    s = F.floor(ms / 1000).cast("long")
+    text = F.when(s >= 3600, _hms(s)).otherwise(F.substring(F.concat(F.lit("0"), _hms(s)), 4, 5))
+    return F.concat(text, F.lit("."), F.lpad(F.floor(ms % 1000).cast("string"), 3, "0")) if millis else text
 
 
 def human_size(n: Column) -> Column:
@@ -44,7 +56,8 @@ def human_size(n: Column) -> Column:
 
 
 def clamp_rate(rate: Column) -> Column:
-    return F.least(F.greatest(rate, F.lit(RATES[0])), F.lit(RATES[-1]))
+    """rate within RATES, to four places."""
+    return F.bround(F.least(F.greatest(rate.cast("double"), F.lit(RATES[0])), F.lit(RATES[-1])), 4)
 
 
 def next_rate(rate: Column, up: bool = True) -> Column:
@@ -54,9 +67,9 @@ def next_rate(rate: Column, up: bool = True) -> Column:
 
 
 def fit_width(width: Column, height: Column, most: int = 1280) -> tuple[Column, Column]:
-    """Even width and height of at most `most` columns, in the picture's proportion."""
+    """Even width and height of at most `most` columns (0: any), in the picture's proportion."""
     even = lambda x: F.greatest(F.lit(2), x - x % 2)
-    wide = width > most
+    wide = (width > most) & F.lit(most > 0)
     return F.when(wide, even(F.lit(most))).otherwise(even(width)).cast("long"), F.when(wide, even(F.bround(height * most / width, 0).cast("long"))).otherwise(even(height)).cast("long")
 
 

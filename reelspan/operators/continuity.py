@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import BIN, with_previous, with_running
 
 
-def blocks(df: DataFrame, keys: list[str], order: list[str], stamp: str, length: str, rate: int, per_second: int = 1_000_000_000, tolerance: int = 1_000_000, policy: str = "fill", width: int = BIN) -> DataFrame:
+def blocks(df: DataFrame, keys: list[str], order: list[str], stamp: str, length: str, rate: int, per_second: int = 1_000_000_000, tolerance: int = 1_000_000, policy: str = "fill", width: int | None = None) -> DataFrame:
     """df with fill, trim (samples), kind (gap, overlap or null), delta and position (samples written before the row's fill).
 
     A block is expected at the previous block's stamp plus its whole length. A gap of more than tolerance is filled (policy fill)
     or only reported (ignore), an overlap trims the block. Empty blocks are skipped before: they have no row. Sample counts are
-    rounded half-even. order begins with the integer column of time.
+    rounded half-even. order begins with the integer column of time. width: bins of time that are ordered at once, a day by default.
     """
+    width = width or BIN * per_second // 1_000_000
     rows = df.where(F.col(length) > 0)
     expected = F.col(stamp) + F.bround(F.col(length).cast("decimal(20,0)") * per_second / rate, 0).cast("long")
     rows = with_previous(rows.withColumn("__end", expected), keys, order, "__end", "__expected", width).drop("__end")
@@ -34,7 +35,8 @@ def totals(df: DataFrame, keys: list[str], length: str, listed: int = 50) -> Dat
     """Counts and samples of gaps and overlaps by key, samples written, and the first `listed` gaps as (position, fill)."""
     gap, overlap = F.col("kind") == "gap", F.col("kind") == "overlap"
     n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    gaps = df.where(gap).groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct("position", "fill"))), 1, listed).alias("first_gaps"))
+    first = df.where(gap).select(*keys, "position", "fill", F.row_number().over(Window.partitionBy(*keys).orderBy("position", "fill")).alias("__n")).where(F.col("__n") <= listed)
+    gaps = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("position", "fill"))).alias("first_gaps"))
     out = df.groupBy(*keys).agg(n(gap).alias("gaps"), n(overlap).alias("overlaps"), F.sum("fill").alias("filled"), F.sum("trim").alias("trimmed"), F.sum(F.col("fill") + F.col(length) - F.col("trim")).alias("written"))
     return out.join(gaps, keys, "left")
 
@@ -61,6 +63,12 @@ def format_lock(df: DataFrame, keys: list[str], order: list[str], fmt: str, supp
     return rows.withColumn("error", F.when(F.col("__end").isNotNull(), F.col("__error"))).where(ok).drop("__fmt", "__end", "__error")
 
 
+def offset(audio_first_stamp: Column, video_first_stamp: Column, audio_first_log: Column, video_first_log: Column, time_source: Column, setting: Column) -> Column:
+    """Audio's first time less video's, by the payload's clock if the video is timed by it, else by the log's, and the setting."""
+    by_payload = F.coalesce((time_source == "payload_timestamp") & audio_first_stamp.isNotNull() & video_first_stamp.isNotNull(), F.lit(False))
+    return F.when(by_payload, audio_first_stamp - video_first_stamp).otherwise(audio_first_log - video_first_log) + setting
+
+
 def av_offset(audio_first: Column, video_first: Column, setting: Column) -> tuple[Column, Column]:
     """Delays of audio and of video from their first stamps; a negative offset delays the video."""
     offset = audio_first - video_first + setting

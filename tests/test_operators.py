@@ -74,14 +74,25 @@ def test_every_join_reason(spark):
 
 def test_detect_joins_parts_and_obeys_overrides(spark):
     ns, p = 1_000_000_000, 33_333_333
-    parts = [("f", "a", ["/c"], "x", 0, ns, p), ("f", "b", ["/c"], "x", ns + p, 2 * ns, p), ("f", "c", ["/c"], "x", 9 * ns, 10 * ns, p), ("f", "d", ["/c"], "x", None, None, None)]
-    df = spark.createDataFrame(parts, "folder string, name string, topics array<string>, codec string, first_ns long, last_ns long, period_ns long")
+    track = lambda a, z, period=p, codec="x", topic="/c": (topic, a, z, period, codec)
+    parts = [("f", "a.mcap", 0, [track(0, ns)]), ("f", "b.mcap", ns + p, [track(ns + p, 2 * ns)]), ("f", "c.mcap", 9 * ns, [track(9 * ns, 10 * ns)]), ("f", "d.mcap", None, [])]
+    parts += [("g", "a", 0, [track(0, ns, None)]), ("g", "b", 2 * ns, [track(2 * ns, 3 * ns, ns)]), ("g", "c", 4 * ns, [track(4 * ns, 5 * ns, ns, "y")])]  # the later part's period stands in
+    two = lambda a, z, d=0: [track(a, z, topic="/a"), track(a + d, z + d, topic="/b")]
+    parts += [("h", "a", 0, two(0, ns)), ("h", "b", ns + p, two(ns + p, 2 * ns, -p)), ("h", "c", 2 * ns + p, [track(2 * ns + p, 3 * ns, topic="/a")]), ("h", "d", 3 * ns + p, [track(3 * ns + p, 4 * ns, topic="/a")])]
+    df = spark.createDataFrame(parts, "folder string, name string, first_ns long, tracks array<struct<topic:string,first_ns:long,last_ns:long,period_ns:long,codec:string>>")
     none = spark.createDataFrame([], "folder string, a string, b string, kind string")
-    got = {x.name: (x.session, x.reason, x.title, x.origin) for x in sessions.detect(df, none).collect()}
-    assert got == {"a": (1, None, "a-b", "auto"), "b": (1, "continuous", "a-b", "auto"), "c": (2, "gap_too_large", "c", "auto"), "d": (3, "no_video", "d", "auto")}
-    some = spark.createDataFrame([("f", "a", "b", "split"), ("f", "a", "b", "join"), ("f", "b", "c", "join")], "folder string, a string, b string, kind string")
-    got = {x.name: (x.session, x.reason, x.origin) for x in sessions.detect(df, some).collect()}
-    assert got["b"] == (2, "manual_split", "manual") and got["c"] == (2, "manual_join", "manual")
+    rows = sessions.detect(df, none)
+    got = {(x.folder, x.name): (x.session, x.reason, x.gap_frames, x.title, x.origin) for x in rows.collect()}
+    assert got == {
+        ("f", "a.mcap"): (1, None, None, "a~b", "auto"), ("f", "b.mcap"): (1, "continuous", 1.0, "a~b", "auto"), ("f", "c.mcap"): (2, "gap_too_large", 210.0, "c", "auto"), ("f", "d.mcap"): (3, "no_video", None, "d", "auto"),
+        ("g", "a"): (1, None, None, "a~b", "auto"), ("g", "b"): (1, "continuous", 1.0, "a~b", "auto"), ("g", "c"): (2, "codec_differs", None, "c", "auto"),
+        ("h", "a"): (1, None, None, "a", "auto"), ("h", "b"): (2, "overlap", 0.0, "b", "auto"), ("h", "c"): (3, "topics_differ", None, "c~d", "auto"), ("h", "d"): (3, "continuous", 1.0, "c~d", "auto"),
+    }
+    some = spark.createDataFrame([("f", "a.mcap", "b.mcap", "split"), ("f", "a.mcap", "b.mcap", "join"), ("f", "b.mcap", "c.mcap", "join")], "folder string, a string, b string, kind string")
+    got = {x.name: (x.session, x.reason, x.origin) for x in sessions.detect(df.where("folder = 'f'"), some).collect()}
+    assert got["a.mcap"] == (1, None, "auto") and got["b.mcap"] == (2, "manual_split", "manual") and got["c.mcap"] == (2, "manual_join", "manual")
+    lengths = {(x.folder, x.session): (x.parts, x.duration_s) for x in sessions.session_durations(rows).collect()}
+    assert lengths["f", 1] == (2, (2 * ns + p) / 1e9) and lengths["g", 1] == (2, 4.0)
 
 
 def test_mismatch_reasons_and_policy(spark):
@@ -136,12 +147,29 @@ def test_report(spark):
 
 
 def test_names(spark):
-    cases = {"a/b:c": "a_b_c", " .x. ": "x", "CON": "_CON", "": "output", "lpt1": "_lpt1"}
+    cases = {"a/b:c": "a_b_c", " .x. ": "x", "CON": "_CON", "": "channel", "lpt1": "_lpt1"}
     df = spark.createDataFrame([(k,) for k in cases], "n string")
     assert [x[0] for x in df.select(text.sanitize(F.col("n"))).collect()] == list(cases.values())
     assert one(spark, text.topic_label(F.lit("/a/cam/0")), text.codec(F.lit("HEVC")), text.codec(F.lit("")), text.fill("{a}_{b}", a=F.lit("x"), b=F.lit(3))) == ("a_cam_0", "h265", "unknown", "x_3")
-    rows = spark.createDataFrame([("f", i, n) for i, n in enumerate(["x", "x", "x_2", "X", "y"])], "f string, i int, n string")
-    assert [x.unique for x in library.unique_names(rows, "f", "i", "n").orderBy("i").collect()] == ["x", "x_2", "x_2_2", "X_3", "y"]
+    assert one(spark, text.topic_label(F.lit("/a:b/c?")), text.topic_label(F.lit("//")), text.fill("{a}", a=F.lit("x" * 199 + ". y")), text.fill("{a}", a=F.lit("...")), text.fill("a/{a}", a=F.lit("b"))) == ("a_b_c_", "channel", "x" * 199, "rekaman", "a_b")
+    assert one(spark, text.output_name(F.lit("r?"), F.lit("/c/0"), F.lit(3), F.lit("2024-05-06").cast("date"), "{nama}_{topik}_{indeks}_{tanggal}"), text.session_name(F.lit("a"), F.lit("z"), F.lit(3), "{pertama}-{terakhir} x{jumlah}")) == ("r__c_0_3_20240506", "a-z x3")
+    assert [one(spark, text.common_title(F.array(*map(F.lit, s))))[0] for s in (("trip_camera_0", "trip_camera_1"), ("a1", "b1"), ("Cam_1", "Cam_12"), ("run 7_cam0",))] == ["trip", "", "", "run 7"]
+    assert one(spark, text.group_id(F.lit("s"), F.array(F.lit("/b"), F.lit("/a")), F.array(F.lit("x"), F.lit("y"))))[0] == hashlib.sha1(b"s\0/a\0/b\0x\0y").hexdigest()[:16]
+    where = spark.createDataFrame([("beside", "/p/q", "/out", "q", True), ("folder", "/p/q", "/out", "q", True), ("folder", "/p/q", "/out", "q", False), ("folder", "/p", "/out", ".", None)], "m string, p string, o string, r string, f boolean")
+    assert [x[0] for x in where.select(text.output_folder(*map(F.col, where.columns))).collect()] == ["/p/q", "/out/q", "/out", "/out"]
+    assert one(spark, text.reports_folder(F.lit("/r"), F.lit("beside"), F.lit("/o"), F.lit("/s")), text.reports_folder(F.lit(""), F.lit("x"), F.lit("/o"), F.lit("/s")), text.reports_folder(F.lit(None), F.lit("beside"), F.lit("/o"), F.lit("/s"))) == ("/r", "/o", "/s/_reports")
+    r = random.Random(9)
+    for names in (["x", "x", "x_2", "X", "y"], [r.choice(["x", "X", "x_2", "x_2_2", "x_3", "y", "y_1_1"]) for _ in range(60)]):
+        taken, expected = set(), []
+        for n in names:
+            k, now = 1, n
+            while now.lower() in taken:
+                k += 1
+                now = f"{n}_{k}"
+            taken.add(now.lower())
+            expected.append(now)
+        rows = spark.createDataFrame([("f", i, n) for i, n in enumerate(names)], "f string, i int, n string")
+        assert [x.unique for x in library.unique_names(rows, "f", "i", "n").orderBy("i").collect()] == expected
     files = [("f", "ego_0014", None), ("f", "ego_0015", None), ("f", "a_cam_0", None), ("f", "a_cam_1", None), ("f", "solo_cam_0", None), ("f", "p", "m1"), ("f", "q", "m1")]
     got = {x.stem: x.pairing for x in library.pair_outputs(spark.createDataFrame(files, "folder string, stem string, marker string")).collect()}
     assert got == {"ego_0014": "s:ego_0014", "ego_0015": "s:ego_0015", "a_cam_0": "n:a_cam_", "a_cam_1": "n:a_cam_", "solo_cam_0": "s:solo_cam_0", "p": "m:m1", "q": "m:m1"}
@@ -150,6 +178,9 @@ def test_names(spark):
 def test_timing(spark):
     day = 1_700_000_000_123_000_000
     assert one(spark, timing.iso_utc(F.lit(day)), timing.iso_utc(F.lit(5)), timing.clock(F.lit(3725.9)), timing.human_size(F.lit(1536)), timing.human_size(F.lit(7))) == ("2023-11-14T22:13:20.123Z", None, "1:02:05", "1.5 KB", "7 B")
+    assert one(spark, timing.clock(F.lit(None).cast("double")), timing.clock(F.lit(-1)), timing.clock(F.lit(2e7)), timing.clock(F.lit(float("nan")))) == ("\u2014",) * 4
+    assert one(spark, timing.position(F.lit(61_007), True), timing.position(F.lit(3_600_000)), timing.position(F.lit(-5)), timing.position(F.lit(None).cast("long"))) == ("01:01.007", "1:00:00", "00:00", "00:00")
+    assert one(spark, timing.clamp_rate(F.lit(1.000049)), *timing.fit_width(F.lit(1921), F.lit(1081), 0)) == (1.0, 1920, 1080)
     assert one(spark, timing.clamp_rate(F.lit(9.0)), timing.next_rate(F.lit(1.0)), timing.next_rate(F.lit(0.25), False)) == (4.0, 1.25, 0.25)
     none, false = F.lit(None).cast("double"), F.lit(False)
     assert one(spark, *timing.choose_timing(F.lit(25.0), false, false, none)) == (25.0, "manual_integer")
