@@ -336,15 +336,20 @@ def playlist_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.neighbours(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "turn").select("conv_id", "turn", "next", "previous")
 
 
-@query()
+@query(r"""
+WITH p AS (SELECT p_brand AS folder, p_partkey, regexp_replace(regexp_replace(p_type, '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g') AS name FROM part)
+SELECT folder, p_partkey, name, CASE WHEN row_number() OVER w = 1 THEN name ELSE name || '_' || row_number() OVER w END AS "unique" FROM p WINDOW w AS (PARTITION BY folder, lower(name) ORDER BY p_partkey)""")
 def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("folder"), "p_partkey", text.sanitize(F.col("p_type")).alias("name"))
     return library.unique_names(parts, "folder", "p_partkey", "name")
 
 
-@query()
+@query(f"""
+WITH a AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= {12 * HOUR} THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS sid FROM a)
+SELECT user_id, min(us) AS start_us, max(us) AS last_us, count(*) AS n FROM b GROUP BY user_id, sid""")
 def stream_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed sessions of events read as a stream."""
+    """Sessions of events read as a stream; those that the watermark hasn't closed at its end come from the batch form."""
     from reelspan.plans.shared import shared_dir
     from reelspan.streaming import sessions as streams
 
@@ -353,12 +358,22 @@ def stream_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = streams.sessions(stream, ["user_id"], "ts", "12 hours")
     out.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/rows")
+    us = lambda c: timing.epoch_us(F.col(c).cast("timestamp_ntz"))
+    closed = spark.read.schema(out.schema).parquet(f"{at}/rows").select("user_id", us("start").alias("start_us"), us("last").alias("last_us"), "n")
+    rows = sessions.roll_up(sessions.sessionize(events(spark, sf_dir), ["user_id"], "us", 12 * HOUR, ["event_id"], "sid"), ["user_id"], "us", "sid")
+    every = rows.select("user_id", F.col("first").alias("start_us"), F.col("last").alias("last_us"), "n")
+    end = events(spark, sf_dir).agg(F.max("us")).first()[0] or 0
+    # open sessions end within the gap and the delay before the last event
+    opened = every.where(F.col("last_us") > end - 14 * HOUR).join(closed, ["user_id", "start_us"], "left_anti")
+    return closed.unionByName(opened)
 
 
 def queries() -> dict:
+    from reelspan.plans import more  # noqa: F401 (registers its queries)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
