@@ -24,7 +24,7 @@ def is_absolute(ns: Column) -> Column:
 
 def iso_utc(ns: Column) -> Column:
     """ISO text of absolute nanoseconds to the millisecond, null for times relative to a boot."""
-    text = F.date_format(F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=(F.floor(ns / 1_000_000) / 1000).cast("decimal(18,6)")), "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    text = F.date_format(F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=((ns - F.pmod(ns, F.lit(1_000_000))).cast("decimal(20,0)") / 1_000_000_000).cast("decimal(18,6)")), "yyyy-MM-dd'T'HH:mm:ss.SSS")
     return F.when(is_absolute(ns), F.concat(text, F.lit("Z")))
 
 
