@@ -1,27 +1,31 @@
 """Mixing sources to target weights by entropy balancing; DataFrame functions only.
 
-Of all ways to take words from documents, entropy balancing seeks the one nearest (in relative entropy, each document
-weighted by its words) to taking all once, under one token constraint for each source. The dual is convex and separable:
-sum over documents of size * exp(lambda) - lambda * target. Newton's method solves it from the sums per source, which
-Spark aggregates in one pass, and a document's rate is exp(lambda of its source), an exponential tilt.
-Rates become whole copies by systematic rounding along documents ordered by size, which keeps a source's error near the size
-of a single long document. The running sums need no task that sees a whole source: rows are summed by (source, size
-class, hash slot), a bounded number of cells, and windows run over cells and inside a cell.
+Of all rates at which documents may be taken, entropy balancing seeks those nearest (in relative entropy) to taking each once, under one
+token constraint for each source and no rate above MOST. A document's rate is then an exponential tilt, min(MOST, exp(lambda * size / mean)),
+with one lambda for each source. Newton's method finds the lambdas: each step aggregates, over all documents (grouped by source and
+size), how many words the present rates take and how fast that changes, and moves each source's lambda, by bisection where Newton's
+step would leave the bracket; it ends when every source is within TOLERANCE of its target.
+Rates become whole copies by systematic rounding along documents ordered by size; what is then left of a source's target, at most
+about the words of one long document, is closed by small documents, taken once more or once less.
+Running sums need no task that sees a whole source: rows are summed by (source, size class, hash slot), a bounded number of cells, and
+windows run over cells and inside a cell. Rates are whole numbers of 1/ONE, so that sums don't depend on the order of rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words
+from .common import n_words, stash, unstash
 
 #: Weights of the sources in code-point order, repeating; most copies of a document.
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Newton steps; from 0 the dual of a target of 1e-12 times its source converges within these.
-STEPS = 60
+#: Newton steps at most; the share of a target that it may be off (or one word); the bracket of lambdas; the parts that a rate of 1 has.
+STEPS, TOLERANCE, WIDEST, ONE = 60, 1e-4, 1e6, 1 << 20
 #: Size classes for each doubling, and hash slots of a class.
-CLASSES, SLOTS = 16, 64
+CLASSES, SLOTS = 16, 256
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -45,10 +49,47 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def tilt(source_size: Column, target: Column) -> Column:
-    """exp(lambda) after Newton steps on the dual; 0 where the target is 0."""
-    step = lambda x, _: x + F.greatest(F.lit(-1.0), target / (source_size * F.exp(x)) - 1)
-    return F.when((source_size > 0) & (target > 0), F.exp(F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.lit(0.0), step))).otherwise(0.0)
+def rate(size: Column, tilt: Column, mean: Column, full: Column) -> Column:
+    """How often a document is taken, in parts of ONE."""
+    e = F.exp(F.least(tilt * size / mean, F.lit(math.log(MOST) + 1)))
+    return F.when(full, MOST * ONE).otherwise(F.least(F.lit(MOST * ONE), F.floor(e * ONE))).cast("long")
+
+
+def solve(sizes: DataFrame, sources: DataFrame) -> DataFrame:
+    """sources (source, source_size, target, mean) with tilt and full, by Newton steps over sizes (source, size, n: documents)."""
+    exact = lambda c: c.cast("decimal(38,0)")
+    state = sources.select("*", F.lit(0.0).alias("tilt"), F.lit(-WIDEST).alias("lo"), F.lit(WIDEST).alias("hi"), (F.col("target") >= MOST * F.col("source_size")).alias("full"))
+    state = stash(state.withColumn("done", F.col("full") | (F.col("source_size") == 0)))
+    for _ in range(STEPS):
+        if state.where("not done").isEmpty():
+            break
+        at = state.where("not done").select(F.col("source").alias("s"), "tilt", "mean", "full")
+        q = rate(F.col("size"), F.col("tilt"), F.col("mean"), F.col("full"))
+        rows = sizes.join(at, F.col("source").eqNullSafe(F.col("s"))).withColumn("q", q)
+        words = F.sum(exact(F.col("n") * F.col("size")) * F.col("q"))
+        slope = F.sum(F.when(F.col("q") < MOST * ONE, exact(F.col("n") * F.col("size")) * F.col("size") * F.col("q")))
+        found = rows.groupBy("s").agg((words.cast("double") / ONE).alias("words"), (slope.cast("double") / ONE / F.first("mean")).alias("slope"))
+        new = state.join(found, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        off = F.col("words") - F.col("target")
+        new = new.withColumn("done", F.col("done") | F.coalesce(F.abs(off) <= F.greatest(F.lit(1.0), TOLERANCE * F.col("target")), F.lit(True)))
+        new = new.withColumn("hi", F.when(~F.col("done") & (off > 0), F.col("tilt")).otherwise(F.col("hi"))).withColumn("lo", F.when(~F.col("done") & (off <= 0), F.col("tilt")).otherwise(F.col("lo")))
+        step = F.col("tilt") - F.try_divide(off, F.col("slope"))
+        step = F.when((step > F.col("lo")) & (step < F.col("hi")), step).otherwise((F.col("lo") + F.col("hi")) / 2)
+        new = stash(new.withColumn("tilt", F.when(F.col("done"), F.col("tilt")).otherwise(step)).select(state.columns))
+        unstash(state)
+        state = new
+    return state
+
+
+def upto(rows: DataFrame, value: Column, name: str, ties: list[str]) -> DataFrame:
+    """rows (source, class, slot, size, ...) with `name`: the sum of value over the rows of a source before this one, and its own, in order of size."""
+    rows = rows.withColumn("__v", value)
+    cells = rows.groupBy(F.col("source").alias("c_source"), F.col("class").alias("c_class"), F.col("slot").alias("c_slot")).agg(F.sum("__v").alias("v"))
+    before = Window.partitionBy("c_source").orderBy("c_class", "c_slot").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("before", F.coalesce(F.sum("v").over(before), F.lit(0))).drop("v")
+    rows = rows.join(cells, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class")) & (F.col("slot") == F.col("c_slot")))
+    inside = Window.partitionBy("source", "class", "slot").orderBy("size", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.col("before") + F.sum("__v").over(inside)).drop("__v", "before", "c_source", "c_class", "c_slot")
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
@@ -56,25 +97,32 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     Null texts and texts without words have size 0 and are never taken. A null source is a source of its own, the last.
     Reruns agree: all choices depend on ids, sizes and sources only. Rows repeated with the same id are documents of
-    their own. Other columns of df are ignored; an empty table gives an empty result.
+    their own. Other columns of df are ignored; an empty table gives an empty result. A source's taken words miss its target by less than
+    its small documents allow; one of a few long documents can miss by part of the shortest.
     row_col: a column of keys (string) of the rows themselves, put out as well.
     """
-    row, named = ([F.col(row_col).alias("row")], ["row"]) if row_col else ([], [])
-    docs = cut(df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *row))
-    sources = targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
-    sources = cut(sources.withColumn("rate", F.least(F.lit(float(MOST)), tilt(F.col("source_size"), F.col("target")))))
+    row, ties = ([F.col(row_col).alias("row")], ["id", "row"]) if row_col else ([], ["id"])
+    docs = stash(df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), *row))
+    sizes = stash(docs.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")))
+    per_source = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.greatest(F.avg("size"), F.lit(1e-9)).alias("mean"))
+    per_source = stash(per_source.withColumn("mean", F.round("mean", 6)))
+    sources = targets(per_source.select("source", "source_size"))
+    sources = sources.join(per_source.select(F.col("source").alias("s"), "mean"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    solved = solve(sizes, sources).select(F.col("source").alias("s_source"), "source_size", "target", "tilt", "mean", "full")
     slot = F.pmod(F.xxhash64("id", F.lit("slot")), F.lit(SLOTS))
-    docs = docs.withColumn("class", F.floor(F.log2(F.col("size") + 1) * CLASSES)).withColumn("slot", slot)
-    cells = docs.groupBy("source", "class", "slot").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("class", "slot").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    cells = cells.select(F.col("source").alias("c_source"), F.col("class").alias("c_class"), F.col("slot").alias("c_slot"), "before")
-    rates = sources.select(F.col("source").alias("s_source"), "source_size", "target", "rate")
-    cells = cells.join(rates, F.col("c_source").eqNullSafe(F.col("s_source")))
-    rows = docs.join(cells, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("class") == F.col("c_class")) & (F.col("slot") == F.col("c_slot")))
-    inside = Window.partitionBy("source", "class", "slot").orderBy("size", "id", *named)
-    place = F.col("before") + F.row_number().over(inside)
-    upto = lambda k: F.floor(k * F.col("rate") + 0.5)
-    copies = F.when(F.col("size") > 0, F.least(F.lit(MOST), upto(place) - upto(place - 1))).otherwise(0).cast("long")
-    rows = rows.withColumn("copies", copies)
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *[F.col(c).alias(row_col) for c in named])
+    docs = docs.withColumn("class", F.floor(F.log2(F.col("size") + 1) * CLASSES)).withColumn("slot", slot).join(solved, F.col("source").eqNullSafe(F.col("s_source"))).drop("s_source")
+    docs = docs.withColumn("q", F.when(F.col("size") > 0, rate(F.col("size"), F.col("tilt"), F.col("mean"), F.col("full"))).otherwise(F.lit(0).cast("long")))
+    whole = lambda c: F.shiftright(c + ONE // 2, ONE.bit_length() - 1)
+    rows = upto(docs, F.col("q"), "to", ties)
+    rows = rows.withColumn("copies", F.least(F.lit(MOST), whole(F.col("to")) - whole(F.col("to") - F.col("q"))).cast("long")).drop("to", "q", "tilt", "mean", "full")
+    rows = stash(rows)
+    left = rows.groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("words"))
+    left = stash(left.select(F.col("source").alias("l_source"), F.bround(F.col("t") - F.col("words"), 0).cast("long").alias("left")))
+    rows = rows.join(left, F.col("source").eqNullSafe(F.col("l_source"))).drop("l_source")
+    more = (F.col("left") > 0) & (F.col("copies") < MOST) & (F.col("size") > 0)
+    less = (F.col("left") < 0) & (F.col("copies") > 0)
+    rows = upto(rows, F.when(more | less, F.col("size")).otherwise(F.lit(0)), "small", ties)
+    fits = F.col("small") <= F.abs("left")
+    copies = F.col("copies") + F.when(more & fits, 1).when(less & fits, -1).otherwise(0)
+    rows = rows.withColumn("copies", copies.cast("long"))
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *[F.col("row").alias(row_col) for _ in row])

@@ -62,6 +62,26 @@ def test_exact_dedup(spark):
     assert "words" in kept.columns and kept.count() == kept.select("doc_id").distinct().count()
 
 
+def test_tilts_meet_their_targets_within_the_bound(spark):
+    """Newton's solution against bisection over plain Python sums; source a needs the bound of three copies."""
+    import math
+
+    r = random.Random(8)
+    sizes = {"a": [r.randrange(1, 400) for _ in range(80)], "b": [r.randrange(1, 3000) for _ in range(300)], None: [7] * 50}
+    target = {"a": 2.6 * sum(sizes["a"]), "b": 0.3 * sum(sizes["b"]), None: 1.0 * 350}
+    rate = lambda x, t: min(3.0, math.exp(min(2.0, t * x)))
+    hist = spark.createDataFrame([(s, x, v.count(x)) for s, v in sizes.items() for x in sorted(set(v))], "source string, size long, n long")
+    rows = spark.createDataFrame([(s, sum(v), float(target[s]), sum(v) / len(v)) for s, v in sizes.items()], "source string, source_size long, target double, mean double")
+    for x in mixing.solve(hist, rows).collect():
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if sum(v * rate(v, mid / x.mean) for v in sizes[x.source]) > target[x.source] else (mid, hi)
+        assert x.done and x.tilt == pytest.approx(mid, abs=2e-3)
+        assert sum(v * rate(v, x.tilt / x.mean) for v in sizes[x.source]) == pytest.approx(target[x.source], rel=3e-4)
+    assert any(rate(v, 9) == 3.0 for v in sizes["a"])
+
+
 def test_mix(spark):
     rows = rows_of(2, 400)
     got = mixing.mix(frame(spark, rows))
@@ -82,9 +102,9 @@ def test_mix(spark):
         assert x.target == pytest.approx(target[x.source]) and x.source_size == total[x.source]
         assert 0 <= x.taken <= 3 * x.size and x.taken % max(x.size, 1) == 0
     taken = {x.target: x.t for x in got.groupBy("target").agg(F.sum("taken").alias("t")).collect()}
-    longest = max(len(words_of(t)) for _, t, _, s in rows if s != "long")
     for s in order:
-        assert abs(taken[min(taken, key=lambda v: abs(v - target[s]))] - target[s]) <= max(3 * longest, 30_000 if s == "long" else 0)
+        words = taken[min(taken, key=lambda v: abs(v - target[s]))]
+        assert abs(words - target[s]) <= max(0.02 * target[s], min(len(words_of(t)) for _, t, _, x in rows if x == s and words_of(t)))
     assert plain(got, "doc_id", "taken") == plain(mixing.mix(frame(spark, rows).repartition(7)), "doc_id", "taken")
 
 
