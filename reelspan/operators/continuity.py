@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import BIN, with_previous, with_running
+from .ordered import BIN, with_steps
 
 
 def blocks(df: DataFrame, keys: list[str], order: list[str], stamp: str, length: str, rate: int, per_second: int = 1_000_000_000, tolerance: int = 1_000_000, policy: str = "fill", width: int | None = None) -> DataFrame:
@@ -18,17 +18,23 @@ def blocks(df: DataFrame, keys: list[str], order: list[str], stamp: str, length:
     width = width or BIN * per_second // 1_000_000
     rows = df.where(F.col(length) > 0)
     expected = F.col(stamp) + F.bround(F.col(length).cast("decimal(20,0)") * per_second / rate, 0).cast("long")
-    rows = with_previous(rows.withColumn("__end", expected), keys, order, "__end", "__expected", width).drop("__end")
-    delta = F.coalesce(F.col(stamp) - F.col("__expected"), F.lit(0).cast("long"))
     samples = lambda d: F.bround(d.cast("decimal(20,0)") * rate / per_second, 0).cast("long")
-    rows = rows.withColumn("delta", delta)
-    rows = rows.withColumn("kind", F.when(F.col("delta") > tolerance, "gap").when(F.col("delta") < -tolerance, "overlap"))
-    fill = F.when((F.col("kind") == "gap") & F.lit(policy == "fill"), samples(F.col("delta"))).otherwise(0)
-    trim = F.when(F.col("kind") == "overlap", F.least(F.col(length).cast("long"), samples(-F.col("delta")))).otherwise(0)
-    rows = rows.withColumn("fill", fill.cast("long")).withColumn("trim", trim.cast("long")).drop("__expected")
-    written = F.col("fill") + F.col(length) - F.col("trim")
-    rows = with_running(rows, keys, order, written, "__upto", width)
-    return rows.withColumn("position", F.col("__upto") - written).drop("__upto")
+
+    def judged(previous: Column) -> tuple[Column, Column, Column, Column]:
+        delta = F.coalesce(F.col(stamp) - previous, F.lit(0).cast("long"))
+        kind = F.when(delta > tolerance, "gap").when(delta < -tolerance, "overlap")
+        fill = F.when((delta > tolerance) & F.lit(policy == "fill"), samples(delta)).otherwise(0).cast("long")
+        trim = F.when(delta < -tolerance, F.least(F.col(length).cast("long"), samples(-delta))).otherwise(0).cast("long")
+        return delta, kind, fill, trim
+
+    def written(previous: Column) -> Column:
+        _, _, fill, trim = judged(previous)
+        return fill + F.col(length) - trim
+
+    rows = with_steps(rows.withColumn("__end", expected), keys, order, "__end", written, "__expected", "__upto", width)
+    for column, value in zip(("delta", "kind", "fill", "trim"), judged(F.col("__expected"))):
+        rows = rows.withColumn(column, value)
+    return rows.withColumn("position", F.col("__upto") - (F.col("fill") + F.col(length) - F.col("trim"))).drop("__upto", "__end", "__expected")
 
 
 def totals(df: DataFrame, keys: list[str], length: str, listed: int = 50) -> DataFrame:

@@ -6,6 +6,8 @@ later ones is aggregated to one row for each bin, and only these rows are ordere
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,3 +47,24 @@ def with_running(df: DataFrame, keys: list[str], order: list[str], value: Column
     sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
     rows = join_bins(rows.withColumn("__in", F.sum("__v").over(inside)), sums, keys)
     return rows.withColumn(name, F.col("__in") + F.col("__before")).drop("__in", "__before", "__v", "__bin")
+
+
+def with_steps(df: DataFrame, keys: list[str], order: list[str], value: str, step: Callable[[Column], Column], previous: str, running: str, width: int = BIN) -> DataFrame:
+    """df with `previous`, the value of the row before in its key (null for the first), and `running`, the sum of step(previous) up to and with each row.
+
+    One table of bins serves both: it holds each bin's first row, last value and sum of inner steps. step may use the row's columns.
+    """
+    rows = bins(df, order[0], width)
+    inside = Window.partitionBy(*keys, "__bin").orderBy(*order)
+    rows = rows.withColumn("__lag", F.lag(value).over(inside)).withColumn("__first", F.row_number().over(inside) == 1)
+    rows = rows.withColumn("__in", F.when(F.col("__first"), 0).otherwise(step(F.col("__lag"))))
+    rows = rows.withColumn("__cum", F.sum("__in").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    others = [c for c in df.columns if c not in keys]
+    table = rows.groupBy(*keys, "__bin").agg(F.min_by(F.struct(*others), F.struct(*order)).alias("__row"), F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("__last"), F.sum("__in").alias("__sum"))
+    by_bin = Window.partitionBy(*keys).orderBy("__bin")
+    table = table.withColumn("__before", F.lag("__last").over(by_bin)["v"]).select(*keys, "__bin", "__row.*", "__before", "__sum")
+    table = table.withColumn("__step", step(F.col("__before")))
+    carried = F.coalesce(F.sum(F.col("__sum") + F.col("__step")).over(by_bin.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = join_bins(rows, table.select(*keys, "__bin", "__before", (carried + F.col("__step")).alias("__carried")), keys)
+    rows = rows.withColumn(previous, F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__lag"))).withColumn(running, F.col("__carried") + F.col("__cum"))
+    return rows.drop("__lag", "__first", "__in", "__cum", "__before", "__carried", "__bin")

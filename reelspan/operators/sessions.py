@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelspan.functions.text import list_key
 
-from .ordered import BIN, with_previous, with_running
+from .ordered import BIN, with_steps
 
 
 def sessionize(df: DataFrame, keys: list[str], time: str, max_gap: int, ties: list[str] | None = None, name: str = "session", width: int = BIN) -> DataFrame:
@@ -16,9 +16,8 @@ def sessionize(df: DataFrame, keys: list[str], time: str, max_gap: int, ties: li
     time is an integer column; rows without a time are in no session (null). Null keys are keys of their own.
     """
     order = [time, *(ties or [])]
-    rows = with_previous(df.where(F.col(time).isNotNull()), keys, order, time, "__previous", width)
-    new = F.coalesce(F.col(time) - F.col("__previous") > max_gap, F.lit(True)).cast("long")
-    rows = with_running(rows, keys, order, new, name, width).drop("__previous")
+    new = lambda previous: F.coalesce(F.col(time) - previous > max_gap, F.lit(True)).cast("long")
+    rows = with_steps(df.where(F.col(time).isNotNull()), keys, order, time, new, "__previous", name, width).drop("__previous")
     return rows.unionByName(df.where(F.col(time).isNull()).withColumn(name, F.lit(None).cast("long")))
 
 
