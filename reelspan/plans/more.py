@@ -369,7 +369,7 @@ def _text(s: str) -> bytes:
     return struct.pack("<I", len(s.encode())) + s.encode()
 
 
-def recording(rows: list[tuple[int, int]], topics: list[str], magic: bytes, per_chunk: int = 200) -> bytes:
+def recording(rows: list[tuple[int, int]], topics: list[str], magic: bytes, per_chunk: int = 5_000) -> bytes:
     """A small MCAP file of messages (channel, time), with a chunk index."""
     defs = _record(3, struct.pack("<H", 1) + _text("S") + _text("protobuf") + _text("")) + b"".join(_record(4, struct.pack("<HH", k + 1, 1) + _text(t) + _text("protobuf") + _text("")) for k, t in enumerate(topics))
     out, index = magic + _record(1, _text("") + _text("")), b""

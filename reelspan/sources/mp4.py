@@ -1,7 +1,7 @@
 """MP4 files as DataFrames, after the public ISO base media format: their tracks, sample tables and pairing markers.
 
 Format mp4_tracks: one row a track of each .mp4 file at or below the option path, read from the file's boxes without its media
-data; a file that can't be read has one row with an error. A partition reads one file. register() makes it known to a session.
+data; a file that can't be read has one row with an error. A partition reads up to FILES files. register() makes it known to a session.
 """
 
 from __future__ import annotations
@@ -9,18 +9,19 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .mcap import Piece, find_files, open_file
+from .mcap import find_files, open_file
 
 #: Boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta"}
-#: Bytes of payload that a task holds at a time.
-PART = 4 << 20
+#: Bytes of payload that a task holds at a time, and files of a partition.
+PART, FILES = 4 << 20, 32
 
 COLUMNS = (
     "file string, track int, kind string, entry string, timescale long, media_duration long, width int, height int, channels int, bits int, co64 boolean, "
@@ -136,23 +137,28 @@ def tracks_of(file, size: int) -> list[dict]:
     return [{**r, **every, "track": k} for k, r in enumerate(rows)]
 
 
+@dataclass
+class Files(InputPartition):
+    files: list[tuple[str, int]]
+
+
 class _Tracks(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
 
     def partitions(self):
-        return [Piece(f, n) for f, n in find_files(self.path, ".mp4")] or [Piece("", 0)]
+        files = find_files(self.path, ".mp4")
+        return [Files(files[lo : lo + FILES]) for lo in range(0, max(len(files), 1), FILES)]
 
     def read(self, p):
-        if not p.file:
-            return
-        try:
-            with open_file(p.file) as file:
-                rows = tracks_of(file, p.size)
-        except (Mp4Error, struct.error, OSError) as e:
-            rows = [{"error": str(e)}]
-        for r in rows:
-            yield tuple({**r, "file": p.file}.get(n) for n in NAMES)
+        for uri, size in p.files:
+            try:
+                with open_file(uri) as file:
+                    rows = tracks_of(file, size)
+            except (Mp4Error, struct.error, OSError) as e:
+                rows = [{"error": str(e)}]
+            for r in rows:
+                yield tuple({**r, "file": uri}.get(n) for n in NAMES)
 
 
 class Mp4Tracks(DataSource):
