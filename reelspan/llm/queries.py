@@ -15,7 +15,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
-    return rows.withColumn("n_kept", F.col("n_bytes") - F.col("n_removed")).withColumn("kept_text", F.decode("kept", "UTF-8")).drop("kept")
+    return rows.withColumn("n_kept", F.col("n_bytes") - F.col("n_removed")).withColumn("kept_text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op2_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
