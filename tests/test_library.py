@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from reelspan.operators import align, continuity, islands, library, playlist, report, sessions
+from reelspan.operators import align, continuity, integrity, islands, library, playlist, report, sessions
 from reelspan.sources import documents
 from reelspan.streaming import sessions as streams
 
@@ -183,3 +183,14 @@ def test_streams(spark, tmp_path):
     assert len(run(streams.distinct(stream(), ["folder"], "at"), "d")) == 1
     spark.streams.removeListener(listener)
     assert {"started", "progress", "terminated"} <= {e[0] for e in listener.events}
+
+
+def test_rules_of_samples(spark):
+    rows = [("good", 3, 9000, 3, 8, 38, 0), ("bad", 2, 0, 3, 4, 99, 1), ("nulls", None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "f string, n long, duration long, n_offsets long, first_offset long, last_end long, uneven long")
+    rules = integrity.sample_rules(F.lit(30), F.lit(8), F.lit(40), F.lit(3))
+    got = {r.f: r.c for r in df.select("f", integrity.failed_rules(rules).alias("c")).collect()}
+    assert got == {"good": [], "bad": ["counts_differ", "frames_missing", "outside_data", "not_contiguous", "no_duration"], "nulls": []}
+    assert {tuple(r) for r in integrity.violations(df, rules).collect()} == {(k, int(k in got["bad"])) for k in rules}
+    t = spark.createDataFrame([("h264", 5, True), (None, 0, True), (None, None, True), (None, 5, False), (None, 5, True)], "c string, n long, r boolean")
+    assert [r[0] for r in t.select(integrity.triage(F.col("c"), F.col("n"), F.col("r"))).collect()] == ["unsupported_codec", "no_video_samples", "no_video_samples", "missing_parameter_sets", None]
