@@ -37,6 +37,8 @@ CHUNK, SHARD = 4 << 20, 12 << 20
 HOT, BRING, MEMBERS = 50_000, 200_000, 2_000
 #: Rows of a small table (pairs, labels) for each of its partitions.
 GATHER = 200_000
+#: Of each class's buckets, the smallest that its rows carry, to put a pair out in the first that both are in.
+LEADING = 16
 #: Neighbour rounds at most, and pairs to compare for each class after which no further round is made.
 ROUNDS, FEW = 4, 100
 _U, _A = np.uint64, np.uint64(0x9E3779B97F4A7C15)
@@ -231,12 +233,14 @@ def _meet(percent: int, keep: bool):
 
 
 def _cross(percent: int):
-    """Over rows sorted by block: the pairs of a block with different labels whose sizes and bitmaps allow a link, each once for its block."""
+    """Over rows sorted by block: the pairs of a block with different labels whose sizes and bitmaps allow a link. A pair that meets in
+    several buckets is put out in the smallest alone, if that is among the leading ones of both classes, and else in some of them."""
 
     def pairs(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         _, at = np.unique(c["k"], return_index=True)
         at = at[np.argsort(c["n"][at], kind="stable")]
-        k, n, label, side = (c[f][at] for f in ("k", "n", "label", "side"))
+        k, n, label, side, leading = (c[f][at] for f in ("k", "n", "label", "side", "leading"))
+        s = c["s"][0]
         bits = np.frombuffer(b"".join(c["bits"][at]), np.uint64).reshape(len(at), -1)
         upto = np.searchsorted(n, n.astype(np.int64) * 100 // percent, side="right")
         held, size, names = [], 0, ["x", "y", "lx", "ly", "apart"]
@@ -248,6 +252,10 @@ def _cross(percent: int):
                 apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1).astype(np.int64)
                 ok = apart * (100 + percent) <= (n[j].astype(np.int64) + n[i]) * (100 - percent)
                 j, apart = j[ok], apart[ok]
+            before = leading[i][leading[i] < s]
+            if len(j) and len(before):
+                ok = ~np.isin(leading[j], before).any(1)
+                j, apart = j[ok], apart[ok]
             if len(j):
                 x, y = np.where(label[j] < label[i], j, i), np.where(label[j] < label[i], i, j)  # the smaller label first
                 held.append(np.stack([k[x], k[y], label[x], label[y], apart]))
@@ -261,7 +269,10 @@ def _cross(percent: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, names = None, ("s", "lo", "hi", "k", "n", "label", "side", "two", "bits")
         for b in batches:
+            if not b.num_rows:
+                continue
             c = {f: b.column(f).to_numpy(zero_copy_only=False) for f in names}
+            c["leading"] = b.column("leading").flatten().to_numpy().reshape(b.num_rows, -1)
             if held is not None:
                 c = {f: np.concatenate([held[f], v]) for f, v in c.items()}
             new = np.flatnonzero((np.diff(c["s"]) != 0) | (np.diff(c["lo"]) != 0) | (np.diff(c["hi"]) != 0)) + 1
@@ -435,7 +446,9 @@ class Join:
         own = F.pmod(F.xxhash64("k"), F.col("slots")).cast("int")
         rows = rows.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
         rows = rows.select("s", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "k", "n", "label", "side", (F.col("side") != F.col("other")).alias("two"))
-        rows = rows.join(self.classes.select("k", "bits"), "k").select(*rows.columns, "bits")
+        smallest = F.slice(F.concat(F.array_sort(F.collect_set("s")), F.array_repeat(F.lit((1 << 63) - 1), LEADING)), 1, LEADING)
+        leading = rows.groupBy("k").agg(smallest.alias("leading"))
+        rows = rows.join(self.classes.select("k", "bits"), "k").join(leading, "k").select(*rows.columns, "bits", "leading")
         # a block of two slots also gets, from either, the rows that meet the other slot's
         rows = rows.repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
         return rows.mapInArrow(_cross(self.percent), "x long, y long, lx long, ly long, apart long")

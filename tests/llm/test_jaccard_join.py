@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from reelspan.llm import jaccard_join
 
@@ -152,3 +153,24 @@ def test_overlaps_count_a_repeated_segment_once():
     for step in (1, 2, 3, 12):
         got = [tuple(r.values()) for b in jaccard_join._overlaps(iter(table.to_batches(step))) for r in b.to_pylist()]
         assert got == [(5, 1, 10), (6, 1, 10)] * 2
+
+
+@pytest.mark.parametrize("leading", [1, 3, 1_000])
+def test_pairs_leave_their_smallest_common_bucket(spark, monkeypatch, leading):
+    """All pairs that sizes and bitmaps allow, whatever the number of carried buckets; each once where all are carried."""
+    monkeypatch.setattr(jaccard_join, "LEADING", leading)
+    df = spark.createDataFrame(corpus(6), "doc_id long, text string")
+    j = jaccard_join.Join(df, "doc_id", "text", 5, 80, 6, 3)
+    rows = j.prefixes.withColumn("label", F.col("k"))
+    of, bits, want = {}, {x.k: (x.n, int.from_bytes(x.bits)) for x in j.classes.collect()}, set()
+    for x in rows.collect():
+        of.setdefault(x.s, set()).add(x.k)
+    for ks in of.values():
+        for a in ks:
+            for b in ks:
+                (na, ba), (nb, bb) = bits[a], bits[b]
+                if a < b and 100 * min(na, nb) >= 80 * max(na, nb) and (ba ^ bb).bit_count() * 180 <= (na + nb) * 20:
+                    want.add((a, b))
+    got = [(x.x, x.y) for x in j.cross(rows).collect()]
+    assert set(got) == want and want
+    assert len(got) == len(want) or leading < 1_000
