@@ -96,7 +96,7 @@ def op11_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP11_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x,
-         len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0 AND label IS NOT NULL AS ok
+         len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND label IS NOT NULL AS ok
   FROM embeddings),
 links AS MATERIALIZED (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
@@ -115,7 +115,7 @@ def _op12_sql() -> str:
     """Every round spelled out."""
     assigned = """(
   SELECT vec_id, q, unnest(min(struct_pack(distance := distance, cluster := k))) FROM (
-    SELECT vec_id, q, k, CAST(list_sum(list_transform(list_zip(q, c), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS distance FROM v, c{i})
+    SELECT vec_id, q, k, CAST(list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS distance FROM v, c{i})
   GROUP BY vec_id, q)"""
     moved = """(
   SELECT k, coalesce(moved.c, c{i}.c) AS c FROM c{i} LEFT JOIN (
@@ -123,8 +123,8 @@ def _op12_sql() -> str:
       SELECT cluster, place, CAST(floor(CAST(sum(q[place]) AS DOUBLE) / count(*)) AS BIGINT) AS s FROM a{i}, range(1, 65) places(place) GROUP BY cluster, place)
     GROUP BY cluster) moved ON moved.cluster = k)"""
     start = """WITH v AS MATERIALIZED (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
-  WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 c0 AS MATERIALIZED (
   SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS k, q AS c FROM (SELECT q, sha256('3:' || vec_id) AS h FROM v ORDER BY h LIMIT 8))"""
     rounds = [f"a{i} AS MATERIALIZED {assigned.format(i=i)},\nc{i + 1} AS MATERIALIZED {moved.format(i=i)}" for i in range(centroids.ROUNDS)]
