@@ -369,7 +369,7 @@ def stream_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from reelspan.plans import more  # noqa: F401 (registers its queries)
+    from reelspan.plans import more, recordings  # noqa: F401 (they register their queries)
 
     return dict(QUERIES)
 

@@ -361,59 +361,6 @@ def playlist_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return playlist.remove(c, c.where("role = 'assistant'"), ["conv_id"]).select("conv_id", "turn", "pos")
 
 
-def _record(op: int, body: bytes) -> bytes:
-    return struct.pack("<BQ", op, len(body)) + body
-
-
-def _text(s: str) -> bytes:
-    return struct.pack("<I", len(s.encode())) + s.encode()
-
-
-def recording(rows: list[tuple[int, int]], topics: list[str], magic: bytes, per_chunk: int = 5_000) -> bytes:
-    """A small MCAP file of messages (channel, time), with a chunk index."""
-    defs = _record(3, struct.pack("<H", 1) + _text("S") + _text("protobuf") + _text("")) + b"".join(_record(4, struct.pack("<HH", k + 1, 1) + _text(t) + _text("protobuf") + _text("")) for k, t in enumerate(topics))
-    out, index = magic + _record(1, _text("") + _text("")), b""
-    for lo in range(0, len(rows), per_chunk):
-        part = rows[lo : lo + per_chunk]
-        inner = (b"" if lo else defs) + b"".join(_record(5, struct.pack("<HIQQ", c, lo + i, t, t)) for i, (c, t) in enumerate(part))
-        span = struct.pack("<QQ", min(t for _, t in part), max(t for _, t in part))
-        chunk = _record(6, span + struct.pack("<QI", len(inner), 0) + _text("") + struct.pack("<Q", len(inner)) + inner)
-        index += _record(8, span + struct.pack("<QQI", len(out), len(chunk), 0) + struct.pack("<Q", 0) + _text("") + struct.pack("<QQ", 0, 0))
-        out += chunk
-    out += _record(15, struct.pack("<I", 0))
-    return out + defs + index + _record(2, struct.pack("<QQI", len(out), 0, 0)) + magic
-
-
-@query("SELECT event_type AS topic, count(*) AS messages, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM events GROUP BY event_type")
-def mcap_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events written as MCAP recordings, one for each bin of days, read back through their chunk indexes and profiled by topic."""
-    from reelspan.operators import profile
-    from reelspan.sources import mcap
-
-    e, folder, magic = events(spark, sf_dir), f"{shared_dir(spark)}/mcap-{uuid.uuid4().hex}", mcap.MAGIC
-    topics = sorted(r[0] for r in e.select("event_type").distinct().collect())  # the schema's few event types
-
-    def write(batches):
-        import pandas as pd
-        from pyarrow import fs
-
-        for b in batches:
-            store, root = fs.FileSystem.from_uri(folder)
-            store.create_dir(root)
-            for day, rows in b.groupby("day"):
-                name = f"{root}/{day}-{uuid.uuid4().hex}.mcap"
-                with store.open_output_stream(name) as out:
-                    out.write(recording([(topics.index(t) + 1, int(us)) for t, us in zip(rows["event_type"], rows["us"])], topics, magic))
-            yield pd.DataFrame({"n": [len(b)]})
-
-    rows = e.select(F.floor(F.col("us") / (30 * DAY)).alias("day"), "event_type", "us")
-    rows.repartition("day").sortWithinPartitions("day", "us").mapInPandas(write, "n long").agg(F.sum("n")).collect()
-    mcap.register(spark)
-    times = spark.read.format("mcap_times").option("path", folder).load().where("error is null")
-    found = profile.topic_profile(times, [], "topic", "log_time_ns", 1_000_000)
-    return found.select("topic", "messages", F.col("first").alias("first_us"), F.col("last").alias("last_us"))
-
-
 #: Parameter sets of a small picture (64 by 44), as bytes of NAL units.
 VPS, PPS = bytes([64, 1, 7]), bytes([68, 1, 9])
 SPS = bytes.fromhex("4201012160000003000003000003000003005da020831f77")

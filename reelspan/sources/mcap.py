@@ -1,20 +1,24 @@
 """MCAP recordings as DataFrames, after the public MCAP format: messages, chunk indexes and summaries.
 
-Formats: mcap_messages, mcap_times (the same without payloads), mcap_chunks, mcap_summary; register() makes them known to a session.
-Options: path (a folder or file, any URI that pyarrow opens), flat (true: not the folders below), and for messages topics
-(comma-separated), from_ns and to_ns; filters on topic and log_time_ns are pushed down. One partition reads one chunk of a file,
-found through the chunk index at its end, and chunks outside the times asked for are never opened; another one reads the records between
-the chunks. A file without a valid index is one partition, read record by record from its start. A record that is cut short or a
-chunk that can't be unpacked ends its partition with a row that has an error and no message.
+Formats: mcap_messages, mcap_chunks, mcap_summary; register() makes them known to a session. Options: path (a folder or file, any URI
+that pyarrow opens), flat (true: not the folders below), and for messages topics (comma-separated), from_ns, to_ns and split_bytes;
+filters on topic and log_time_ns are pushed down, and only the columns of the schema that the reader is given are made.
+
+The driver lists files and opens none. A partition is a range of a file, or several small files; it reads the index at the file's end
+once and takes the chunks that start in its range and touch the times asked for; the range at the start also takes the records
+between chunks, or all of a file without a valid index. Chunks become Arrow batches, a buffer for each column. A record that is cut short or
+a chunk that can't be unpacked ends its range with a row that has an error and no message.
+sources/mcap_index.py keeps the indexes of many files as a table.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
@@ -79,12 +83,8 @@ def unpack_chunk(body: bytes) -> bytes:
             raise McapError(f"a chunk can't be unpacked: {e}") from e
     if kind == "lz4":
         try:
-            import lz4.frame
-        except ImportError as e:
-            raise McapError("lz4 chunks need the lz4 package") from e
-        try:
-            return lz4.frame.decompress(data)
-        except RuntimeError as e:
+            return bytes(pa.Codec("lz4").decompress(data, size))  # the frame format, checksums included
+        except (OSError, ValueError) as e:
             raise McapError(f"a chunk can't be unpacked: {e}") from e
     if kind:
         raise McapError(f"unknown compression {kind}")
@@ -93,7 +93,8 @@ def unpack_chunk(body: bytes) -> bytes:
 
 @dataclass
 class Index:
-    """What the end of a file tells: chunks (start, end, offset, length), channels, schemas and counts."""
+    """What the end of a file tells: chunks (start, end, offset, length), channels, schemas and counts; of the chunks also which channels
+    each holds (None: not told) and the length of the message indexes behind it; where the summary starts."""
 
     chunks: list[tuple[int, int, int, int]]
     channels: dict[int, tuple[int, str, str]]
@@ -104,6 +105,18 @@ class Index:
     profile: str | None = None
     library: str | None = None
     more: dict = field(default_factory=dict)
+    held: list[list[int] | None] = field(default_factory=list)
+    behind: list[int] = field(default_factory=list)
+    summary: int = 0
+
+    def gaps(self) -> list[tuple[int, int]]:
+        """Ranges of the file that hold neither chunks nor their message indexes nor the summary."""
+        at, out = len(MAGIC), []
+        for (_, _, offset, length), behind in sorted(zip(self.chunks, self.behind), key=lambda c: c[0][2]):
+            if at < offset:
+                out.append((at, offset))
+            at = offset + length + behind
+        return [*out, (at, self.summary)] if at < self.summary else out
 
 
 def read_header(file, index: Index) -> None:
@@ -138,12 +151,14 @@ def read_index(file, size: int) -> Index | None:
     if not start:
         return None
     file.seek(start)
-    index = Index([], {}, {}, {})
+    index = Index([], {}, {}, {}, summary=start)
     try:
         for op, body in records(file.read(size - tail - start)):
             c = Cursor(body)
             if op == CHUNK_INDEX:
                 index.chunks.append(tuple(c.number("Q") for _ in range(4)))
+                index.held.append(sorted(c.pairs("HQ")) or None)
+                index.behind.append(c.number("Q"))
             elif op == STATISTICS:
                 c.take(8 + 2)
                 c.number("I")
@@ -199,39 +214,177 @@ def stream(file, at: int, end: int, skip: tuple[int, ...] = ()) -> Iterator[tupl
         at += 9 + n
 
 
-@dataclass
-class Piece(InputPartition):
-    """Part of a file: one chunk (offset, length), the records between its chunks (regions), or all of it."""
-
-    file: str
-    size: int
-    offset: int | None = None
-    length: int | None = None
-    ordinal: int = 0
-    regions: tuple = ()
-
-
 def index_of(f: tuple[str, int]) -> Index | None:
     with open_file(f[0]) as file:
         return read_index(file, f[1])
 
 
+#: Columns of messages and their Arrow types.
+COLUMNS = {
+    "file": pa.string(), "ordinal": pa.int64(), "channel_id": pa.int32(), "topic": pa.string(), "sequence": pa.int64(), "log_time_ns": pa.int64(), "publish_time_ns": pa.int64(),
+    "data": pa.binary(), "error": pa.string(),
+}
+#: Bytes in front of a message's payload, and of payloads in a batch.
+HEAD, BATCH = 22, 64 << 20
+_RECORD = struct.Struct("<BQ")
+
+
+class Bodies:
+    """Messages of unpacked records that lie one after the other: places of their bodies. Definitions on the way go to the index; what
+    ends the walk early is kept as error."""
+
+    def __init__(self, data: bytes, index: Index):
+        self.data, self.error = data, None
+        at, end, starts, sizes, unpack = 0, len(data), [], [], _RECORD.unpack_from
+        try:
+            while at < end:
+                if at + 9 > end:
+                    raise McapError("a record's head ends early")
+                op, n = unpack(data, at)
+                at += 9
+                if at + n > end or (op == MESSAGE and n < HEAD):
+                    raise McapError("a record ends early")
+                if op == MESSAGE:
+                    starts.append(at)
+                    sizes.append(n)
+                elif op in (SCHEMA, CHANNEL):
+                    add_definition(index, op, data[at : at + n])
+                at += n
+        except McapError as e:
+            self.error = str(e)
+        self.starts, self.sizes = np.array(starts, np.int64), np.array(sizes, np.int64)
+        self.channel = self.field(0, "<u2").astype(np.int32)
+        known = np.isin(self.channel, np.fromiter(index.channels, np.int32, len(index.channels)))
+        if not known.all():
+            n = int(np.argmin(known))
+            self.error = f"unknown channel {self.channel[n]}"
+            self.starts, self.sizes, self.channel = self.starts[:n], self.sizes[:n], self.channel[:n]
+
+    def field(self, at: int, kind: str) -> np.ndarray:
+        wide = np.dtype(kind).itemsize
+        raw = np.frombuffer(self.data or b"\0", np.uint8)
+        return raw[self.starts[:, None] + np.arange(at, at + wide)].reshape(-1, wide).view(kind).ravel()
+
+    def times(self) -> np.ndarray:
+        return self.field(6, "<u8").view(np.int64)
+
+    def batches(self, file: str, first: int, index: Index, columns: list[str], topics: set, low: int, high: int) -> Iterator[pa.RecordBatch]:
+        """The messages of these topics (none given: all) and times. first: the ordinal of the first message."""
+        times, ids = self.times(), sorted(index.channels)
+        wanted = [i for i in ids if not topics or index.channels[i][1] in topics]
+        pick = np.flatnonzero(np.isin(self.channel, wanted) & (times >= low) & (times <= high))
+        ends = np.cumsum(self.sizes[pick]) if "data" in columns else np.arange(len(pick)) << 6
+        cuts = np.unique(np.concatenate([np.searchsorted(ends, np.arange(0, int(ends[-1]) + 1, BATCH), side="left"), [len(pick)]])) if len(pick) else [0]
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield self._batch(pick[lo:hi], file, first, index, columns, times, ids)
+
+    def _batch(self, pick: np.ndarray, file: str, first: int, index: Index, columns: list[str], times: np.ndarray, ids: list[int]) -> pa.RecordBatch:
+        out = []
+        for name in columns:
+            if name == "file":
+                out.append(pa.repeat(file, len(pick)))
+            elif name == "ordinal":
+                out.append(pa.array(first + pick))
+            elif name == "channel_id":
+                out.append(pa.array(self.channel[pick]))
+            elif name == "topic":
+                out.append(pa.array([index.channels[i][1] for i in ids]).take(pa.array(np.searchsorted(ids, self.channel[pick]))))
+            elif name == "sequence":
+                out.append(pa.array(self.field(2, "<u4")[pick].astype(np.int64)))
+            elif name == "log_time_ns":
+                out.append(pa.array(times[pick]))
+            elif name == "publish_time_ns":
+                out.append(pa.array(self.field(14, "<u8").view(np.int64)[pick]))
+            elif name == "data":
+                begin, end = self.starts[pick] + HEAD, self.starts[pick] + self.sizes[pick]
+                joined = b"".join([self.data[a:z] for a, z in zip(begin.tolist(), end.tolist())])
+                offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
+                out.append(pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]))
+            else:
+                out.append(pa.nulls(len(pick), COLUMNS[name]))
+        return pa.RecordBatch.from_arrays(out, columns)
+
+
+def failed(file: str, error: str, columns: list[str]) -> pa.RecordBatch:
+    """A row with an error and no message."""
+    told = {"file": file, "error": error}
+    return pa.RecordBatch.from_arrays([pa.array([told.get(c)], COLUMNS[c]) for c in columns], columns)
+
+
+def _plain(file, lo: int, hi: int, index: Index) -> Iterator[tuple[bytes, str | None]]:
+    """Messages between chunks, as records one after the other; definitions go to the index."""
+    held, size, error = [], 0, None
+    try:
+        for op, body in stream(file, lo, hi, (CHUNK, CHUNK_INDEX, MESSAGE_INDEX, ATTACHMENT)):
+            if op in (FOOTER, DATA_END):
+                break
+            if op in (SCHEMA, CHANNEL):
+                add_definition(index, op, body)
+            elif op == MESSAGE:
+                held.append(_RECORD.pack(op, len(body)) + body)
+                size += len(body)
+                if size > BATCH:
+                    yield b"".join(held), None
+                    held, size = [], 0
+    except McapError as e:
+        error = str(e)
+    yield b"".join(held), error
+
+
+def _records(file, size: int, index: Index) -> Iterator[tuple[bytes, str | None]]:
+    """Messages of a file without an index, from its start: of each chunk, or one by one."""
+    try:
+        for op, body in stream(file, len(MAGIC), size, (CHUNK_INDEX, MESSAGE_INDEX, ATTACHMENT)):
+            if op in (FOOTER, DATA_END):
+                return
+            if op == CHUNK:
+                yield unpack_chunk(body), None
+            elif op in (SCHEMA, CHANNEL):
+                add_definition(index, op, body)
+            elif op == MESSAGE:
+                yield _RECORD.pack(op, len(body)) + body, None
+    except McapError as e:
+        yield b"", str(e)
+
+
+def read_chunk(file, offset: int, length: int) -> bytes:
+    file.seek(offset)
+    raw = file.read(length)
+    if len(raw) < max(length, 9):
+        raise McapError("a record ends early")
+    return unpack_chunk(raw[9:])
+
+
+@dataclass
+class Piece(InputPartition):
+    """Ranges of files: (file, size, from, to)."""
+
+    parts: list[tuple[str, int, int, int]]
+
+
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.recursive = options["path"], options.get("flat", "false").lower() != "true"
+    def __init__(self, options: dict, columns: list[str]):
+        self.path, self.recursive, self.columns = options["path"], options.get("flat", "false").lower() != "true", columns
         self.topics = {t for t in options.get("topics", "").split(",") if t}
         self.low, self.high = int(options.get("from_ns", 0)), int(options.get("to_ns", 2**63 - 1))
+        self.split = int(options.get("split_bytes", 128 << 20))
 
     def files(self) -> list[tuple[str, int]]:
         return find_files(self.path, recursive=self.recursive)
 
     def partitions(self):
-        return [Piece(f, n) for f, n in self.files()] or [Piece("", 0)]
+        return [Piece([(f, n, 0, n)]) for f, n in self.files()] or [Piece([])]
 
+    def read(self, p):
+        for file, size, _, _ in p.parts:
+            yield from self.rows(file, size)
 
-class _Messages(_Reader):
-    payload = True
 
+#: What opening a file counts, in bytes, when files are packed.
+OPENING = 4 << 20
+
+
+class _Messages(_Reader):
     def pushFilters(self, filters):
         """Narrows topics and times; Spark applies the filters again."""
         for f in filters:
@@ -247,97 +400,103 @@ class _Messages(_Reader):
             yield f
 
     def partitions(self):
-        files, out = self.files(), []
-        with ThreadPoolExecutor(32) as pool:  # the ends of the files only
-            indexes = list(pool.map(index_of, files))
-        for (f, n), index in zip(files, indexes):
-            if not index or not index.chunks:
-                out.append(Piece(f, n))
+        """Ranges of split_bytes; smaller files share a partition."""
+        out, held, size = [], [], 0
+        for f, n in self.files():
+            ranges = [(f, n, lo, min(n, lo + self.split)) for lo in range(0, max(n, 1), self.split)]
+            if len(ranges) > 1:
+                out += [Piece([r]) for r in ranges]
                 continue
-            chunks = sorted(index.chunks, key=lambda c: c[2])
-            edges = [len(MAGIC), *(x for _, _, at, length in chunks for x in (at, at + length)), n]
-            out.append(Piece(f, n, regions=tuple((lo, hi) for lo, hi in zip(edges[::2], edges[1::2]) if lo < hi)))
-            out += [Piece(f, n, at, length, k + 1) for k, (a, z, at, length) in enumerate(chunks) if z >= self.low and a <= self.high]
-        return out or [Piece("", 0)]
+            if held and size + n + OPENING > self.split:
+                out.append(Piece(held))
+                held, size = [], 0
+            held, size = [*held, ranges[0]], size + n + OPENING
+        return [*out, Piece(held)] if held or not out else out
 
     def read(self, p):
-        if not p.file:
+        for file, size, lo, hi in p.parts:
+            with open_file(file) as f:
+                yield from self._range(f, file, size, lo, hi)
+
+    def _range(self, f, name: str, size: int, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        if f.read(len(MAGIC)) != MAGIC:
+            if not lo:
+                yield failed(name, "no MCAP file", self.columns)
             return
-        with open_file(p.file) as file:
-            k = p.ordinal << 32
-            bad = (None,) * (8 if self.payload else 7)
-            try:
-                if file.read(len(MAGIC)) != MAGIC:
-                    raise McapError("no MCAP file")
-                whole = p.offset is None and not p.regions
-                index = Index([], {}, {}, {}) if whole else read_index(file, p.size)
-                for body in self._bodies(file, p, index):
-                    c = Cursor(body)
-                    channel, sequence, log, publish = c.number("H"), c.number("I"), c.number("Q"), c.number("Q")
-                    if channel not in index.channels:
-                        raise McapError(f"unknown channel {channel}")
-                    topic = index.channels[channel][1]
-                    k += 1
-                    if (not self.topics or topic in self.topics) and self.low <= log <= self.high:
-                        row = (p.file, k, channel, topic, sequence, log, publish)
-                        yield (*row, body[c.at :], None) if self.payload else (*row, None)
-            except McapError as e:
-                yield (p.file, *bad[1:], str(e))
-
-    def _bodies(self, file, p, index: Index):
-        """Bodies of messages; definitions on the way go to the index."""
-        whole = p.offset is None and not p.regions
-        regions = [(p.offset, p.offset + p.length)] if p.offset is not None else p.regions or [(len(MAGIC), p.size)]
-        for lo, hi in regions:
-            for op, body in stream(file, lo, hi, () if whole or p.offset is not None else (CHUNK, CHUNK_INDEX, MESSAGE_INDEX, ATTACHMENT)):
-                if op in (FOOTER, DATA_END):
-                    return
-                for inner_op, inner in records(unpack_chunk(body)) if op == CHUNK and body else [(op, body)]:
-                    add_definition(index, inner_op, inner)
-                    if inner_op == MESSAGE:
-                        yield inner
-
-
-class _Times(_Messages):
-    payload = False
+        index = read_index(f, size)
+        if not index or not index.chunks:
+            if not lo:
+                index = Index([], {}, {}, {})
+                yield from self._rows(((b, k, e) for k, (b, e) in enumerate(_records(f, size, index))), name, index)
+            return
+        if not lo:
+            yield from self._rows(((b, 0, e) for a, z in index.gaps() for b, e in _plain(f, a, z, index)), name, index)
+        order = sorted(index.chunks, key=lambda c: c[2])
+        held = {c[2]: h for c, h in zip(index.chunks, index.held)}
+        wanted = {i for i, c in index.channels.items() if not self.topics or c[1] in self.topics}
+        for k, (a, z, at, length) in enumerate(order):
+            if lo <= at < hi and z >= self.low and a <= self.high and (held[at] is None or wanted & set(held[at])):
+                yield from self._rows(self._unpacked(f, at, length, k + 1), name, index)
+
+    @staticmethod
+    def _unpacked(f, at: int, length: int, k: int) -> Iterator[tuple[bytes, int, str | None]]:
+        try:
+            yield read_chunk(f, at, length), k, None
+        except McapError as e:
+            yield b"", k, str(e)
+
+    def _rows(self, parts: Iterable[tuple[bytes, int, str | None]], name: str, index: Index) -> Iterator[pa.RecordBatch]:
+        """Messages of unpacked parts (records, number of the part, error). A message's ordinal begins with its part's number."""
+        last, n = None, 0
+        for data, k, error in parts:
+            bodies = Bodies(data, index)
+            n = n if k == last else 0
+            yield from bodies.batches(name, (k << 32) + n + 1, index, self.columns, self.topics, self.low, self.high)
+            last, n = k, n + len(bodies.starts)
+            if error or bodies.error:
+                yield failed(name, error or bodies.error, self.columns)
+                return
 
 
 class _Chunks(_Reader):
-    def read(self, p):
-        index = index_of((p.file, p.size)) if p.file else None
-        yield from ((p.file, *c) for c in (index.chunks if index else []))
+    def rows(self, file, size):
+        index = index_of((file, size))
+        yield from ((file, *c) for c in (index.chunks if index else []))
 
 
 class _Summary(_Reader):
     """From the index, or else (from_index false) by a scan, which ends at the first record that can't be read."""
 
-    def read(self, p):
-        if not p.file:
-            return
-        with open_file(p.file) as file:
+    def rows(self, name, size):
+        with open_file(name) as file:
             if file.read(len(MAGIC)) != MAGIC:
                 return
-            index = read_index(file, p.size)
+            index = read_index(file, size)
             found = index is not None
+            index = index or self._scan(file, size)
             try:
-                if not found:
-                    index = self._scan(file, p)
                 read_header(file, index)
             except (McapError, struct.error):
                 pass
-            index = index or self.scanned
         for i, (schema, topic, encoding) in sorted(index.channels.items()):
-            name, schema_encoding = index.schemas.get(schema, (None, None))
+            kind, schema_encoding = index.schemas.get(schema, (None, None))
             more = [index.more.get(k) for k in ("attachments", "metadata", "chunks")]
-            yield (p.file, i, topic, encoding, name, schema_encoding, index.counts.get(i, 0), index.start, index.end, index.profile, index.library, *more, found)
-
-    def _scan(self, file, p) -> Index:
-        self.scanned = index = Index([], {}, {}, {})
-        for body in _Messages({"path": self.path})._bodies(file, p, index):
-            channel, log = struct.unpack_from("<H", body)[0], struct.unpack_from("<Q", body, 6)[0]
-            index.counts[channel] = index.counts.get(channel, 0) + 1
-            index.start = log if index.start is None else min(index.start, log)
-            index.end = log if index.end is None else max(index.end, log)
+            yield (name, i, topic, encoding, kind, schema_encoding, index.counts.get(i, 0), index.start, index.end, index.profile, index.library, *more, found)
+
+    @staticmethod
+    def _scan(file, size: int) -> Index:
+        index = Index([], {}, {}, {})
+        for data, _ in _records(file, size, index):
+            bodies = Bodies(data, index)
+            if len(bodies.starts):
+                ids, counts = np.unique(bodies.channel, return_counts=True)
+                for i, n in zip(ids.tolist(), counts.tolist()):
+                    index.counts[i] = index.counts.get(i, 0) + n
+                low, high = int(bodies.times().min()), int(bodies.times().max())
+                index.start = low if index.start is None else min(index.start, low)
+                index.end = high if index.end is None else max(index.end, high)
+            if bodies.error:
+                break
         return index
 
 
@@ -351,15 +510,14 @@ def _source(kind: str, columns: str, reader: type[_Reader]) -> type[DataSource]:
             return columns
 
         def reader(self, schema):
-            return reader(dict(self.options))
+            return reader(dict(self.options), schema.names)
 
     return Source
 
 
-_KEY = "file string, ordinal long, channel_id int, topic string, sequence long, log_time_ns long, publish_time_ns long"
+MESSAGES = "file string, ordinal long, channel_id int, topic string, sequence long, log_time_ns long, publish_time_ns long, data binary, error string"
 SOURCES = [
-    _source("mcap_messages", f"{_KEY}, data binary, error string", _Messages),
-    _source("mcap_times", f"{_KEY}, error string", _Times),
+    _source("mcap_messages", MESSAGES, _Messages),
     _source("mcap_chunks", "file string, start_ns long, end_ns long, offset long, length long", _Chunks),
     _source("mcap_summary", "file string, channel_id int, topic string, message_encoding string, schema_name string, schema_encoding string, messages long, start_ns long, end_ns long, "
             "profile string, library string, attachments long, metadata long, chunks long, from_index boolean", _Summary),

@@ -56,7 +56,10 @@ def test_index_prunes_chunks_and_answers_counts(spark, tmp_path):
     make(tmp_path / "x.mcap", ROWS)
     load = lambda f, **o: spark.read.format(f).options(path=str(tmp_path), **o).load()
     assert load("mcap_chunks").count() == 3
-    assert load("mcap_messages", to_ns="1030").rdd.getNumPartitions() == 2  # the chunk, and what lies between chunks
+    opened = []
+    reader = mcap._Messages({"path": str(tmp_path), "to_ns": "1030"}, ["log_time_ns"])
+    reader._unpacked = lambda f, at, n, k: opened.append(at) or mcap._Messages._unpacked(f, at, n, k)
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 4 and len(opened) == 1
     assert sorted((r.topic, r.messages, r.start_ns, r.end_ns) for r in load("mcap_summary").collect()) == [("/a", 5, 1000, 1090), ("/b", 5, 1000, 1090)]
 
 
@@ -111,7 +114,7 @@ def test_records_between_chunks_are_read_and_bad_chunks_become_rows(spark, tmp_p
     assert len(good) == 11 and [bytes(r.data) for r in good if r.sequence == 99] == [b"loose"] and not any(r.error for r in good)
     bad = load("bad").collect()
     assert sum(r.error is None for r in bad) == 7 and sum("unpacked" in (r.error or "") for r in bad) == 1
-    times = spark.read.format("mcap_times").option("path", str(tmp_path / "good")).load()
+    times = spark.read.format("mcap_messages").schema("log_time_ns long, error string").option("path", str(tmp_path / "good")).load()
     assert times.count() == 11 and "data" not in times.columns
     assert load(".", flat="true").count() == 0
 
@@ -123,11 +126,13 @@ def test_filters_reach_the_reader_and_scans_stand_in_for_the_index(spark, tmp_pa
     df = spark.read.format("mcap_messages").option("path", str(tmp_path)).load()
     got = sorted((r.file[-6:], r.log_time_ns) for r in df.where("topic = '/b' and log_time_ns > 1030 and log_time_ns <= 1070").collect())
     assert got == [(f, t) for f in ("x.mcap", "y.mcap") for t in (1050, 1070)]
-    reader = mcap._Messages({"path": str(tmp_path)})
+    reader = mcap._Messages({"path": str(tmp_path)}, ["log_time_ns"])
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     list(reader.pushFilters([EqualTo(("topic",), "/b"), GreaterThan(("log_time_ns",), 1070)]))
-    assert reader.topics == {"/b"} and len([p for p in reader.partitions() if p.offset]) == 1
+    opened = []
+    reader._unpacked = lambda f, at, n, k: opened.append(at) or mcap._Messages._unpacked(f, at, n, k)
+    assert reader.topics == {"/b"} and sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2 and len(opened) == 1
     rows = spark.read.format("mcap_summary").option("path", str(tmp_path)).load().collect()
     assert {(r.file[-6:], r.topic, r.messages, r.start_ns, r.end_ns, r.library, r.from_index) for r in rows} == {(f, t, 5, 1000, 1090, "t", f == "x.mcap") for f in ("x.mcap", "y.mcap") for t in ("/a", "/b")}
     assert {(r.file[-6:], r.chunks) for r in rows} == {("x.mcap", 3), ("y.mcap", None)}
