@@ -11,13 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import codec
 
 #: NAL unit types of parameter sets, and the range of types that begin a group of pictures.
-VPS, SPS, PPS, KEYS = 32, 33, 34, range(16, 22)
+VPS, SPS, PPS, KEYS = 32, 33, 34, tuple(range(16, 22))
 
 
 class PayloadError(ValueError):
@@ -164,12 +165,47 @@ def sps(unit: bytes) -> tuple:
     return width, height, space, tier, profile, compat, constraints, level, chroma, b.golomb(), b.golomb(), layers + 1, nested
 
 
-def access_unit(data: bytes) -> tuple:
-    """Types, whether it is a key frame, its parameter sets, and the sample: each unit after its length."""
-    found = units(data)
-    types = [unit_type(u) for u in found]
-    of = lambda t: [u for u, k in zip(found, types) if k == t]
-    return types, any(t in KEYS for t in types), of(VPS), of(SPS), of(PPS), b"".join(struct.pack(">I", len(u)) + u for u in found)
+def _lists(values: pa.Array, of: np.ndarray, rows: int) -> pa.Array:
+    """Values that belong to ascending row numbers as one list a row."""
+    ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), values)
+
+
+def _bytes(parts: list, sizes: np.ndarray) -> pa.Array:
+    """Byte strings that lie one after the other, of these sizes."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(b"".join(parts))])
+
+
+def access_units(data: pa.Array) -> pa.StructArray:
+    """Of a batch of H.265 access units: types, whether one is a key frame, its parameter sets, and the sample (each unit after its length).
+
+    Start codes are looked for in the batch's one buffer. Null data give nulls."""
+    rows, ends = len(data), np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    buffer = data.buffers()[2].to_pybytes() if data.buffers()[2] else b""
+    a = np.frombuffer(buffer or b"\0", np.uint8)
+    at = np.flatnonzero((a[:-2] == 0) & (a[1:-1] == 0) & (a[2:] == 1)) if len(a) > 2 else np.zeros(0, np.int64)
+    at = at[(at >= ends[0]) & (at < ends[-1])]
+    of = np.searchsorted(ends, at, side="right") - 1
+    whole = at + 3 < ends[of + 1]  # neither cut by the row's end nor at it
+    at, of = at[whole], of[whole]
+    lo, hi = at + 3, ends[of + 1]
+    hi[:-1] = np.where(of[:-1] == of[1:], at[1:], hi[:-1])
+    while (zero := (hi > lo) & (a[hi - 1] == 0)).any():
+        hi = hi - zero
+    lo, hi, of = lo[hi > lo], hi[hi > lo], of[hi > lo]
+    types = a[lo].astype(np.int32) >> 1 & 63
+    view = memoryview(buffer)
+    sets = []
+    for t in (VPS, SPS, PPS):
+        own = np.flatnonzero(types == t)
+        sets.append(_lists(_bytes([view[x:y] for x, y in zip(lo[own].tolist(), hi[own].tolist())], (hi - lo)[own]), of[own], rows))
+    lengths = (hi - lo).astype(">u4").tobytes()
+    parts = [p for k, (x, y) in enumerate(zip(lo.tolist(), hi.tolist())) for p in (lengths[4 * k : 4 * k + 4], view[x:y])]
+    samples = _bytes(parts, np.bincount(of, hi - lo + 4, rows).astype(np.int64))
+    keys = np.bincount(of, np.isin(types, KEYS), rows) > 0
+    columns = [_lists(pa.array(types), of, rows), pa.array(keys), *sets, samples, pa.nulls(rows, pa.string())]
+    return pa.StructArray.from_arrays(columns, ["types", "is_key", "vps", "sps", "pps", "sample", "error"], mask=data.is_null())
 
 
 def _decoder(decode: Callable, schema: str):
@@ -227,8 +263,14 @@ def audio_block(data: Column) -> Column:
 
 
 def hevc_frame(payload: Column) -> Column:
-    """types, is_key, vps, sps, pps (lists of units), sample, error of an H.265 access unit."""
-    return _one(access_unit, "types array<int>, is_key boolean, vps array<binary>, sps array<binary>, pps array<binary>, sample binary")(payload)
+    """types, is_key, vps, sps, pps (lists of units), sample, error of an H.265 access unit; all null for a null one."""
+
+    @F.arrow_udf("types array<int>, is_key boolean, vps array<binary>, sps array<binary>, pps array<binary>, sample binary, error string")
+    def udf(data: pa.Array) -> pa.Array:
+        return access_units(data)
+
+    found = udf(payload)
+    return F.when(found["sample"].isNotNull(), found)
 
 
 def sps_info(unit: Column) -> Column:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import struct
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan.functions import payloads, text, timing
 from reelspan.operators import align, channels, continuity, integrity, islands, library, mp4_checks, playlist, report, sessions
 from reelspan.plans.catalog import DAY, HOUR, events, query, table
-from reelspan.plans.shared import shared_dir
+from reelspan.plans.shared import scratch
 
 UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
@@ -366,27 +363,53 @@ VPS, PPS = bytes([64, 1, 7]), bytes([68, 1, 9])
 SPS = bytes.fromhex("4201012160000003000003000003000003005da020831f77")
 
 
-@query("SELECT user_id, true AS ok, count(*) AS frames, count(*) FILTER (event_type = 'view') AS keyframes, true AS same FROM events GROUP BY user_id")
-def mp4_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as H.265 samples, written as one MP4 file a user, read back, and checked quickly and in full."""
+def _films(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as H.265 samples, written as one MP4 file a user: what the sink tells, and the files' tracks read back."""
     from reelspan.sinks import mp4 as sink
     from reelspan.sources import mp4 as source
 
-    folder = f"{shared_dir(spark)}/mp4-{uuid.uuid4().hex}"
+    folder = scratch(spark, "mp4")
     key = F.col("event_type") == "view"
     unit = F.concat(F.when(key, F.lit(bytes([19 << 1, 1]))).otherwise(F.lit(bytes([1 << 1, 1]))), F.encode("props", "UTF-8"))
     stream = F.concat(*[F.concat(F.lit(b"\0\0\1"), F.lit(x)) for x in (VPS, SPS, PPS)], F.lit(b"\0\0\1"), unit)
     frames = events(spark, sf_dir).select(F.concat(F.col("user_id"), F.lit(".mp4")).alias("output"), F.col("event_id").alias("i"), F.lit(0).alias("track"), (F.col("us") * 1000).alias("t_ns"), payloads.hevc_frame(stream).alias("h"))
     frames = frames.select("output", "i", "track", "t_ns", "h.is_key", F.col("h.sample").alias("data"), F.concat("h.vps", "h.sps", "h.pps").alias("sets"))
-    done = f"{folder}/written"
-    sink.write_mp4(frames, f"{folder}/files").write.parquet(done)
+    done = sink.write_mp4(frames, f"{folder}/files", manifest=f"{folder}/written.jsonl")
     source.register(spark)
-    tracks = spark.read.format("mp4_tracks").option("path", f"{folder}/files").load()
+    return done, spark.read.format("mp4_tracks").option("path", f"{folder}/files").load()
+
+
+def _user(column: str) -> F.Column:
+    return F.regexp_extract(column, r"(\d+)\.mp4$", 1).cast("long").alias("user_id")
+
+
+@query("SELECT user_id, true AS ok, count(*) AS frames, count(*) FILTER (event_type = 'view') AS keyframes, true AS same FROM events GROUP BY user_id")
+def mp4_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MP4 files checked quickly, and in full by digests of their samples read back."""
+    from reelspan.sources import mp4 as source
+
+    done, tracks = _films(spark, sf_dir)
     name = F.element_at(F.split("file", "/"), -1)
-    written = spark.read.parquet(done).select(F.col("output").alias("file"), F.lit(0).alias("track"), "sha256")
+    written = done.select(F.col("output").alias("file"), F.lit(0).alias("track"), "sha256")
     full = mp4_checks.full(written, source.payload_digests(tracks).withColumn("file", name)).select(F.col("file").alias("name"), F.col("matches_written").alias("same"))
     quick = mp4_checks.quick(tracks).withColumn("name", name)
-    return quick.join(full, "name").select(F.regexp_replace("name", r"\.mp4$", "").cast("long").alias("user_id"), "ok", F.col("frames").cast("long").alias("frames"), "keyframes", "same")
+    return quick.join(full, "name").select(_user("name"), "ok", F.col("frames").cast("long").alias("frames"), "keyframes", "same")
+
+
+@query("""
+SELECT user_id, user_id % 6 IN (0, 5) AS ok, CASE user_id % 6 WHEN 1 THEN 'offsets_differ' WHEN 2 THEN 'before_media' WHEN 3 THEN 'not_to_the_end' WHEN 4 THEN 'stts_differs' ELSE '' END AS failed
+FROM events GROUP BY user_id""")
+def mp4_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks of which two thirds are damaged: an offset lost, media data that begin too late or end too late, a wrong number of durations."""
+    _, tracks = _films(spark, sf_dir)
+    kind = F.regexp_extract("file", r"(\d+)\.mp4$", 1).cast("long") % 6
+    damaged = tracks.withColumns({
+        "offsets": F.when(kind == 1, F.slice("offsets", 1, F.size("offsets") - 1)).otherwise(F.col("offsets")),
+        "mdat_start": F.col("mdat_start") + (kind == 2).cast("long"),
+        "mdat_end": F.col("mdat_end") + (kind == 3).cast("long"),
+        "stts": F.when(kind == 4, F.transform("stts", lambda x, i: x.withField("count", x["count"] + (i == 0).cast("long")))).otherwise(F.col("stts")),
+    })
+    return mp4_checks.quick(damaged).select(_user("file"), "ok", F.array_join("failed", ",").alias("failed"))
 
 
 @query()

@@ -1,4 +1,5 @@
-"""MP4 files from rows of samples, after the public ISO base media format. Spark orders each file's rows; a task streams them out.
+"""MP4 files from rows of samples, after the public ISO base media format. Spark orders each file's rows; a task streams them out, in runs of
+samples as they lie in Arrow batches, and the driver publishes the files when the job commits (see staging.py).
 
 Rows: output (file name), i (order of writing), track (0 the H.265 video, others PCM audio), t_ns, is_key, data (a video sample, each unit
 behind its length, or whole PCM frames), sets (parameter sets, on rows that bring some), rate and channels (audio rows), delay_ms (of the track).
@@ -8,18 +9,22 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter
 
 from reelspan.functions.payloads import PPS, SPS, VPS, sps, unit_type
 from reelspan.functions.timing import LONE_FRAME, TICKS
 
+from .staging import StagedWriter, Written, resolve
+
 #: Ticks of the film's clock, seconds from 1904 to 1970, the largest 32-bit number, and the unit matrix.
 FILM, SINCE_1904, LARGEST = 1000, 2_082_844_800, (1 << 32) - 1
 MATRIX = struct.pack(">9I", 1 << 16, 0, 0, 0, 1 << 16, 0, 0, 0, 1 << 30)
@@ -68,25 +73,28 @@ class Track:
     rate: int = 0
     channels: int = 0
     delay_ms: float = 0.0
-    offsets: list[int] = field(default_factory=list)
-    sizes: list[int] = field(default_factory=list)
-    times: list[int] = field(default_factory=list)
-    keys: list[int] = field(default_factory=list)
+    parts: list[tuple[np.ndarray, ...]] = field(default_factory=list)
+    large: bool = False
+
+    def close(self) -> None:
+        """Joins what batches have brought: places, sizes, times and numbers of key samples."""
+        self.offsets, self.sizes, self.times, keys = (np.concatenate(c) for c in zip(*self.parts))
+        self.keys = np.flatnonzero(keys) + 1
 
     def table(self, fps: float | None, sets: dict[int, list[bytes]]) -> tuple[list[bytes], int, int, bytes]:
         """Sample tables, length in own ticks, ticks a second, and the fields of the track's header: volume and size."""
-        large = self.offsets[-1] > LARGEST
+        large = self.large
         places = full("co64" if large else "stco", counted(self.offsets, ">u8" if large else ">u4"))
         if self.rate:
             frame = 2 * self.channels
-            samples = np.array(self.sizes) // frame
+            samples = self.sizes // frame
             first = runs(samples)
             tables = [
                 full("stsd", numbers(1), self._sound()), full("stts", numbers(1, int(samples.sum()), 1)), full("stsc", numbers(len(first)), np.stack([first + 1, samples[first], np.ones_like(first)], 1).astype(">u4").tobytes()),
                 full("stsz", numbers(frame, int(samples.sum()))), places,
             ]
             return tables, int(samples.sum()), self.rate, numbers(0x100, 0, kind="H") + MATRIX + numbers(0, 0)
-        length = durations(np.array(self.times, np.int64), fps)
+        length = durations(self.times, fps)
         first = runs(length)
         info = sps(sets[SPS][0])
         tables = [
@@ -132,56 +140,142 @@ def moov(tracks: list[Track], made: int, fps: float | None, sets: dict, marker:
 
 
 RESULT = "output string, path string, frames long, keyframes long, payload_bytes long, file_bytes long, sha256 string, error string"
-
-
-def write_mp4(samples: DataFrame, folder: str, fps: float | None = None, created: int = 0, marker: bytes | None = None) -> DataFrame:
+INPUT = ["output", "i", "track", "t_ns", "is_key", "data", "sets", "rate", "channels", "delay_ms"]
+#: How chunk offsets are written: as 64-bit numbers where they need it, always, or never (then a file that needs them fails).
+AUTO, ALWAYS, OFF = "auto", "always", "off"
+
+
+class Film:
+    """A file in the making. Its media data lie behind a header that is filled in at the end, when their length is known: a 64-bit one, or an
+    empty box and a 32-bit one."""
+
+    def __init__(self, path: str):
+        self.path, self.tracks, self.sets, self.digest = path, {}, {VPS: [], SPS: [], PPS: []}, hashlib.sha256()
+        self.store, self.place = resolve(path)
+        self.out = self.store.open_output_stream(self.place)
+        self.top = box("ftyp", b"isom" + numbers(0x200) + b"isomiso6mp41hev1")
+        self.out.write(self.top + bytes(16))
+        self.start = self.at = len(self.top) + 16
+
+    def add(self, rows: pa.RecordBatch) -> None:
+        """Rows of this file in order; their data are one run of bytes in the batch."""
+        data = rows.column("data")
+        ends = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+        run = memoryview(data.buffers()[2])[ends[0] : ends[-1]] if data.buffers()[2] else memoryview(b"")
+        sizes, places, track = np.diff(ends), ends[:-1] - ends[0], rows.column("track").to_numpy()
+        times, keys = rows.column("t_ns").fill_null(0).to_numpy(), rows.column("is_key").fill_null(False).to_numpy(zero_copy_only=False)
+        for t in np.unique(track).tolist():
+            own = track == t
+            if t not in self.tracks:
+                first = {c: rows.column(c)[int(np.argmax(own))].as_py() for c in ("rate", "channels", "delay_ms")}
+                self.tracks[t] = Track(first["rate"] if t else 0, first["channels"] if t else 0, first["delay_ms"] or 0.0)
+            self.tracks[t].parts.append((self.at + places[own], sizes[own], times[own], keys[own]))
+            if not t:
+                self.digest.update(run if own.all() else b"".join(run[a : a + n] for a, n in zip(places[own], sizes[own])))
+        for k in np.flatnonzero(rows.column("sets").value_lengths().fill_null(0).to_numpy()).tolist():
+            for unit in rows.column("sets")[k].as_py():
+                if unit_type(unit) in self.sets and unit not in self.sets[unit_type(unit)]:
+                    self.sets[unit_type(unit)].append(unit)
+        self.out.write(run)
+        self.at += len(run)
+
+    def close(self, made: int, fps: float | None, marker: bytes | None, co64: str) -> dict:
+        """What to tell of the file; with an error there is none to publish."""
+        for t in self.tracks.values():
+            t.close()
+        needed = any(t.offsets[-1] > LARGEST for t in self.tracks.values())
+        for t in self.tracks.values():
+            t.large = co64 == ALWAYS or t.offsets[-1] > LARGEST
+        error = "no_video_samples" if 0 not in self.tracks else "missing_parameter_sets" if not all(self.sets.values()) else "co64_needed" if needed and co64 == OFF else None
+        if error:
+            self.out.close()
+            return {"error": error}
+        tail = moov([self.tracks[k] for k in sorted(self.tracks)], made, fps, self.sets, marker)
+        self.out.write(tail)
+        self.out.close()
+        size = self.at - self.start
+        self._head(struct.pack(">I4sQ", 1, b"mdat", size + 16) if size + 8 > LARGEST else box("free") + struct.pack(">I4s", size + 8, b"mdat"))
+        video = self.tracks[0]
+        return {"frames": len(video.sizes), "keyframes": len(video.keys), "payload_bytes": int(video.sizes.sum()), "file_bytes": self.at + len(tail), "sha256": self.digest.hexdigest()}
+
+    def _head(self, head: bytes) -> None:
+        """Fills in the reserved bytes: in place on a local disk, in a copy on a store whose files can't be changed."""
+        if isinstance(self.store, fs.LocalFileSystem):
+            with open(self.place, "r+b") as f:
+                f.seek(len(self.top))
+                f.write(head)
+            return
+        with self.store.open_input_stream(self.place) as old, self.store.open_output_stream(f"{self.place}.copy") as out:
+            old.read(self.start)
+            out.write(self.top + head)
+            while part := old.read(4 << 20):
+                out.write(part)
+        self.store.delete_file(self.place)
+        self.store.move(f"{self.place}.copy", self.place)
+
+
+class _Writer(StagedWriter, DataSourceArrowWriter):
+    """Options beside path and manifest: fps, created, marker (as hex) and co64."""
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.fps, self.marker, self.co64 = float(options.get("fps", 0)) or None, bytes.fromhex(options.get("marker", "")) or None, options.get("co64", AUTO)
+        if self.co64 not in (AUTO, ALWAYS, OFF):
+            raise ValueError(f"co64 is {AUTO}, {ALWAYS} or {OFF}")
+        created = int(options.get("created", 0))
+        self.made = created + SINCE_1904 if 0 < created < (1 << 32) - SINCE_1904 else 0
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
+        done, film, name, folder = Written(), None, None, None
+
+        def finish() -> None:
+            told = film.close(self.made, self.fps, self.marker, self.co64)
+            good = "error" not in told
+            done.files.append((name, film.path if good else None, {"output": name, "path": f"{self.folder}/{name}" if good else None, **told}))
+
+        for b in batches:
+            b = b.filter(b.column("data").is_valid())  # here and not in the plan, where a filter would decode the frames once more
+            names = b.column("output").to_pylist()
+            cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo and (film is None or names[lo] != name):
+                    if film:
+                        finish()
+                    folder, name = folder or self.attempt(), names[lo]
+                    film = Film(f"{folder}/{len(done.files)}.mp4")
+                if hi > lo:
+                    film.add(b.slice(lo, hi - lo))
+        if film:
+            finish()
+        return done
+
+
+class _Mp4(DataSource):
+    @classmethod
+    def name(cls):
+        return "mp4"
+
+    def writer(self, schema, overwrite):
+        return _Writer(dict(self.options))
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(_Mp4)
+
+
+def write_mp4(samples: DataFrame, folder: str, fps: float | None = None, created: int = 0, marker: bytes | None = None, co64: str = AUTO, manifest: str | None = None) -> DataFrame:
     """Writes each output of samples to folder; one row a file: frames, sizes, the SHA-256 of its video, and an error where there is nothing
-    to write or no parameter sets (no file then). A task writes a file as a stream and holds its sample table only; null data are left out."""
-    size = samples.groupBy("output").agg(F.sum(F.octet_length("data")).alias("total"))
-    columns = ["output", "i", "track", "t_ns", "is_key", "data", "sets", "rate", "channels", "delay_ms", "total"]
-    made = created + SINCE_1904 if 0 < created < (1 << 32) - SINCE_1904 else 0
-
-    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (r for b in batches for r in b.itertuples(index=False))
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        store.create_dir(root)
-        r = next(rows, None)
-        while r is not None:
-            name, tracks, sets, digest, at = r.output, {}, {VPS: [], SPS: [], PPS: []}, hashlib.sha256(), 0
-            path, head = f"{root}/{name}", box("ftyp", b"isom" + numbers(0x200) + b"isomiso6mp41hev1")
-            head += struct.pack(">I4sQ", 1, b"mdat", r.total + 16) if r.total + 8 > LARGEST else struct.pack(">I4s", r.total + 8, b"mdat")
-            at, error = len(head), None
-            with store.open_output_stream(f"{path}.part") as out:
-                out.write(head)
-                while r is not None and r.output == name:
-                    t = tracks.setdefault(r.track, Track(int(r.rate) if r.track else 0, int(r.channels) if r.track else 0, 0.0 if pd.isna(r.delay_ms) else float(r.delay_ms)))
-                    for unit in r.sets if r.sets is not None else ():
-                        if unit_type(unit) in sets and unit not in sets[unit_type(unit)]:
-                            sets[unit_type(unit)].append(unit)
-                    t.offsets.append(at)
-                    t.sizes.append(len(r.data))
-                    if not r.track:
-                        t.times.append(int(r.t_ns))
-                        t.keys += [len(t.sizes)] if r.is_key else []
-                        digest.update(r.data)
-                    out.write(r.data)
-                    at += len(r.data)
-                    r = next(rows, None)
-                if 0 not in tracks:
-                    error = "no_video_samples"
-                elif not all(sets.values()):
-                    error = "missing_parameter_sets"
-                else:
-                    tail = moov([tracks[k] for k in sorted(tracks)], made, fps, sets, marker)
-                    out.write(tail)
-            if error:
-                store.delete_file(f"{path}.part")
-                yield pd.DataFrame([(name, None, None, None, None, None, None, error)], columns=[c.split(" ")[0] for c in RESULT.split(", ")])
-            else:
-                store.move(f"{path}.part", path)
-                video = tracks[0]
-                yield pd.DataFrame([(name, f"{folder}/{name}", len(video.sizes), len(video.keys), sum(video.sizes), at + len(tail), digest.hexdigest(), None)], columns=[c.split(" ")[0] for c in RESULT.split(", ")])
-
+    to write, no parameter sets, or a need of 64-bit offsets that co64 forbids (no file then).
+
+    samples are evaluated once; null data are left out. A task holds a batch and its file's sample table. Files appear together when the
+    job commits; if one of them exists already, the job fails and none appears. The rows are kept in `manifest`, by default beside the folder.
+    """
+    spark = samples.sparkSession
+    register(spark)
+    manifest = manifest or f"{folder.rstrip('/')}.written/{uuid.uuid4().hex}.jsonl"
     missing = {"sets": "array<binary>", "rate": "int", "channels": "int", "delay_ms": "double"}
-    rows = samples.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in samples.columns}).join(size, "output").where(F.col("data").isNotNull())
-    return rows.select(columns).repartition("output").sortWithinPartitions("output", "i").mapInPandas(files, RESULT)
+    rows = samples.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in samples.columns})
+    rows = rows.select(*INPUT).repartition("output").sortWithinPartitions("output", "i")
+    options = {"path": folder, "manifest": manifest, "created": created, "co64": co64, **({"fps": fps} if fps else {}), **({"marker": marker.hex()} if marker else {})}
+    rows.write.format("mp4").mode("append").options(**options).save()
+    return spark.read.schema(RESULT).json(manifest)

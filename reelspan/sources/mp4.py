@@ -6,12 +6,14 @@ data; a file that can't be read has one row with an error. A partition reads up
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -71,12 +73,14 @@ def _table(box: bytes, at: int, kind: str, columns: int = 1) -> np.ndarray:
     return np.frombuffer(box, f">{kind}", n * columns, at + 4).astype(np.int64).reshape(n, columns)
 
 
+#: Boxes without which a track's samples can't be found; one of each row.
+REQUIRED = ((b"mdhd",), (b"stts",), (b"stsc",), (b"stsz",), (b"stco", b"co64"))
+
+
 def _track(t: dict[bytes, bytes]) -> dict:
-    for need in (b"stsz", b"stts", b"stsc", b"mdhd"):
-        if need not in t:
-            raise Mp4Error(f"no {need.decode()} box")
-    if not t.keys() & {b"stco", b"co64"}:
-        raise Mp4Error("no stco or co64 box")
+    lacking = [" or ".join(k.decode() for k in kinds) for kinds in REQUIRED if not t.keys() & set(kinds)]
+    if lacking:
+        raise Mp4Error(f"no {', '.join(lacking)} box")
     large = b"co64" in t
     offsets = _table(t[b"co64" if large else b"stco"], 4, "u8" if large else "u4")[:, 0]
     fixed, samples = struct.unpack_from(">II", t[b"stsz"], 4)
@@ -177,28 +181,30 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Mp4Tracks)
 
 
-def payload_digests(tracks: DataFrame) -> DataFrame:
-    """file, track, sha256, payload_bytes of each track's samples in order, read back from the files; a task reads a track as a stream."""
+def ranges(offsets: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+    """(from, length) of the runs of samples that lie one after the other."""
+    if not len(offsets):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], offsets[1:] != offsets[:-1] + sizes[:-1]]))
+    return list(zip(offsets[first].tolist(), np.add.reduceat(sizes, first).tolist()))
 
-    def digest(batches):
-        import hashlib
 
-        import pandas as pd
+def payload_digests(tracks: DataFrame) -> DataFrame:
+    """file, track, sha256, payload_bytes of each track's samples in order, read back from the files; a task reads a track as a stream, samples
+    that lie beside each other at once."""
 
+    def digest(batches):
         for b in batches:
             out = []
-            for uri, offsets, sizes in zip(b["file"], b["offsets"], b["sizes"]):
+            for uri, offsets, sizes in zip(b.column("file").to_pylist(), b.column("offsets"), b.column("sizes")):
                 h, n = hashlib.sha256(), 0
                 with open_file(uri) as file:
-                    for at, size in zip(offsets, sizes):
-                        file.seek(int(at))
-                        while size > 0:
-                            part = file.read(min(int(size), PART))
-                            if not part:
-                                break
+                    for at, size in ranges(np.array(offsets.values), np.array(sizes.values)):
+                        file.seek(at)
+                        while size > 0 and (part := file.read(min(size, PART))):
                             h.update(part)
                             n, size = n + len(part), size - len(part)
                 out.append((h.hexdigest(), n))
-            yield pd.DataFrame({"file": b["file"], "track": b["track"], "sha256": [x for x, _ in out], "payload_bytes": [x for _, x in out]})
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("track"), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.int64())], ["file", "track", "sha256", "payload_bytes"])
 
-    return tracks.where(F.col("error").isNull()).select("file", "track", "offsets", "sizes").repartition("file", "track").mapInPandas(digest, "file string, track int, sha256 string, payload_bytes long")
+    return tracks.where(F.col("error").isNull()).select("file", "track", "offsets", "sizes").repartition("file", "track").mapInArrow(digest, "file string, track int, sha256 string, payload_bytes long")

@@ -3,6 +3,8 @@
 import hashlib
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +78,24 @@ def test_parameter_sets(spark, layers):
     assert (good.d.tier, good.d.level, good.d.bit_depth_chroma) == ("high", 3.1, 10) and bad.error
 
 
+def test_batches_of_access_units():
+    import random
+
+    r = random.Random(4)
+    rows = [None, b"", b"\0\0\1", b"\0\0\1a\0\0\1", b"\0\0", b"\0\1b\0\0\1c"] + [bytes(r.choice([0, 0, 0, 1, 64, 66, 68, 38, 2]) for _ in range(r.randrange(40))) for _ in range(400)]
+    for lo in (0, 3):
+        got = payloads.access_units(pa.array(rows)[lo:]).to_pylist()
+        for data, g in zip(rows[lo:], got):
+            if data is None:
+                assert g is None
+                continue
+            found = payloads.units(data)
+            types = [u[0] >> 1 & 63 for u in found]
+            sets = [[u for u, t in zip(found, types) if t == k] for k in (32, 33, 34)]
+            sample = b"".join(struct.pack(">I", len(u)) + u for u in found)
+            assert g == {"types": types, "is_key": any(16 <= t < 22 for t in types), "vps": sets[0], "sps": sets[1], "pps": sets[2], "sample": sample, "error": None}
+
+
 def test_units_cut_at_start_codes():
     assert payloads.units(b"\0\0\1ab\0\0\0\1c\0\0\1d\0\0") == [b"ab", b"c", b"d"] and payloads.units(b"abc") == [] and payloads.units(b"\0\0\1") == []
 
@@ -92,7 +112,7 @@ def test_files_round_trip(spark, tmp_path):
     video = encoded(spark, rows)
     sound = spark.createDataFrame([("b.mp4", 100 + i, 1, 0, False, bytes([i, 0]) * 2 * n) for i, n in enumerate((4, 4, 3))], "output string, i long, track int, t_ns long, is_key boolean, data binary")
     sound = sound.withColumns({"rate": F.lit(16000), "channels": F.lit(2), "delay_ms": F.lit(250.0)})
-    done = sink.write_mp4(video.unionByName(sound, allowMissingColumns=True), str(tmp_path), created=1_700_000_000, marker=b'{"group":"g1"}').cache()
+    done = sink.write_mp4(video.unionByName(sound, allowMissingColumns=True), str(tmp_path), created=1_700_000_000, marker=b'{"group":"g1"}', manifest=f"{tmp_path}.jsonl").cache()
     made = {r.output: r for r in done.collect()}
     assert made["c.mp4"].error == "missing_parameter_sets" and sorted(p.name for p in tmp_path.iterdir()) == ["a.mp4", "b.mp4"]
     assert made["a.mp4"].frames == 10 and made["a.mp4"].keyframes == 3 and made["a.mp4"].file_bytes == (tmp_path / "a.mp4").stat().st_size
@@ -153,3 +173,66 @@ def test_held_back_audio(spark):
         held += n if kept[-1] else 0
     df = spark.createDataFrame([("k", i, n) for i, n in enumerate(sizes)] + [("l", 0, 3)], "k string, i long, n long")
     assert {(r.k, r.i): r.kept for r in channels.held_back(df, ["k"], ["i"], "n", 10).collect()} == {**{("k", i): v for i, v in enumerate(kept)}, ("l", 0): True}
+
+
+def batch(rows):
+    """Sample rows (output, track, data, key, sets) as the sink gets them."""
+    columns = [pa.array(c, t) for c, t in zip(zip(*[(o, i, t, i * 33_000_000, k, d, s, 16000 if t else None, 1 if t else None, None) for i, (o, t, d, k, s) in enumerate(rows)]), [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.binary()), pa.int32(), pa.int32(), pa.float64()])]
+    return pa.RecordBatch.from_arrays(columns, sink.INPUT)
+
+
+SETS = [VPS, sps_unit(), PPS]
+
+
+def test_attempts_and_commit(tmp_path):
+    rows = [("a.mp4", 0, bytes([i]) * (i + 1), i == 0, SETS if i == 0 else None) for i in range(9)] + [("b.mp4", 1, b"\1\2", False, None)]
+    make = lambda **o: sink._Writer({"path": str(tmp_path), **o})
+    writer = make()
+
+    def broken():
+        yield batch(rows[:4])
+        raise OSError("lost")
+
+    with pytest.raises(OSError):
+        writer.write(broken())
+    other = writer.write(iter([batch(rows)]))
+    message = writer.write(iter([batch(rows[:5]).slice(0, 2), batch(rows[2:])]))
+    assert [t.get("error") for _, _, t in message.files] == [None, "no_video_samples"] and other.files[0][2]["sha256"] == message.files[0][2]["sha256"] == hashlib.sha256(b"".join(r[2] for r in rows[:9])).hexdigest()
+    writer.commit([message])
+    assert [p.name for p in tmp_path.iterdir()] == ["a.mp4"]
+    size = (tmp_path / "a.mp4").stat().st_size
+    with open(tmp_path / "a.mp4", "rb") as f:
+        (t,) = mp4.tracks_of(f, size)
+    assert t["sizes"] == list(range(1, 10)) and t["offsets"][0] == t["mdat_start"] and t["offsets"][-1] + 9 == t["mdat_end"] and not t["co64"]
+    with pytest.raises(FileExistsError):
+        writer = make()
+        writer.commit([writer.write(iter([batch([("Z.mp4", *r[1:]) for r in rows[:9]]), batch(rows)]))])
+    writer.abort([])
+    assert [p.name for p in tmp_path.iterdir()] == ["a.mp4"] and (tmp_path / "a.mp4").stat().st_size == size
+    writer = make(co64="always")
+    writer.commit([writer.write(iter([batch([("c.mp4", *r[1:]) for r in rows[:9]])]))])
+    with open(tmp_path / "c.mp4", "rb") as f:
+        assert mp4.tracks_of(f, (tmp_path / "c.mp4").stat().st_size)[0]["co64"]
+    with pytest.raises(ValueError):
+        make(co64="sometimes")
+
+
+def test_large_files(tmp_path, monkeypatch):
+    """64-bit offsets and media headers, with a small limit in place of 4 GB."""
+    monkeypatch.setattr(sink, "LARGEST", 60)
+    rows = [("a.mp4", 0, bytes([i]) * 20, i == 0, SETS if i == 0 else None) for i in range(4)]
+    writer = sink._Writer({"path": str(tmp_path)})
+    message = writer.write(iter([batch(rows)]))
+    monkeypatch.setattr(sink, "LARGEST", (1 << 32) - 1)
+    writer.commit([message])
+    with open(tmp_path / "a.mp4", "rb") as f:
+        (t,) = mp4.tracks_of(f, (tmp_path / "a.mp4").stat().st_size)
+    assert t["co64"] and t["offsets"][0] == t["mdat_start"] and t["mdat_end"] - t["mdat_start"] == 80
+    monkeypatch.setattr(sink, "LARGEST", 60)
+    off = sink._Writer({"path": str(tmp_path), "co64": "off"})
+    assert off.write(iter([batch(rows)])).files[0][2]["error"] == "co64_needed"
+    off.abort([])
+
+
+def test_runs_of_samples():
+    assert mp4.ranges(np.array([8, 18, 40, 50]), np.array([10, 12, 10, 1])) == [(8, 22), (40, 11)] and mp4.ranges(np.zeros(0, int), np.zeros(0, int)) == []
