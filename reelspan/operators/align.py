@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import Ordered
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "i") -> DataFrame:
-    """df with the position, from 0, of each row in its key."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "i", hot: int | None = None) -> DataFrame:
+    """df with the position, from 0, of each row in its key. hot: see ordered.Ordered."""
+    return Ordered(df, keys, order, hot).running(**{name: ("sum", F.lit(1).cast("long"))}).rows().withColumn(name, F.col(name) - 1)
 
 
 def pair_by_position(df: DataFrame, keys: list[str], channel: str, time: str, reference: str, others: list[str], ties: list[str] | None = None) -> DataFrame:
@@ -49,14 +51,14 @@ def trim_to_shortest(df: DataFrame, keys: list[str], channel: str, order: list[s
     return rows.where(F.col("__i") < F.col("__least")).drop("__i", "__least")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, ties: list[str] | None = None, name: str = "as_of") -> DataFrame:
-    """left with the value of right's last row at or before its time (null before the first); equal times count, ties break by ties."""
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, ties: list[str] | None = None, name: str = "as_of", hot: int | None = None) -> DataFrame:
+    """left with the value of right's last row at or before its time (null before the first); equal times count, ties break by ties.
+    hot: see ordered.Ordered; a key's rows of both sides are ordered together, a hot key's in blocks."""
     order = [time, *(ties or [])]
     r = right.select(*keys, *order, F.lit(0).alias("__side"), F.struct(F.col(value).alias("v"), F.col(time).alias("t")).alias("__r"))
     rows = left.withColumn("__side", F.lit(1)).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(time, "__side", *(ties or [])).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
-    return rows.withColumn(name, F.col("__r.v")).withColumn(f"{name}_time", F.col("__r.t")).drop("__r", "__side")
+    rows = Ordered(rows, keys, [time, "__side", *(ties or [])], hot).running(__near=("last", F.col("__r"))).rows().where("__side = 1")
+    return rows.withColumn(name, F.col("__near.v")).withColumn(f"{name}_time", F.col("__near.t")).drop("__r", "__near", "__side")
 
 
 def extrapolate(value: Column, since: Column, rate: Column, most: float = 0.6) -> Column:
@@ -64,9 +66,9 @@ def extrapolate(value: Column, since: Column, rate: Column, most: float = 0.6) -
     return value + F.least(F.greatest(since, F.lit(0.0)), F.lit(most)) * rate
 
 
-def locate(probes: DataFrame, parts: DataFrame, keys: list[str], position: str, start: str, duration: str, part: str) -> DataFrame:
+def locate(probes: DataFrame, parts: DataFrame, keys: list[str], position: str, start: str, duration: str, part: str, hot: int | None = None) -> DataFrame:
     """probes with part and offset: the part whose [start, start + duration) holds the position, clamped to the first and last part."""
     bounds = parts.groupBy(*keys).agg(F.max(F.col(start) + F.col(duration)).alias("__end"))
     clamped = probes.join(bounds, keys).withColumn("__p", F.least(F.greatest(F.col(position), F.lit(0)), F.col("__end")))
-    found = as_of(clamped, parts.select(*keys, F.col(start).alias("__p"), F.struct(part, start).alias("__s")), keys, "__p", "__s", name="__at")
+    found = as_of(clamped, parts.select(*keys, F.col(start).alias("__p"), F.struct(part, start).alias("__s")), keys, "__p", "__s", name="__at", hot=hot)
     return found.withColumn("part", F.col(f"__at.{part}")).withColumn("offset", F.col("__p") - F.col(f"__at.{start}")).drop("__p", "__end", "__at", "__at_time")

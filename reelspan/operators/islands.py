@@ -1,86 +1,96 @@
-"""Runs, groups of pictures, durations and offsets along an order. Keys are files or channels, each of a bounded length."""
+"""Runs, groups of pictures, durations and offsets along an order.
+
+All go through ordered.Ordered: a key of more than `hot` rows (default ordered.HOT) is ordered in blocks by many tasks. Orders should be total.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspan.functions.timing import LONE_FRAME, ticks
 
-
-def _over(keys: list[str], order: list[str]):
-    return Window.partitionBy(*keys).orderBy(*order)
+from .ordered import Ordered
 
 
-def upto(keys: list[str], order: list[str]):
-    return _over(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with right's columns, one row for each of the keys; nulls are equal."""
+    named, on = right.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)}), F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return left.join(named, on).drop(*(f"__k{i}" for i in range(len(keys))))
 
 
-def runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def runs(df: DataFrame, keys: list[str], order: list[str], value: str, hot: int | None = None) -> DataFrame:
     """Run-length encoding: keys, run (from 1), value, n. Nulls are equal to each other."""
-    w = _over(keys, order)
-    new = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("long")
-    rows = df.withColumn("__new", new).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(*keys, "run", value).agg(F.count("*").alias("n"))
+    scan = Ordered(df, keys, order, hot).neighbour(value, "__was", first="__first")
+    scan.running(run=("sum", (F.col("__first") | ~F.col(value).eqNullSafe(F.col("__was"))).cast("long")))
+    return scan.rows().groupBy(*keys, "run", value).agg(F.count("*").alias("n"))
 
 
-def run_starts(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def run_starts(df: DataFrame, keys: list[str], order: list[str], value: str, hot: int | None = None) -> DataFrame:
     """Only the rows whose value differs from the row before (as in a sample-to-chunk table)."""
-    w = _over(keys, order)
-    return df.withColumn("__same", F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1)).where("not __same").drop("__same")
+    rows = Ordered(df, keys, order, hot).neighbour(value, "__was", first="__first").rows()
+    return rows.where(F.col("__first") | ~F.col(value).eqNullSafe(F.col("__was"))).drop("__was", "__first")
 
 
-def fill_forward(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def fill_forward(df: DataFrame, keys: list[str], order: list[str], value: str, hot: int | None = None) -> DataFrame:
     """value, where null, becomes the last one before (expands a sample-to-chunk table)."""
-    return df.withColumn(value, F.last(value, ignorenulls=True).over(upto(keys, order)))
+    rows = Ordered(df, keys, order, hot).running(__last=("last", F.col(value))).rows()
+    return rows.withColumn(value, F.col("__last")).drop("__last")
 
 
-def groups_of_pictures(df: DataFrame, keys: list[str], order: list[str], is_key: Column) -> DataFrame:
+def groups_of_pictures(df: DataFrame, keys: list[str], order: list[str], is_key: Column, hot: int | None = None) -> DataFrame:
     """keys, gop (from 1), n: rows from one key row up to the next; rows before the first and the open last group are left out."""
-    rows = df.withColumn("gop", F.sum(is_key.cast("long")).over(upto(keys, order))).where("gop > 0")
+    rows = Ordered(df, keys, order, hot).running(gop=("sum", is_key.cast("long"))).rows().where("gop > 0")
     out = rows.groupBy(*keys, "gop").agg(F.count("*").alias("n"))
-    return out.withColumn("__last", F.max("gop").over(Window.partitionBy(*keys))).where("gop < __last").drop("__last")
+    return _joined(out, out.groupBy(*keys).agg(F.max("gop").alias("__last")), keys).where("gop < __last").drop("__last")
 
 
-def drop_leading(df: DataFrame, keys: list[str], order: list[str], *needed: Column) -> DataFrame:
+def drop_leading(df: DataFrame, keys: list[str], order: list[str], *needed: Column, hot: int | None = None) -> DataFrame:
     """Rows from the first on by which every condition has held (the first of them has to hold on that row itself)."""
-    w = upto(keys, order)
+    scan = Ordered(df, keys, order, hot)
     ready = needed[0]
-    for c in needed[1:]:
-        ready = ready & F.bool_or(c).over(w)
-    rows = df.withColumn("__ready", ready)
-    return rows.withColumn("__on", F.bool_or("__ready").over(w)).where("__on").drop("__ready", "__on")
+    if needed[1:]:
+        scan.running(**{f"__seen{i}": ("any", c) for i, c in enumerate(needed[1:])})
+        for i in range(len(needed) - 1):
+            ready = ready & F.col(f"__seen{i}")
+    rows = scan.running(__on=("any", ready)).rows()
+    return rows.where("__on").drop("__on", *(f"__seen{i}" for i in range(len(needed) - 1)))
 
 
-def drop_at_seams(df: DataFrame, keys: list[str], part: str, order: list[str], is_key: Column) -> DataFrame:
+def drop_at_seams(df: DataFrame, keys: list[str], part: str, order: list[str], is_key: Column, hot: int | None = None) -> DataFrame:
     """Parts after a key's first lose their rows before the first key row."""
-    rows = df.withColumn("__on", F.bool_or(is_key).over(upto([*keys, part], order))).withColumn("__first", F.min(part).over(Window.partitionBy(*keys)))
+    rows = Ordered(df, [*keys, part], order, hot).running(__on=("any", is_key)).rows()
+    rows = _joined(rows, df.groupBy(*keys).agg(F.min(part).alias("__first")), keys)
     return rows.where(F.col("__on") | (F.col(part) == F.col("__first"))).drop("__on", "__first")
 
 
-def sample_durations(df: DataFrame, keys: list[str], order: list[str], time: str, per_second: int) -> DataFrame:
+def sample_durations(df: DataFrame, keys: list[str], order: list[str], time: str, per_second: int, hot: int | None = None) -> DataFrame:
     """df with duration in ticks: to the next row, the last repeating the one before, a lone row LONE_FRAME."""
-    w = _over(keys, order)
-    own = ticks(F.lead(time).over(w) - F.col(time), per_second)
-    own = F.when(F.lead(time).over(w).isNotNull(), own)
-    rows = df.withColumn("duration", own)
-    return rows.withColumn("duration", F.coalesce("duration", F.lag("duration").over(w), F.lit(LONE_FRAME)).cast("long"))
+    rows = Ordered(df, keys, order, hot).neighbour(time, "__next", 1).neighbour(time, "__before").rows()
+    step = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), ticks(F.col(b) - F.col(a), per_second))
+    return rows.withColumn("duration", F.coalesce(step(time, "__next"), step("__before", time), F.lit(LONE_FRAME)).cast("long")).drop("__next", "__before")
 
 
-def starts(df: DataFrame, keys: list[str], order: list[str], length: Column, name: str = "start") -> DataFrame:
+def starts(df: DataFrame, keys: list[str], order: list[str], length: Column, name: str = "start", hot: int | None = None) -> DataFrame:
     """df with the sum of the lengths before each row."""
-    w = _over(keys, order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("__l", length).withColumn(name, F.coalesce(F.sum("__l").over(w), F.lit(0)).cast("long")).drop("__l")
+    rows = Ordered(df, keys, order, hot).running(before=True, **{name: ("sum", length)}).rows()
+    return rows.withColumn(name, F.col(name).cast("long"))
 
 
-def neighbours(df: DataFrame, keys: list[str], order: list[str], item: str, wrap: bool = True) -> DataFrame:
+def neighbours(df: DataFrame, keys: list[str], order: list[str], item: str, wrap: bool = True, hot: int | None = None) -> DataFrame:
     """df with next and previous item; wrap: the ends meet."""
-    w, whole = _over(keys, order), _over(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last, first = (F.last(item).over(whole), F.first(item).over(whole)) if wrap else (F.lit(None), F.lit(None))
-    return df.withColumn("next", F.coalesce(F.lead(item).over(w), first)).withColumn("previous", F.coalesce(F.lag(item).over(w), last))
+    rows = Ordered(df, keys, order, hot).neighbour(item, "next", 1, "__end").neighbour(item, "previous", -1, "__begin").rows()
+    if wrap:
+        at = F.struct(*order)
+        ends = df.groupBy(*keys).agg(F.min_by(F.struct(F.col(item).alias("v")), at).alias("__first"), F.max_by(F.struct(F.col(item).alias("v")), at).alias("__last"))
+        rows = _joined(rows, ends, keys)
+        rows = rows.withColumns({"next": F.when(F.col("__end"), F.col("__first.v")).otherwise(F.col("next")), "previous": F.when(F.col("__begin"), F.col("__last.v")).otherwise(F.col("previous"))}).drop("__first", "__last")
+    return rows.drop("__end", "__begin")
 
 
-def increasing(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def increasing(df: DataFrame, keys: list[str], order: list[str], value: str, hot: int | None = None) -> DataFrame:
     """keys, increasing: whether every value is larger than the one before; true for a lone row."""
-    rows = df.withColumn("__up", F.col(value) > F.lag(value).over(_over(keys, order)))
-    return rows.groupBy(*keys).agg(F.coalesce(F.bool_and("__up"), F.lit(True)).alias("increasing"))
+    rows = Ordered(df, keys, order, hot).neighbour(value, "__was").rows()
+    return rows.groupBy(*keys).agg(F.coalesce(F.bool_and(F.col(value) > F.col("__was")), F.lit(True)).alias("increasing"))

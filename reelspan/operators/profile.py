@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import Ordered, median
+
 
 def topic_profile(df: DataFrame, keys: list[str], topic: str, time: str, per_second: int) -> DataFrame:
     """keys, topic, messages, first, last and rate_hz: messages by the seconds that all topics of the keys span, to 3 places; null for no span."""
@@ -24,11 +26,17 @@ def mean_period(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     return out.select(*keys, "n", F.when(F.col("n") > 1, (F.col("z") - F.col("a")) / (F.col("n") - 1)).alias("period"))
 
 
-def median_period(df: DataFrame, keys: list[str], order: list[str], time: str) -> DataFrame:
-    """keys, period: the median of the positive steps between neighbours, 0.0 without any."""
-    step = F.lead(time).over(Window.partitionBy(*keys).orderBy(*order)) - F.col(time)
-    rows = df.withColumn("__step", step)
-    return rows.groupBy(*keys).agg(F.coalesce(F.median(F.when(F.col("__step") > 0, F.col("__step"))), F.lit(0.0)).alias("period"))
+def median_period(df: DataFrame, keys: list[str], order: list[str], time: str, hot: int | None = None) -> DataFrame:
+    """keys, period: the median of the positive steps between neighbours, 0.0 without any. Steps are whole numbers; a key of more than `hot` rows is
+    ordered in blocks and its median selected by counting (see ordered.py)."""
+    rows = Ordered(df, keys, order, hot).neighbour(time, "__next", 1).rows()
+    steps = rows.select(*keys, (F.col("__next") - F.col(time)).alias("__step"))
+    found = median(steps.withColumn("__step", F.when(F.col("__step") > 0, F.col("__step"))), keys, "__step", hot)
+    every = df.select(*keys).distinct()
+    named, on = found.withColumnsRenamed({k: f"__k{i}" for i, k in enumerate(keys)}), F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return every.join(named, on, "left").select(*keys, F.coalesce("median", F.lit(0.0)).alias("period"))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str], *values: str) -> DataFrame:

@@ -350,7 +350,7 @@ b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED P
 SELECT user_id, min(us) AS start_us, max(us) AS last_us, count(*) AS n FROM b GROUP BY user_id, sid""")
 def stream_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of events read as a stream; those that the watermark hasn't closed at its end come from the batch form."""
-    from reelspan.plans.shared import shared_dir
+    from reelspan.shared import shared_dir
     from reelspan.streaming import sessions as streams
 
     source = table(spark, sf_dir, "events").schema

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelspan.functions import payloads, text, timing
 from reelspan.operators import align, channels, continuity, integrity, islands, library, mp4_checks, playlist, report, sessions
 from reelspan.plans.catalog import DAY, HOUR, events, query, table
-from reelspan.plans.shared import scratch
+from reelspan.shared import scratch
 
 UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reelspan.operators import profile
 from reelspan.plans.catalog import DAY, events, query
-from reelspan.plans.shared import scratch
+from reelspan.shared import scratch
 from reelspan.sinks import mcap as sink
 from reelspan.sources import mcap, mcap_index
 

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +27,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stash(df: DataFrame, name: str = "stash") -> DataFrame:
+    """df written once as Parquet in the shared folder, and read back from there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -39,22 +39,6 @@ def test_gaps_and_overlaps_equal_the_loop(spark):
     assert ignored.agg(F.sum("fill")).first()[0] == 0
 
 
-@pytest.mark.parametrize("width", [3, 50, 10_000])
-def test_binned_windows_equal_plain_ones(spark, width):
-    r = random.Random(width)
-    rows = [(r.choice([1, 2, None]), r.randrange(300), i, r.randrange(9)) for i in range(400)]
-    df = spark.createDataFrame(rows, "k int, t long, i long, v long")
-    got = ordered.with_running(ordered.with_previous(df, ["k"], ["t", "i"], "v", "p", width), ["k"], ["t", "i"], F.col("v"), "s", width)
-    expected = []
-    for key in (1, 2, None):
-        p, s = None, 0
-        for k, t, i, v in sorted((x for x in rows if x[0] == key), key=lambda x: x[1:3]):
-            s += v
-            expected.append((i, p, s))
-            p = v
-    assert sorted((x.i, x.p, x.s) for x in got.collect()) == sorted(expected)
-
-
 def test_sessions_cut_after_the_gap_and_leave_null_times_out(spark):
     df = spark.createDataFrame([("a", 0), ("a", 10), ("a", 21), (None, 5), ("a", None)], "k string, t long")
     got = {(x.k, x.t): x.session for x in sessions.sessionize(df, ["k"], "t", 10, width=7).collect()}
