@@ -47,11 +47,12 @@ def position(ms: Column, millis: bool = False) -> Column:
     return F.concat(text, F.lit("."), F.lpad(F.floor(ms % 1000).cast("string"), 3, "0")) if millis else text
 
 
-def human_size(n: Column) -> Column:
-    """Bytes in B, KB, MB, GB or TB with one decimal from KB on."""
-    out = F.concat(F.format_string("%.1f", n / 1024.0**4), F.lit(" TB"))
+def human_size(n: Column, places: int = 1) -> Column:
+    """Bytes in B, KB, MB, GB or TB, with decimals from KB on. Ties round half-even, as in C; format_string alone would round them up."""
+    part = lambda power: F.format_string(f"%.{places}f", F.bround(n / 1024.0**power, places))
+    out = F.concat(part(4), F.lit(" TB"))
     for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(n < 1024 ** (power + 1), F.concat(F.format_string("%.1f", n / 1024.0**power), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n < 1024 ** (power + 1), F.concat(part(power), F.lit(f" {unit}"))).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
 

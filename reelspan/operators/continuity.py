@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import BIN, with_steps
+from .ordered import BIN, Ordered, with_steps
 
 
 def blocks(df: DataFrame, keys: list[str], order: list[str], stamp: str, length: str, rate: int, per_second: int = 1_000_000_000, tolerance: int = 1_000_000, policy: str = "fill", width: int | None = None) -> DataFrame:
@@ -47,6 +47,35 @@ def totals(df: DataFrame, keys: list[str], length: str, listed: int = 50) -> Dat
     return out.join(gaps, keys, "left")
 
 
+def summary(df: DataFrame, keys: list[str], order: list[str], stamp: str, length: str, rate: int, per_second: int = 1_000_000_000, policy: str = "fill", listed: int = 50, hot: int | None = None) -> DataFrame:
+    """What a report says of each stream, of all its blocks (empty ones too): messages, samples, source_samples, first and end stamp, duration_s,
+    gaps and overlaps with the first `listed` of each (position_s, duration_ms, of gaps also filled), silence and trimmed samples, source_exact.
+
+    The end is the first stamp plus the time of all samples written. Gaps and overlaps are numbered by ordered.Ordered, so that a stream with
+    any number of them costs no memory."""
+    every = df.groupBy(*keys).agg(F.count("*").alias("messages"))
+    rows = blocks(df, keys, order, stamp, length, rate, per_second, policy=policy)
+    ms, at = 1000 / per_second, F.bround(F.col("position") / rate, 6).alias("position_s")
+    faults = Ordered(rows.where("kind is not null"), [*keys, "kind"], order, hot).running(__n=("sum", F.lit(1).cast("long"))).rows().where(F.col("__n") <= listed)
+    long = F.bround(F.abs("delta") * ms, 3).alias("duration_ms")
+    lists = faults.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "gap", F.struct("__n", at, long, (F.col("fill") > 0).alias("filled"))))).alias("gap_list"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "overlap", F.struct("__n", at, long)))).alias("overlap_list"),
+    )
+    n = lambda kind: F.count_if(F.coalesce(F.col("kind") == kind, F.lit(False)))
+    source = F.sum(F.col(length) - F.col("trim"))
+    out = rows.groupBy(*keys).agg(
+        (source + F.sum("fill")).alias("samples"), source.alias("source_samples"), F.min_by(stamp, F.struct(*order)).alias("first"), n("gap").alias("gaps"), n("overlap").alias("overlaps"),
+        F.sum("fill").alias("silence_samples"), F.sum("trim").alias("trimmed_samples"),
+    )
+    out = every.join(out, keys, "left").join(lists, keys, "left").fillna(0, ["samples", "source_samples", "gaps", "overlaps", "silence_samples", "trimmed_samples"])
+    plain = lambda c: F.coalesce(F.transform(c, lambda x: x.dropFields("__n")), F.array())
+    return out.withColumns({
+        "end": F.col("first") + F.bround(F.col("samples").cast("decimal(20,0)") * per_second / rate, 0).cast("long"), "duration_s": F.bround(F.col("samples") / rate, 6),
+        "gap_list": plain("gap_list"), "overlap_list": plain("overlap_list"), "source_exact": (F.col("silence_samples") == 0) & (F.col("trimmed_samples") == 0),
+    })
+
+
 def usable_stamp(stamp: Column, log_time: Column) -> Column:
     """A block's stamp, or its log time where the stamp is null or 0."""
     return F.when(F.coalesce(stamp, F.lit(0)) == 0, log_time).otherwise(stamp)
@@ -57,12 +86,15 @@ def whole_samples(n_bytes: Column, bytes_per_sample: Column) -> Column:
     return F.floor(n_bytes / bytes_per_sample).cast("long")
 
 
-def format_lock(df: DataFrame, keys: list[str], order: list[str], fmt: str, supported: list[str], width: int = BIN) -> DataFrame:
-    """Rows before a key's first unsupported or changed format, by its first format; and error codes of keys that end early."""
-    first = df.groupBy(*keys).agg(F.min_by(fmt, F.struct(*order)).alias("__fmt"))
+def format_lock(df: DataFrame, keys: list[str], order: list[str], fmt: str, supported: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows before a key's first unsupported or changed format, by its first one; and error codes of keys that end early. also: columns (rate,
+    channels) that are part of the format and may not change either; nulls are equal to each other."""
+    whole = F.struct(fmt, *also)
+    first = df.groupBy(*keys).agg(F.min_by(whole, F.struct(*order)).alias("__fmt"))
     rows = df.join(first, keys)
-    bad = ~F.coalesce(F.col(fmt).isin(*supported) & (F.col(fmt) == F.col("__fmt")), F.lit(False))
-    error = F.when(F.col("__fmt").isin(*supported), "audio_format_changed").otherwise("unsupported_audio_format")
+    good = lambda c: F.coalesce(c.isin(*supported), F.lit(False))
+    bad = ~(good(F.col(fmt)) & whole.eqNullSafe(F.col("__fmt")))
+    error = F.when(good(F.col(f"__fmt.{fmt}")), "audio_format_changed").otherwise("unsupported_audio_format")
     ends = rows.groupBy(*keys).agg(F.min(F.when(bad, F.struct(*order))).alias("__end"), F.first(error).alias("__error"))
     rows = rows.join(ends, keys)
     ok = F.col("__end").isNull() | (F.struct(*order) < F.col("__end"))
@@ -75,7 +107,6 @@ def offset(audio_first_stamp: Column, video_first_stamp: Column, audio_first_log
     return F.when(by_payload, audio_first_stamp - video_first_stamp).otherwise(audio_first_log - video_first_log) + setting
 
 
-def av_offset(audio_first: Column, video_first: Column, setting: Column) -> tuple[Column, Column]:
-    """Delays of audio and of video from their first stamps; a negative offset delays the video."""
-    offset = audio_first - video_first + setting
+def delays(offset: Column) -> tuple[Column, Column]:
+    """Delays of audio and of video by an offset; a negative one delays the video."""
     return F.greatest(offset, F.lit(0)), F.greatest(-offset, F.lit(0))

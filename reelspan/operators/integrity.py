@@ -23,23 +23,10 @@ def failed_rules(rules: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())
 
 
-def sample_rules(size_total: Column, data_start: Column, data_end: Column, expected: Column) -> dict[str, Column]:
-    """Quick check of a track's row (n, duration, n_offsets, first_offset, last_end, uneven): the rules it may break."""
-    return {
-        "counts_differ": F.col("n") != F.col("n_offsets"), "frames_missing": F.col("n") != expected, "outside_data": (F.col("first_offset") < data_start) | (F.col("last_end") > data_end),
-        "not_contiguous": F.col("uneven") > 0, "no_duration": F.col("duration") <= 0, "size_differs": F.col("last_end") - F.col("first_offset") < size_total,
-    }
-
-
 def output_state(existing: Column, expected: Column) -> Column:
     return F.when(F.coalesce(existing, F.lit(0)) == 0, "pending").when(existing == expected, "complete").otherwise("incomplete")
 
 
-def triage(first_bad_codec: Column, samples: Column, has_parameter_sets: Column) -> Column:
-    """A channel's error, null if it is good."""
-    return F.when(first_bad_codec.isNotNull(), "unsupported_codec").when(F.coalesce(samples, F.lit(0)) == 0, "no_video_samples").when(~has_parameter_sets, "missing_parameter_sets")
-
-
 def done(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """source, done: whether the last record is final (success or skipped) and each of its outputs is there with the size it claims.
 

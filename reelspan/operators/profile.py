@@ -20,6 +20,21 @@ def topic_profile(df: DataFrame, keys: list[str], topic: str, time: str, per_sec
     return out.withColumn("rate_hz", F.when(span > 0, F.bround(F.col("messages") / span, 3)))
 
 
+def diagnose(df: DataFrame, keys: list[str], order: list[str], time: str, data: str, fmt: str, per_second: int, top: int = 5, head: int = 16, tracked: int = 1000, accuracy: int = 1000) -> DataFrame:
+    """keys, messages, smallest, largest, mean_size and median_size of payloads, first_bytes (of the first payload in order), formats (the `top`
+    most frequent ones as (item, count)) and rate_hz (n - 1 steps by the span; null for no span), in one pass.
+
+    All states are bounded and merge: formats come from a sketch of `tracked` items, which is exact for up to that many distinct formats and
+    else off by the messages divided by `tracked` at most; the median's rank is within the messages divided by `accuracy`."""
+    size = F.octet_length(F.col(data)).cast("long")
+    out = df.groupBy(*keys).agg(
+        F.count("*").alias("messages"), F.min(size).alias("smallest"), F.max(size).alias("largest"), F.avg(size).alias("mean_size"), F.percentile_approx(size, 0.5, accuracy).alias("median_size"),
+        F.min_by(F.substring(data, 1, head), F.struct(*order)).alias("first_bytes"), F.expr(f"approx_top_k(`{fmt}`, {top}, {tracked})").alias("formats"), F.min(time).alias("__a"), F.max(time).alias("__z"),
+    )
+    span = (F.col("__z") - F.col("__a")) / per_second
+    return out.withColumn("rate_hz", F.when(span > 0, (F.col("messages") - 1) / span)).drop("__a", "__z")
+
+
 def mean_period(df: DataFrame, keys: list[str], time: str) -> DataFrame:
     """keys, n, period: (last - first) / (n - 1), null for fewer than two rows."""
     out = df.groupBy(*keys).agg(F.count(time).alias("n"), F.min(time).alias("a"), F.max(time).alias("z"))

@@ -21,10 +21,10 @@ def throughput(total_bytes: Column, seconds: Column) -> Column:
     return F.try_divide(total_bytes / 1e6, seconds)
 
 
-def exit_code(df: DataFrame, status: str = "status") -> DataFrame:
-    """One row: 1 if something failed, else 2 if something is incomplete or out of sync, else 0."""
+def exit_code(df: DataFrame, status: str = "status", keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, exit_code: 1 if something failed, else 2 if something is incomplete or out of sync, else 0. Without keys one row, 0 for no results."""
     worst = F.max(F.when(F.col(status) == "failed", 2).when(F.col(status).isin("incomplete", "out_of_sync"), 1).otherwise(0))
-    return df.agg(F.element_at(F.array(F.lit(0), F.lit(2), F.lit(1)), F.coalesce(worst, F.lit(0)) + 1).alias("exit_code"))
+    return df.groupBy(*keys).agg(F.element_at(F.array(F.lit(0), F.lit(2), F.lit(1)), F.coalesce(worst, F.lit(0)) + 1).alias("exit_code"))
 
 
 def flatten(df: DataFrame, keys: list[str], items: Column, name: str = "item") -> DataFrame:
@@ -135,6 +135,15 @@ def write_json(report: DataFrame, whole: DataFrame, folder: str) -> None:
     whole.write.json(f"{folder}/summary")
 
 
+def export_json(report: DataFrame, whole: DataFrame, path: str, order: str = "source") -> None:
+    """One JSON document {summary, files}: the row of whole, and report's rows in order. Rows pass the driver one partition at a time; large
+    reports take write_json."""
+    text = lambda df: df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    files = text(report.orderBy(order)).toLocalIterator()
+    rows = ((",\n" if k else "") + r[0] for k, r in enumerate(files))
+    _stream_out(path, '{"summary": ' + text(whole).first()[0] + ', "files": [\n', rows, "\n]}\n")
+
+
 def _stream_out(path: str, head: str, lines, foot: str) -> None:
     from pyarrow import fs
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelspan.functions import payloads, text, timing
-from reelspan.operators import align, channels, continuity, integrity, islands, library, mp4_checks, playlist, report, sessions
-from reelspan.plans.catalog import DAY, HOUR, events, query, table
+from reelspan.operators import align, channels, continuity, integrity, islands, library, mp4_checks, playlist, profile, report, sessions
+from reelspan.plans.catalog import DAY, HOUR, SQL, events, query, table
 from reelspan.shared import scratch
 
 UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -80,11 +80,28 @@ def hevc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT *, first_value(event_type) OVER w AS fmt, CASE WHEN event_type IN ('view', 'click') AND event_type = first_value(event_type) OVER w THEN 0 ELSE 1 END AS bad FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-b AS (SELECT *, min(CASE WHEN bad = 1 THEN event_id END) OVER (PARTITION BY user_id) AS stop FROM e)
+WITH e AS (SELECT *, event_id // 4000 AS rate, first_value(event_type) OVER w AS fmt, first_value(event_id // 4000) OVER w AS rate0 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+b AS (SELECT *, min(CASE WHEN event_type IN ('view', 'click') AND event_type = fmt AND rate = rate0 THEN NULL ELSE event_id END) OVER (PARTITION BY user_id) AS stop FROM e)
 SELECT user_id, event_id, CASE WHEN stop IS NOT NULL THEN CASE WHEN fmt IN ('view', 'click') THEN 'audio_format_changed' ELSE 'unsupported_audio_format' END END AS error FROM b WHERE stop IS NULL OR event_id < stop""")
 def format_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return continuity.format_lock(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], "event_type", ["view", "click"]).select("user_id", "event_id", "error")
+    """Formats are event types, rates blocks of ids; neither may change."""
+    rows = table(spark, sf_dir, "events").withColumn("rate", F.expr("event_id div 4000"))
+    return continuity.format_lock(rows, ["user_id"], ["event_id"], "event_type", ["view", "click"], ("rate",)).select("user_id", "event_id", "error")
+
+
+@query(f"""
+WITH g AS ({SQL["gap_fill"]}), f AS (SELECT g.*, epoch_us(ts) AS us FROM g JOIN events USING (event_id)),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id, kind ORDER BY us, event_id) AS k FROM f WHERE kind IS NOT NULL),
+t AS (SELECT user_id, string_agg(position || ':' || delta, ' ' ORDER BY k) FILTER (kind = 'gap') AS gap_list, string_agg(position || ':' || -delta, ' ' ORDER BY k) FILTER (kind = 'overlap') AS overlap_list FROM l WHERE k <= 5 GROUP BY user_id)
+SELECT user_id, count(*) AS messages, CAST(sum(fill + n - trim) AS BIGINT) AS samples, CAST(sum(n - trim) AS BIGINT) AS source_samples, min(us) AS first_us, CAST(min(us) + 1000000 * sum(fill + n - trim) AS BIGINT) AS end_us,
+CAST(sum(fill + n - trim) AS DOUBLE) AS duration_s, count(*) FILTER (kind = 'gap') AS gaps, count(*) FILTER (kind = 'overlap') AS overlaps, CAST(sum(fill) AS BIGINT) AS silence_samples, CAST(sum(trim) AS BIGINT) AS trimmed_samples,
+coalesce(any_value(gap_list), '') AS gap_list, coalesce(any_value(overlap_list), '') AS overlap_list, sum(fill) + sum(trim) = 0 AS source_exact FROM f LEFT JOIN t USING (user_id) GROUP BY user_id""")
+def audio_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as blocks of audio, with their first five gaps and overlaps."""
+    e = events(spark, sf_dir).withColumn("n", F.floor(F.col("value") * 100).cast("long") + 1)
+    out = continuity.summary(e, ["user_id"], ["us", "event_id"], "us", "n", rate=1, per_second=1_000_000, listed=5)
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["position_s"].cast("long"), F.lit(":"), F.bround(x["duration_ms"] * 1000, 0).cast("long"))), " ")
+    return out.withColumns({"gap_list": told("gap_list"), "overlap_list": told("overlap_list")}).withColumnsRenamed({"first": "first_us", "end": "end_us"})
 
 
 @query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN epoch_us(ts) ELSE event_id % 7 END AS stamp, CAST(floor(length(props) / 4) AS BIGINT) AS samples FROM events")
@@ -103,7 +120,7 @@ def av_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = o.groupBy("o_custkey").agg(first("O").alias("a"), first("F").alias("v"), F.min("o_orderkey").alias("al"), F.max("o_orderkey").alias("vl"))
     source = F.when(F.col("o_custkey") % 2 == 0, "payload_timestamp").otherwise("log_time")
     rows = rows.withColumn("d", continuity.offset(F.col("a"), F.col("v"), F.col("al"), F.col("vl"), source, F.lit(HOUR)))
-    audio, video = continuity.av_offset(F.lit(0), F.lit(0), F.col("d"))
+    audio, video = continuity.delays(F.col("d"))
     return rows.select("o_custkey", audio.cast("long").alias("audio_delay"), video.cast("long").alias("video_delay"))
 
 
@@ -193,12 +210,7 @@ def equal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(CASE WHEN count(*) FILTER (o_orderstatus = 'X') > 0 THEN 1 WHEN count(*) FILTER (o_orderstatus = 'P') > 0 THEN 2 ELSE 0 END AS INTEGER) AS exit_code, o_orderpriority FROM orders GROUP BY o_orderpriority")
 def exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "P", "incomplete").when(F.col("o_orderstatus") == "X", "failed").otherwise("success"))
-    one = lambda p: report.exit_code(o.where(F.col("o_orderpriority") == p)).withColumn("o_orderpriority", F.lit(p))
-    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]  # the five priorities of the schema
-    out = one(names[0])
-    for p in names[1:]:
-        out = out.unionByName(one(p))
-    return out.join(o.select("o_orderpriority").distinct(), "o_orderpriority", "left_semi")
+    return report.exit_code(o, keys=("o_orderpriority",))
 
 
 @query("SELECT o_custkey, CAST(sum(o_orderkey) AS BIGINT) AS total, CASE WHEN count(*) > 1 THEN (sum(o_orderkey) / 1e6) / (count(*) - 1) END AS mb_s FROM orders GROUP BY o_custkey")
@@ -426,3 +438,86 @@ def stream_stateful_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 def held_back_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.floor("value") + 1).cast("long").alias("size"))
     return channels.held_back(rows, ["user_id"], ["event_id"], "size", 1_000)
+
+
+@query("""
+WITH s AS (SELECT o_orderkey, CAST(o_orderkey * 7919 % 3000000000 AS BIGINT) AS n FROM orders)
+SELECT o_orderkey, CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.2f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.2f MB', n / 1048576) ELSE printf('%.2f GB', n / 1073741824) END AS size FROM s""")
+def size_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", timing.human_size(F.col("o_orderkey") * 7919 % 3_000_000_000, 2).alias("size"))
+
+
+@query("""
+WITH p AS (SELECT event_type, value, count(*) AS n FROM (SELECT event_type, CAST(floor(value) AS BIGINT) % 5 AS value FROM events) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, value) AS k FROM p)
+SELECT event_type, count(*) AS messages, min(strlen(props)) AS smallest, max(strlen(props)) AS largest, round(avg(strlen(props)), 6) AS mean_size, round((count(*) - 1) * 1e6 / (max(epoch_us(ts)) - min(epoch_us(ts))), 9) AS rate_hz,
+hex(encode(arg_min(props, event_id)[:8])) AS first_bytes, any_value(f.formats) AS formats
+FROM events JOIN (SELECT event_type, string_agg(value || ':' || n, ' ' ORDER BY k) AS formats FROM r WHERE k <= 3 GROUP BY event_type) f USING (event_type) GROUP BY event_type""")
+def stream_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as topics: sizes of their properties, the first bytes, and the three most frequent formats."""
+    rows = events(spark, sf_dir).withColumn("format", (F.floor("value") % 5).cast("string")).withColumn("data", F.encode("props", "UTF-8"))
+    out = profile.diagnose(rows, ["event_type"], ["event_id"], "us", "data", "format", 1_000_000, top=3, head=8)
+    ranked = F.array_sort(F.transform("formats", lambda x: F.struct((-x["count"]).alias("less"), x["item"].alias("item"))))
+    formats = F.array_join(F.transform(ranked, lambda x: F.concat(x["item"], F.lit(":"), -x["less"])), " ")
+    return out.select("event_type", "messages", "smallest", "largest", F.round("mean_size", 6).alias("mean_size"), F.round("rate_hz", 9).alias("rate_hz"), F.hex("first_bytes").alias("first_bytes"), formats.alias("formats"))
+
+
+@query("SELECT event_id, 'h265' AS format, md5(props[:100]) AS data, epoch_us(ts) // 1000000 * 1000000000 + 5 AS stamp_ns, event_id % 3 = 0 AS failed FROM events WHERE event_id % 3 > 0 UNION ALL SELECT event_id, NULL, NULL, NULL, true FROM events WHERE event_id % 3 = 0")
+def video_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as video messages in protobuf, a third of them cut short, decoded."""
+    e = events(spark, sf_dir)
+    tag = lambda n, body: F.concat(F.lit(bytes([n << 3 | 2])), F.unhex(F.lpad(F.hex(F.octet_length(body)), 2, "0")), body)
+    s = F.expr("us div 1000000").cast("long")
+    part = lambda k: F.unhex(F.lpad(F.hex(F.shiftright(s, 7 * k).bitwiseAND(F.lit(127)) + F.lit(0 if k == 4 else 128)), 2, "0"))
+    seconds = F.concat(F.lit(bytes([1 << 3])), *[part(k) for k in range(5)], F.lit(bytes([2 << 3, 5])))
+    message = F.concat(tag(1, seconds), tag(3, F.encode(F.substring("props", 1, 100), "UTF-8")), tag(4, F.lit(b"H265")))
+    cut = F.when(F.col("event_id") % 3 == 0, F.substring(message, F.lit(1), F.octet_length(message) - 1)).otherwise(message)
+    rows = e.select("event_id", payloads.video_frame(F.lit("foxglove"), cut).alias("v"))
+    return rows.select("event_id", "v.format", F.md5("v.payload").alias("data"), "v.stamp_ns", F.col("v.error").isNotNull().alias("failed"))
+
+
+@query("""
+WITH f AS (SELECT user_id, event_type, min(event_id) AS began FROM events GROUP BY ALL)
+SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY began) - 1 AS INTEGER) AS i FROM f""")
+def parameter_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct units of each stream in the order they came in: event types of users."""
+    return channels.parameter_sets(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], "event_type")
+
+
+@query("""
+WITH r AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'frame_count' WHEN 1 THEN 'tolerance' WHEN 2 THEN 'time_base' END AS reason FROM orders)
+SELECT o_orderkey, CASE WHEN reason IS NULL THEN 'ok' ELSE 'out_of_sync' END AS strict, CASE WHEN reason IS NULL THEN 'ok' ELSE 'warned' END AS warn, CASE WHEN reason IS NULL THEN 'ok' WHEN reason = 'frame_count' THEN 'trimmed' ELSE 'out_of_sync' END AS trim FROM r""")
+def sync_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    reason = F.when(k == 0, "frame_count").when(k == 1, "tolerance").when(k == 2, "time_base")
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[align.apply_policy(reason, p).alias(p) for p in ("strict", "warn", "trim")])
+
+
+@query("""
+WITH n AS (SELECT r_name AS path, '' AS value FROM region UNION ALL SELECT r_name || '/' || n_name, '' FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT r_name || '/' || n_name || '/' || c_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+h AS (SELECT path FROM n WHERE contains(lower(path || ' ' || value), 'build'))
+SELECT path, value FROM n WHERE path IN (SELECT path FROM h) OR EXISTS (SELECT 1 FROM h WHERE starts_with(h.path, n.path || '/'))""")
+def tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers below nations below regions: those with a word in path or value, and the nodes above them."""
+    r, n, c = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    nations = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select("n_nationkey", F.concat_ws("/", "r_name", "n_name").alias("path"))
+    people = c.join(nations, c["c_nationkey"] == nations["n_nationkey"]).select(F.concat_ws("/", "path", "c_name").alias("path"), F.col("c_mktsegment").alias("value"))
+    nodes = r.select(F.col("r_name").alias("path"), F.lit("").alias("value")).unionByName(nations.select("path", F.lit("").alias("value"))).unionByName(people)
+    return library.keep_with_ancestors(nodes, "build")
+
+
+@query("""
+SELECT 'Event ' || event_type AS topic, event_type, count(*) AS n FROM events GROUP BY event_type""")
+def stream_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as a stream, each twice, without repeats; written and counted."""
+    from reelspan.streaming import sessions as streams
+
+    source = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(source).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = stream.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    at = scratch(spark, "stream")
+    out = streams.distinct(twice, ["event_id"], "ts")
+    out.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(out.schema).parquet(f"{at}/rows")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n")).select(F.concat(F.lit("Event "), "event_type").alias("topic"), "event_type", "n")

@@ -6,6 +6,7 @@ Tables of them are read by Spark with explicit schemas; one document of one fold
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -14,9 +15,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reelspan.sinks.staging import OutputExists, publish
+
 #: The names of documents in a folder, and the largest frame rate.
 SESSIONS, FPS, SIDECAR, LARGEST_FPS = "sessions.json", "session.json", ".metadata.json", 90_000
 OUTPUTS = "array<struct<topic:string,path:string,bytes:long,frames:long,duration_s:double,width:int,height:int,co64:boolean,audio:array<struct<samples:long,gaps:long,offset_to_video_ms:double>>>>"
+#: The fields of a manifest's record.
 MANIFEST = f"source string, status string, outputs {OUTPUTS}, warnings array<struct<topic:string,code:string,message:string>>, error_code string, error string, source_bytes long, elapsed_s double, mb_per_s double, fps_used double, time_source string, topics map<string,long>, verify map<string,struct<quick:boolean,payload_matches_source:boolean>>, sidecar string"
 
 
@@ -33,27 +37,44 @@ def replace(path: str, text: str) -> None:
     store.move(part, name)
 
 
+#: Where the segments of a manifest on a store that can't append lie: a folder of this name beside its place, one file a batch.
+SEGMENTS = ".segments"
+
+
 def read_manifest(spark: SparkSession, path: str, schema: str = MANIFEST) -> DataFrame:
-    """A manifest of one JSON object a line, with line, a number that rises along it. Lines that are no JSON or name no source are left out."""
-    lines = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k")).alias("line"))
+    """A manifest of one JSON object a line, with line, which rises along it: segments come after the file, in the order of their numbers. Lines that are
+    no JSON or name no source are left out."""
+    lines = None
+    for place, segment in ((path, F.lit(-1).cast("long")), (f"{path}{SEGMENTS}", F.regexp_extract("_metadata.file_name", r"^(\d+)", 1).cast("long"))):
+        store, name = _store(place)
+        if store.get_file_info(name).type != fs.FileType.NotFound:
+            found = spark.read.text(place).select("value", F.struct(segment.alias("segment"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k")).alias("line"))
+            lines = found if lines is None else lines.unionByName(found)
+    if lines is None:
+        raise FileNotFoundError(path)
     rows = lines.select("line", F.from_json("value", f"{schema}, __bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("r")).select("line", "r.*")
     return rows.where(F.col("__bad").isNull() & F.col("source").isNotNull()).drop("__bad")
 
 
-def append_manifest(path: str, records: list[dict]) -> None:
-    """Adds the records of one batch to a manifest, in order; one writer at a time. On stores that can't append, the file is written anew."""
+def append_manifest(path: str, records: list[dict], segmented: bool | None = None) -> None:
+    """Adds the records of one batch to a manifest, in order; one writer at a time. On a local disk they go to the end of the file and are on disk when
+    this returns. On stores that can't append (segmented) a batch is a file of its own in a folder beside it; nothing that is there is written again."""
     store, name = _store(path)
     text = "".join(json.dumps(r, ensure_ascii=False) + "\n" for r in records).encode()
-    if isinstance(store, fs.LocalFileSystem):
-        store.create_dir(name.rpartition("/")[0] or ".")
-        with store.open_append_stream(name) as out:
+    if not (isinstance(store, fs.LocalFileSystem) if segmented is None else not segmented):
+        store.create_dir(f"{name}{SEGMENTS}")
+        taken = [f.base_name for f in store.get_file_info(fs.FileSelector(f"{name}{SEGMENTS}"))]
+        number = max((int(t.split("-")[0]) for t in taken if t.split("-")[0].isdigit()), default=0) + 1
+        place = f"{name}{SEGMENTS}/{number:09d}-{uuid.uuid4().hex}.jsonl"
+        with store.open_output_stream(f"{name}{SEGMENTS}/.{number}.part") as out:  # hidden from readers until it is whole
             out.write(text)
+        store.move(f"{name}{SEGMENTS}/.{number}.part", place)
         return
-    old = b""
-    if store.get_file_info(name).is_file:
-        with store.open_input_stream(name) as file:
-            old = file.read()
-    replace(path, (old + text).decode())
+    store.create_dir(name.rpartition("/")[0] or ".")
+    with open(name, "ab") as out:
+        out.write(text)
+        out.flush()
+        os.fsync(out.fileno())
 
 
 def _json_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -120,6 +141,7 @@ def save_sessions(detected: DataFrame, overrides: dict[str, dict] | None = None)
     folders.foreachPartition(write)
 
 
+#: The fields of a sidecar that are read.
 SIDE = "source array<string>, session struct<id:string,index:int,count:int,merged:boolean>, video array<struct<topic:string,output:string,mp4:struct<duration_s:double>>>, audio array<string>"
 
 
@@ -134,23 +156,41 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_sidecars(rows: DataFrame) -> DataFrame:
-    """Writes rows (path, document: JSON text) as files, each in one move; path, written. A file that is there already is never replaced. Of rows with
-    one path the smallest document counts."""
+    """Writes rows (path, document: JSON text) as files; path, written. A file that is there already is never replaced. Of rows with one path the smallest
+    document counts.
+
+    Tasks write each document beside its place; the driver publishes those of the attempts that counted, each by a step that only one
+    of two racing writers can make on a local disk (staging.publish). So a repeated task never reports a file as another's."""
+    spark, run = rows.sparkSession, uuid.uuid4().hex
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = []
+            parts = []
             for path, text in zip(b["path"], b["document"]):
                 store, name = _store(path)
-                free = store.get_file_info(name).type == fs.FileType.NotFound
-                if free:
-                    replace(path, text)
-                done.append(free)
-            yield pd.DataFrame({"path": b["path"], "written": done})
-
-    return rows.groupBy("path").agg(F.min("document").alias("document")).mapInPandas(task, "path string, written boolean")
-
-
+                parts.append(f"{name}.{run}.{uuid.uuid4().hex}.part")
+                with store.open_output_stream(parts[-1]) as out:
+                    out.write(text.encode())
+            yield pd.DataFrame({"path": b["path"], "part": parts})
+
+    staged = rows.groupBy("path").agg(F.min("document").alias("document")).mapInPandas(task, "path string, part string")
+    done = []
+    for path, part in staged.collect():  # one short row a document
+        store, name = _store(path)
+        try:
+            publish(store, part, name)
+            done.append((path, True))
+        except OutputExists:
+            done.append((path, False))
+    for folder in {path.rpartition("/")[0] for path, _ in done}:
+        store, name = _store(folder)
+        for f in store.get_file_info(fs.FileSelector(name or ".")):
+            if f".{run}." in f.base_name:  # of this run: published ones' second names, losers, and attempts that didn't count
+                store.delete_file(f.path)
+    return spark.createDataFrame(done, "path string, written boolean")
+
+
+#: The fields of a playlist.
 PLAYLIST = "version int, play_mode string, items array<struct<title:string,parts:array<struct<cameras:map<string,string>,duration_s:double,has_audio:boolean>>,kind:string,source_files:array<string>>>, state struct<index:int,position_s:double,speed:double>"
 
 

@@ -2,9 +2,12 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from reelspan.operators import align, continuity, integrity, islands, library, playlist, report, sessions
+from reelspan.functions import timing
+from reelspan.operators import align, continuity, integrity, islands, library, playlist, profile, report, sessions
 from reelspan.sources import documents
 from reelspan.streaming import sessions as streams
 
@@ -110,6 +113,9 @@ def test_reports(spark, tmp_path):
     report.export_html(table, [("files", 2)], str(tmp_path / "r.html"))
     assert "<td>b&lt;</td>" in (tmp_path / "r.html").read_text() and "it&#x27;s &quot;bad&quot;" in (tmp_path / "r.html").read_text()
     report.write_csv(table, str(tmp_path / "csv"))
+    report.export_json(table, whole, str(tmp_path / "r.json"))
+    document = json.loads((tmp_path / "r.json").read_text())
+    assert list(document) == ["summary", "files"] and [f["source"] for f in document["files"]] == sorted(r[0] for r in table.select("source").collect()) and document["summary"]["files"] == 2
     report.write_json(table, whole, str(tmp_path / "json"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2 and spark.read.json(str(tmp_path / "json" / "files")).count() == 2
 
@@ -151,8 +157,7 @@ def test_small_expressions(spark):
     one = lambda *c: tuple(spark.range(1).select(*c).first())
     assert one(align.extrapolate(F.lit(10.0), F.lit(9.0), F.lit(2.0)), align.extrapolate(F.lit(10.0), F.lit(-1.0), F.lit(2.0)), align.extrapolate(F.lit(10.0), F.lit(0.25), F.lit(2.0))) == (11.2, 10.0, 10.5)
     assert one(continuity.usable_stamp(F.lit(0), F.lit(7)), continuity.usable_stamp(F.lit(None).cast("long"), F.lit(7)), continuity.usable_stamp(F.lit(3), F.lit(7)), continuity.whole_samples(F.lit(11), F.lit(4))) == (7, 7, 3, 2)
-    delays = continuity.av_offset(F.lit(100), F.lit(140), F.lit(0))
-    assert one(*delays) == (0, 40)
+    assert one(*continuity.delays(F.lit(-40))) == (0, 40) and one(*continuity.delays(F.lit(7))) == (7, 0)
     both = [F.lit(x) for x in (32, 0, 50, 10)]
     assert one(continuity.offset(*both, F.lit("payload_timestamp"), F.lit(0)), continuity.offset(*both, F.lit("log_time"), F.lit(5))) == (32, 45)
     topics = spark.createDataFrame([("x", "/a", "continuous", 1.0), ("x", "/b", "overlap", 0.2), ("y", "/a", "continuous", 1.0)], "k string, topic string, reason string, gap double")
@@ -185,12 +190,70 @@ def test_streams(spark, tmp_path):
     assert {"started", "progress", "terminated"} <= {e[0] for e in listener.events}
 
 
-def test_rules_of_samples(spark):
-    rows = [("good", 3, 9000, 3, 8, 38, 0), ("bad", 2, 0, 3, 4, 99, 1), ("nulls", None, None, None, None, None, None)]
-    df = spark.createDataFrame(rows, "f string, n long, duration long, n_offsets long, first_offset long, last_end long, uneven long")
-    rules = integrity.sample_rules(F.lit(30), F.lit(8), F.lit(40), F.lit(3))
+def test_rules(spark):
+    df = spark.createDataFrame([("good", 3, 3), ("bad", 2, -1), ("nulls", None, None)], "f string, n long, m long")
+    rules = {"differ": F.col("n") != F.col("m"), "negative": F.col("m") < 0, "many": F.col("n") > 5}
     got = {r.f: r.c for r in df.select("f", integrity.failed_rules(rules).alias("c")).collect()}
-    assert got == {"good": [], "bad": ["counts_differ", "frames_missing", "outside_data", "not_contiguous", "no_duration"], "nulls": []}
-    assert {tuple(r) for r in integrity.violations(df, rules).collect()} == {(k, int(k in got["bad"])) for k in rules}
-    t = spark.createDataFrame([("h264", 5, True), (None, 0, True), (None, None, True), (None, 5, False), (None, 5, True)], "c string, n long, r boolean")
-    assert [r[0] for r in t.select(integrity.triage(F.col("c"), F.col("n"), F.col("r"))).collect()] == ["unsupported_codec", "no_video_samples", "no_video_samples", "missing_parameter_sets", None]
+    assert got == {"good": [], "bad": ["differ", "negative"], "nulls": []}
+    assert {tuple(r) for r in integrity.violations(df, rules).collect()} == {("differ", 1), ("negative", 1), ("many", 0)}
+
+
+def test_sizes_round_ties_as_c_does(spark):
+    for n, one_place, two in ((1280, "1.2 KB", "1.25 KB"), (1792, "1.8 KB", "1.75 KB"), (1 << 20, "1.0 MB", "1.00 MB"), (1023, "1023 B", "1023 B"), (1029, "1.0 KB", "1.00 KB"), (5 << 40, "5.0 TB", "5.00 TB"), (1 << 53, "8192.0 TB", "8192.00 TB"), (0, "0 B", "0 B")):
+        assert one(spark, n, one_place, two)
+
+
+def one(spark, n, *texts):
+    c = F.lit(n).cast("long")
+    return tuple(spark.range(1).select(timing.human_size(c), timing.human_size(c, 2)).first()) == texts
+
+
+def test_racing_sidecars(spark, tmp_path, monkeypatch):
+    """Another writer comes between a task's document and its publishing: it wins, and this one says so."""
+    df = spark.createDataFrame([(f"{tmp_path}/a.json", "mine"), (f"{tmp_path}/b.json", "mine")], "path string, document string")
+    true_publish = documents.publish
+
+    def late(store, part, name):
+        if name.endswith("a.json"):
+            (tmp_path / "a.json").write_text("theirs")
+        true_publish(store, part, name)
+
+    monkeypatch.setattr(documents, "publish", late)
+    assert {r.path[-6:]: r.written for r in documents.write_sidecars(df).collect()} == {"a.json": False, "b.json": True}
+    assert (tmp_path / "a.json").read_text() == "theirs" and (tmp_path / "b.json").read_text() == "mine" and sorted(p.name for p in tmp_path.iterdir()) == ["a.json", "b.json"]
+
+
+def test_manifest_in_segments(spark, tmp_path):
+    path = f"{tmp_path}/m.jsonl"
+    documents.append_manifest(path, [{"source": "a", "status": "old"}])
+    for k in range(12):
+        documents.append_manifest(path, [{"source": "a", "status": f"s{k}"}, {"source": f"b{k}", "status": "x"}], segmented=True)
+    first = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "m.jsonl.segments").iterdir()}
+    documents.append_manifest(path, [{"source": "a", "status": "last"}], segmented=True)
+    now = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "m.jsonl.segments").iterdir() if p.name.endswith(".jsonl")}
+    assert len(now) == 13 and all(now[k] == v for k, v in first.items() if k.endswith(".jsonl"))  # nothing is written again
+    (tmp_path / "m.jsonl.segments" / ".14.part").write_text('{"source": "a", "status": "half')
+    rows = documents.read_manifest(spark, path)
+    assert rows.count() == 26 and rows.where("source = 'a'").agg(F.max_by("status", "line")).first()[0] == "last"
+    with pytest.raises(FileNotFoundError):
+        documents.read_manifest(spark, f"{tmp_path}/none")
+
+
+def test_audio_summary(spark):
+    rows = [("a", 1, 0, 1000), ("a", 2, 1_000_000_000, 0), ("a", 3, 3_000_000_000, 1000), ("a", 4, 3_500_000_000, 800), ("b", 1, 7, 500), ("c", 1, 9, 0)]
+    df = spark.createDataFrame(rows, "k string, i long, t long, n long")
+    for hot in (0, None):
+        got = {r.k: r.asDict(True) for r in continuity.summary(df, ["k"], ["t", "i"], "t", "n", 1000, hot=hot).collect()}
+        a = got["a"]
+        assert (a["messages"], a["samples"], a["source_samples"], a["first"], a["end"], a["duration_s"]) == (4, 4300, 2300, 0, 4_300_000_000, 4.3)
+        assert a["gap_list"] == [{"position_s": 1.0, "duration_ms": 2000.0, "filled": True}] and a["overlap_list"] == [{"position_s": 4.0, "duration_ms": 500.0}]
+        assert (a["gaps"], a["overlaps"], a["silence_samples"], a["trimmed_samples"], a["source_exact"]) == (1, 1, 2000, 500, False)
+        assert got["b"]["source_exact"] and got["b"]["gap_list"] == [] and (got["c"]["messages"], got["c"]["samples"], got["c"]["first"], got["c"]["end"]) == (1, 0, None, None)
+
+
+def test_diagnosis(spark):
+    rows = [("t", i, i * 100, b"x" * (i % 7) + b"yz", f"f{i % 3 if i < 90 else 0}") for i in range(100)] + [("u", 0, 5, None, None)]
+    got = {r.k: r for r in profile.diagnose(spark.createDataFrame(rows, "k string, i long, t long, d binary, f string"), ["k"], ["i"], "t", "d", "f", 1000).collect()}
+    t = got["t"]
+    assert (t.messages, t.smallest, t.largest, t.median_size, bytes(t.first_bytes), t.rate_hz) == (100, 2, 8, 5, b"yz", 10.0) and [tuple(x) for x in t.formats][0] == ("f0", 40)
+    assert got["u"].messages == 1 and got["u"].rate_hz is None and got["u"].smallest is None

@@ -114,6 +114,9 @@ def test_format_lock_ends_a_channel(spark):
     df = spark.createDataFrame([("a", 1, "s16"), ("a", 2, "s16"), ("a", 3, "f32"), ("a", 4, "s16"), ("b", 1, "f32"), ("c", 1, "s16")], "k string, i long, f string")
     got = sorted((x.k, x.i, x.error) for x in continuity.format_lock(df, ["k"], ["i"], "f", ["s16"]).collect())
     assert got == [("a", 1, "audio_format_changed"), ("a", 2, "audio_format_changed"), ("c", 1, None)]
+    df = spark.createDataFrame([("a", 1, "s16", 8), ("a", 2, "s16", 8), ("a", 3, "s16", 16), ("b", 1, "s16", None), ("b", 2, "s16", None), ("b", 3, None, None)], "k string, i long, f string, rate int")
+    got = sorted((x.k, x.i, x.error) for x in continuity.format_lock(df, ["k"], ["i"], "f", ["s16"], ("rate",)).collect())
+    assert got == [(k, i, "audio_format_changed") for k in "ab" for i in (1, 2)]
 
 
 def test_manifest_is_done_only_with_its_files(spark):
