@@ -94,3 +94,20 @@ def mcap_lz4(spark: SparkSession, sf_dir: str) -> DataFrame:
     mcap.register(spark)
     found = spark.read.format("mcap_messages").schema("topic string, sequence long, log_time_ns long, data binary").option("path", folder).load().where("topic = 'error'")
     return found.select(F.col("sequence").alias("event_id"), "topic", _us("log_time_ns").alias("us"), F.md5("data").alias("data"))
+
+
+@query(f"SELECT {_FILE}, event_type AS topic, count(*) AS messages, count(DISTINCT event_id) AS ids FROM events GROUP BY ALL")
+def growing_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings read as a stream of their folder, in two runs from one checkpoint: the second one finds nothing new."""
+    folder, at = _written(spark, sf_dir), scratch(spark, "stream")
+    mcap.register(spark)
+    columns = "file string, topic string, sequence long, error string"
+    stream = spark.readStream.format("mcap_messages").schema(columns).option("path", folder).load()
+    for _ in range(2):
+        run = stream.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").start()
+        try:
+            run.processAllAvailable()
+        finally:
+            run.stop()
+    rows = spark.read.schema(columns).parquet(f"{at}/rows").where("error is null")
+    return rows.groupBy(_bin(), "topic").agg(F.count("*").alias("messages"), F.count_distinct("sequence").alias("ids"))

@@ -8,7 +8,7 @@ The driver lists files and opens none. A partition is a range of a file, or seve
 once and takes the chunks that start in its range and touch the times asked for; the range at the start also takes the records
 between chunks, or all of a file without a valid index. Chunks become Arrow batches, a buffer for each column. A record that is cut short or
 a chunk that can't be unpacked ends its range with a row that has an error and no message.
-sources/mcap_index.py keeps the indexes of many files as a table.
+sources/mcap_index.py keeps the indexes of many files as a table, mcap_stream.py reads growing files as a stream.
 """
 
 from __future__ import annotations
@@ -500,7 +500,7 @@ class _Summary(_Reader):
         return index
 
 
-def _source(kind: str, columns: str, reader: type[_Reader]) -> type[DataSource]:
+def _source(kind: str, columns: str, reader: type[_Reader], streams: bool = False) -> type[DataSource]:
     class Source(DataSource):
         @classmethod
         def name(cls):
@@ -512,12 +512,19 @@ def _source(kind: str, columns: str, reader: type[_Reader]) -> type[DataSource]:
         def reader(self, schema):
             return reader(dict(self.options), schema.names)
 
+        if streams:
+
+            def streamReader(self, schema):
+                from .mcap_stream import McapStream
+
+                return McapStream(dict(self.options), schema.names)
+
     return Source
 
 
 MESSAGES = "file string, ordinal long, channel_id int, topic string, sequence long, log_time_ns long, publish_time_ns long, data binary, error string"
 SOURCES = [
-    _source("mcap_messages", MESSAGES, _Messages),
+    _source("mcap_messages", MESSAGES, _Messages, streams=True),
     _source("mcap_chunks", "file string, start_ns long, end_ns long, offset long, length long", _Chunks),
     _source("mcap_summary", "file string, channel_id int, topic string, message_encoding string, schema_name string, schema_encoding string, messages long, start_ns long, end_ns long, "
             "profile string, library string, attachments long, metadata long, chunks long, from_index boolean", _Summary),
