@@ -100,7 +100,8 @@ def test_mix(spark):
     of = frame(spark, rows).select(F.col("doc_id").alias("d"), "source").distinct()
     for x in got.join(of, F.col("doc_id") == F.col("d")).collect():
         assert x.target == pytest.approx(target[x.source]) and x.source_size == total[x.source]
-        assert 0 <= x.taken <= 3 * x.size and x.taken % max(x.size, 1) == 0
+        assert 0 <= x.taken <= 3 * x.size and x.taken == x.copies * x.size
+        assert x.copies in (math.floor(x.rate), math.ceil(x.rate))
     taken = {x.target: x.t for x in got.groupBy("target").agg(F.sum("taken").alias("t")).collect()}
     for s in order:
         words = taken[min(taken, key=lambda v: abs(v - target[s]))]
@@ -108,6 +109,18 @@ def test_mix(spark):
     assert plain(got, "doc_id", "taken") == plain(mixing.mix(frame(spark, rows).repartition(7)), "doc_id", "taken")
 
 
+def test_mix_of_a_table(spark):
+    """Copies stay beside their rates, and words beside their targets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    assert all(x.copies in (math.floor(x.rate), math.ceil(x.rate)) for x in rows)
+    words = {}
+    for x in rows:
+        words[x.source] = words.get(x.source, 0) + x.taken
+    off = {x.source: abs(words[x.source] - x.target) / x.target for x in rows}
+    assert len(off) > 10 and max(off.values()) <= 0.02, off
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
