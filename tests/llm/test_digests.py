@@ -279,3 +279,25 @@ def test_empty_pages(spark, tokenizer):
     assert warc.read_warc(warc.write_warc(pages, warc.archive_folder(spark))).collect() == []
     assert url_filter.filter_urls(pages, pages.selectExpr("url AS key")).collect() == []
     assert bpe.round_trip(frame(spark, []), *tokenizer[:2]).collect() == []
+
+
+def test_copies_over_many_partitions(spark):
+    """A group that lies in all partitions, ids repeated across their edges, and runs that end at them."""
+    rows = [(i % 700, "a b" + " " * (i % 3), "en", "web") for i in range(1500)] + [(i, f"t{i // 2}", "en", "web") for i in range(3000, 3400)] + [(None, "ab", "en", "web"), (5, None, "en", "web")]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = exact_dedup.exact_dedup(frame(spark, rows)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    groups = {}
+    for x in got:
+        groups.setdefault(x.text_sha256, []).append(x)
+    assert len(got) == len(rows) and len(groups) == 202
+    for sha, g in groups.items():
+        assert {x.group_size for x in g} == {len(g)} and sum(x.kept for x in g) == 1 and len({x.keep_id for x in g}) == 1
+        assert all(x.doc_id == x.keep_id for x in g if x.kept)
+    large = groups[hashlib.sha256(b"ab").hexdigest()]
+    assert len(large) == 1501 and large[0].keep_id == min(i for i, t, *_ in rows if t and len(t) == 5)
