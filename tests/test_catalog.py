@@ -1,4 +1,4 @@
-"""Each named query against its SQL in DuckDB, on the smallest tables."""
+"""Each named query against its SQL in DuckDB."""
 
 import duckdb
 import pytest
@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__
 from reelspan.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents pages conversations labels".split()
 
 

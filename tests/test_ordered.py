@@ -11,9 +11,9 @@ from reelspan.operators import align, islands, ordered, profile
 
 @pytest.fixture
 def blocks(spark):
-    """Eight blocks, however small the rows are."""
+    """Five blocks, however small the rows are."""
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield spark
     for k, v in before.items():
@@ -47,7 +47,7 @@ def same(a, b):
 def test_scan_equals_plain_lists(blocks, keys):
     rows = rows_of(keys)
     scan = ordered.Ordered(frame(blocks, rows), ["k"], ["t", "i"], 0)
-    assert scan.df.select("__block").distinct().count() > 4
+    assert scan.df.select("__block").distinct().count() > 3
     scan.neighbour("v", "before", -1, "first").neighbour("v", "after", 1, "last")
     scan.running(total=("sum", F.col("v")), any=("any", F.col("late")), high=("max", F.col("v")), low=("min", F.col("v")), filled=("last", F.col("v")))
     got = {r.i: r for r in scan.running(before=True, ahead=("sum", F.lit(1)), was=("last", F.col("v"))).rows().collect()}
@@ -62,9 +62,8 @@ def test_scan_equals_plain_lists(blocks, keys):
             assert r.was == next((x[3] for x in reversed(own[:n]) if x[3] is not None), None)
 
 
-@pytest.mark.parametrize("keys", [ONE, MANY])
-def test_operators_over_blocks(blocks, keys):
-    df, by = frame(blocks, rows_of(keys, seed=2)), (["k"], ["t", "i"])
+def test_operators_over_blocks(blocks):
+    df, by = frame(blocks, rows_of([7, 7, 7, 7, 7, None], 250, seed=2)).cache(), (["k"], ["t", "i"])
     for f in (
         lambda h: islands.runs(df, *by, "v", hot=h), lambda h: islands.run_starts(df, *by, "v", hot=h), lambda h: islands.fill_forward(df, *by, "v", hot=h),
         lambda h: islands.groups_of_pictures(df, *by, F.col("key"), hot=h), lambda h: islands.drop_leading(df, *by, F.col("key"), F.col("late"), hot=h),
@@ -95,7 +94,7 @@ def test_runs_and_groups_against_lists(blocks):
     assert [r.n for r in islands.groups_of_pictures(df, ["k"], ["t", "i"], F.col("key"), hot=0).orderBy("gop").collect()] == gops
 
 
-@pytest.mark.parametrize("scale", [1, 1 << 20, 1 << 44])
+@pytest.mark.parametrize("scale", [1, 1 << 44])
 def test_selected_medians(blocks, scale):
     r = random.Random(scale)
     values = {1: [r.randrange(-(5**9), 5**9) * scale // 7 for _ in range(501)], 2: [3] * 400, None: [r.choice([1, 2, 70_000]) * scale for _ in range(400)], 4: [1, 2], 5: [None, None]}
