@@ -5,8 +5,8 @@ sets that hold them, then by hash. Documents are dealt into chunks of some megab
 hashes for these counts. Shards tell shingles apart by 32 bits, which may raise a count, alike for all chunks.
 CUTS divides this order into fragments, and each class's set into segments, one for each fragment; shingles of one set only meet
 nothing and are left out. Two classes that are similar enough share a shingle among the first of both (a fifth of each
-set), so candidates meet in the buckets of these; two bitmaps of hashed shingles bound a pair's difference from below
-and drop what cannot be similar. Then each fragment's segments meet in tasks of their own that count the
+set), so candidates meet in the buckets of these; two bitmaps of the parity of hashed shingles bound a pair's difference from
+below and drop what cannot be similar. Then each fragment's segments meet in tasks of their own that count the
 partial overlap, and the counts are summed per pair.
 Links are sought only between classes that aren't connected yet: first each class meets its neighbours in its buckets, in an
 order that changes each round, and the links found are contracted at once; once few pairs of differently labelled classes are left,
@@ -77,9 +77,12 @@ class Part:
         self.key = _keys(self.all, self.n)
 
     def bitmaps(self) -> np.ndarray:
-        bits = np.zeros((len(self.n), BITMAP), bool)
-        bits[self.doc, (_mix(self.all) % _U(BITMAP)).astype(np.int64)] = True
-        return np.packbits(bits, axis=1)
+        """Whether an odd number of a set's shingles falls on each bit. What two sets share cancels out, however large they are."""
+        places = self.doc * BITMAP + (_mix(self.all) % _U(BITMAP)).astype(np.int64)
+        odd = np.zeros(len(self.n) * BITMAP, bool)
+        hit, count = np.unique(places, return_counts=True)
+        odd[hit[count % 2 == 1]] = True
+        return np.packbits(odd.reshape(-1, BITMAP), axis=1)
 
     def segments(self, level: np.ndarray, wanted: np.ndarray) -> list[list[bytes] | None]:
         """Each wanted set's shingles that other sets hold, too, by fragment of the global order; None for other sets."""
