@@ -10,7 +10,8 @@ below and drop what cannot be similar. Then each fragment's segments meet in tas
 partial overlap, and the counts are summed per pair.
 Links are sought only between classes that aren't connected yet: first each class meets its neighbours in its buckets, in an
 order that changes each round, and the links found are contracted at once; once few pairs of differently labelled classes are left,
-they are all compared, first the closest pair of any two components, then those that are still apart. So large
+each component's closest pair of each bucket is compared, and the links found are contracted again; then all pairs that are still apart
+are, first the closest of any two components. So large
 groups of near copies never turn into all their pairs, and no link between components is lost.
 """
 
@@ -235,9 +236,10 @@ def _meet(percent: int, keep: bool):
     return task
 
 
-def _cross(percent: int):
-    """Over rows sorted by block: the pairs of a block with different labels whose sizes and bitmaps allow a link. A pair that meets in
-    several buckets is put out in the smallest alone, if that is among the leading ones of both classes, and else in some of them."""
+def _cross(percent: int, closest: bool):
+    """Over rows sorted by block: the pairs of a block with different labels whose sizes and bitmaps allow a link; closest: of each label's
+    pairs only the closest, so at most one for each label. A pair that meets in several buckets is put out in the smallest alone, if that is
+    among the leading ones of both classes, and else in some of them."""
 
     def pairs(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         _, at = np.unique(c["k"], return_index=True)
@@ -245,10 +247,17 @@ def _cross(percent: int):
         k, n, label, side, leading = (c[f][at] for f in ("k", "n", "label", "side", "leading"))
         s = c["s"][0]
         bits = np.frombuffer(b"".join(c["bits"][at]), np.uint64).reshape(len(at), -1)
+
+        def rows(i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+            x, y = np.where(label[j] < label[i], j, i), np.where(label[j] < label[i], i, j)  # the smaller label first
+            return np.stack([k[x], k[y], label[x], label[y], apart])
+
         upto = np.searchsorted(n, n.astype(np.int64) * 100 // percent, side="right")
         held, size, names = [], 0, ["x", "y", "lx", "ly", "apart"]
-        two = c["two"][0]
-        for i in range(len(k)):
+        two, m = c["two"][0], len(k)
+        names_of, of = np.unique(label, return_inverse=True)
+        best = np.full(len(names_of), np.iinfo(np.int64).max)  # each label's closest pair: bits apart, then places of both in the block
+        for i in range(m):
             j = np.arange(i + 1, upto[i])
             j = j[(label[j] != label[i]) & (not two or side[j] != side[i])]
             if len(j):
@@ -259,13 +268,19 @@ def _cross(percent: int):
             if len(j) and len(before):
                 ok = ~np.isin(leading[j], before).any(1)
                 j, apart = j[ok], apart[ok]
-            if len(j):
-                x, y = np.where(label[j] < label[i], j, i), np.where(label[j] < label[i], i, j)  # the smaller label first
-                held.append(np.stack([k[x], k[y], label[x], label[y], apart]))
+            if len(j) and closest:
+                code = (apart * m + i) * m + j
+                np.minimum.at(best, of[j], code)
+                best[of[i]] = min(best[of[i]], code.min())
+            elif len(j):
+                held.append(rows(np.full(len(j), i), j, apart))
                 size += len(j)
             if size > 100_000:
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(held, 1))), names)
                 held, size = [], 0
+        code = np.unique(best[best < np.iinfo(np.int64).max])
+        if len(code):
+            held.append(rows(code // m % m, code % m, code // (m * m)))
         if held:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, np.concatenate(held, 1))), names)
 
@@ -441,9 +456,9 @@ class Join:
         unstash(rows)
         return left
 
-    def cross(self, rows: DataFrame) -> DataFrame:
-        """Pairs of a bucket with different labels that may link, and how many bits they are apart; the rows of a bucket are dealt into slots of
-        at most about `hot`, which meet two by two."""
+    def cross(self, rows: DataFrame, closest: bool = False) -> DataFrame:
+        """Pairs of a bucket with different labels that may link, or each label's closest of them, and how many bits they are apart; the rows of a
+        bucket are dealt into slots of at most about `hot`, which meet two by two."""
         slots = rows.groupBy("s").agg(F.ceil(F.count("*") / self.hot).cast("int").alias("slots"))
         rows = rows.drop("slots").join(slots, "s")
         own = F.pmod(F.xxhash64("k"), F.col("slots")).cast("int")
@@ -454,7 +469,7 @@ class Join:
         rows = rows.join(self.classes.select("k", "bits"), "k").join(leading, "k").select(*rows.columns, "bits", "leading")
         # a block of two slots also gets, from either, the rows that meet the other slot's
         rows = rows.repartition("s", "lo", "hi").sortWithinPartitions("s", "lo", "hi")
-        return rows.mapInArrow(_cross(self.percent), "x long, y long, lx long, ly long, apart long")
+        return rows.mapInArrow(_cross(self.percent, closest), "x long, y long, lx long, ly long, apart long")
 
     def links(self) -> DataFrame:
         """Labels (k, label) of all classes that link with another one."""
@@ -470,15 +485,29 @@ class Join:
             self.join(self.best(self.meet(rows, turn, False)), self.many)
             rows = self.open(rows)
         if not rows.isEmpty():
-            close = stash(self.cross(rows).distinct())
-            left = close.count()
-            chosen = gathered(close.groupBy("lx", "ly").agg(F.min_by(F.struct("x", "y"), F.struct("apart", "x", "y")).alias("p")).select("p.x", "p.y"), left)
-            self.join(chosen, left)
+            found, done = self.compare(rows, True)
+            rows = self.open(rows)
+            if not rows.isEmpty():
+                self.compare(rows, False, done)
+            unstash(found)
+        return self.labels
+
+    def compare(self, rows: DataFrame, closest: bool, done: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Joins what links of the pairs of cross() but those done (a, b: in order): first the closest pair of any two labels and, unless only
+        each label's closest are asked for, the others that are still apart. Gives the written pairs, and those compared first."""
+        pairs = self.cross(rows, closest)
+        if done is not None:
+            pairs = pairs.join(done, (F.least("x", "y") == F.col("a")) & (F.greatest("x", "y") == F.col("b")), "left_anti")
+        close = stash(pairs.distinct())
+        left = close.count()
+        chosen = gathered(close.groupBy("lx", "ly").agg(F.min_by(F.struct("x", "y"), F.struct("apart", "x", "y")).alias("p")).select("p.x", "p.y"), left)
+        self.join(chosen, left)
+        if not closest:
             rest = close.select("x", "y").join(chosen, ["x", "y"], "left_anti")
             rest = gathered(self.label(self.label(rest, "x", "lx"), "y", "ly").where("lx <> ly").select("x", "y"), left)
             if not rest.isEmpty():
                 self.join(rest, left)
-        return self.labels
+        return close, chosen.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, hot: int = HOT, members: int = MEMBERS) -> DataFrame:

@@ -174,3 +174,27 @@ def test_pairs_leave_their_smallest_common_bucket(spark, monkeypatch, leading):
     got = [(x.x, x.y) for x in j.cross(rows).collect()]
     assert set(got) == want and want
     assert len(got) == len(want) or leading < 1_000
+
+
+def test_each_labels_closest_pair_of_a_block():
+    """Of all pairs of the blocks, the closest of each label; several batches, two labels of several classes."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    names = ["s", "lo", "hi", "k", "n", "label", "side", "two", "bits", "leading"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int64())]
+    base = r.integers(0, 256, 256, np.uint8)
+    rows = []
+    for s in (1, 2, 3):
+        for k in r.permutation(40)[:25].tolist():
+            own = base.copy()
+            own[r.integers(0, 256, 8)] ^= np.uint8(k + 1)
+            rows.append((s, 0, 0, k, 1_000, k // 3, 0, False, own.tobytes(), [s] * 2))
+    table = pa.table([pa.array(v, t) for v, t in zip(zip(*rows), types)], names=names)
+    for step in (7, 100):
+        both = [[tuple(x.values()) for b in jaccard_join._cross(80, closest)(iter(table.to_batches(step))) for x in b.to_pylist()] for closest in (False, True)]
+        every, some = map(set, both)
+        assert some < every and len(some) <= len({(s, label) for s, _, _, _, _, label, *_ in rows})
+        near = {label: min(p[4] for p in every if label in p[2:4]) for label in {x for p in every for x in p[2:4]}}
+        assert near == {label: min(p[4] for p in some if label in p[2:4]) for label in near}
