@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import Ordered
+
 #: Schema names and message encodings of the channels that can be read.
 VIDEO_SCHEMAS = {("foxglove.CompressedVideo", "protobuf"): "foxglove", ("sensor_msgs/msg/CompressedImage", "cdr"): "ros2", ("sensor_msgs/CompressedImage", "cdr"): "ros2"}
 AUDIO_SCHEMAS = {("foxglove.RawAudio", "protobuf"): "foxglove"}
@@ -44,23 +46,23 @@ def codec_flag(frames: DataFrame, keys: list[str], order: list[str], fmt: str =
     return rows.where(ok).withColumn("error", F.when(F.col("__end").isNotNull(), UNSUPPORTED)).drop("__end")
 
 
-def stream_stats(frames: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """keys, frames, keyframes, dropped_leading, gop_min, gop_max of H.265 frames (is_key, has_vps, has_sps, has_pps).
+def stream_stats(frames: DataFrame, keys: list[str], order: list[str], hot: int | None = None) -> DataFrame:
+    """keys, frames, keyframes, dropped_leading, gop_min, gop_max of H.265 frames (is_key, has_vps, has_sps, has_pps; null is false).
 
     Frames before the first key frame at which all three parameter sets have been seen, the frame's own ones included, are dropped; the last
-    group of pictures is open and doesn't count. A channel whose sets never come has no frames. A channel is ordered in one window.
+    group of pictures is open and doesn't count. A channel whose sets never come has no frames. One scan in order; hot: see ordered.Ordered. Only
+    one row for each group of pictures is looked at by channel.
     """
-    first = {s: F.min(F.when(F.col(f"has_{s}"), F.struct(*order))).alias(f"__{s}") for s in ("vps", "sps", "pps")}
-    starts = frames.groupBy(*keys).agg(*first.values()).withColumn("__ready", F.when(F.col("__vps").isNotNull() & F.col("__sps").isNotNull() & F.col("__pps").isNotNull(), F.greatest("__vps", "__sps", "__pps")))
-    rows = frames.join(starts.select(*keys, "__ready"), keys)
-    begin = rows.where(F.col("is_key") & (F.struct(*order) >= F.col("__ready"))).groupBy(*keys).agg(F.min(F.struct(*order)).alias("__begin"))
-    rows = rows.join(begin, keys, "left").withColumn("__on", F.coalesce(F.struct(*order) >= F.col("__begin"), F.lit(False)))
-    island = F.sum((F.col("__on") & F.col("is_key")).cast("long")).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    groups = rows.withColumn("__gop", island).groupBy(*keys, "__gop").agg(
-        F.count_if("__on").alias("n"), F.count_if(F.col("__on") & F.col("is_key")).alias("k"), F.count_if(~F.col("__on")).alias("d"))
+    kinds = ("vps", "sps", "pps")
+    key = F.coalesce("is_key", F.lit(False))
+    scan = Ordered(frames, keys, order, hot).running(**{f"__{s}": ("any", F.col(f"has_{s}")) for s in kinds})
+    # sets once seen stay seen, so the first ready key frame begins group 1, each later key frame the next one
+    rows = scan.running(__gop=("sum", (key & F.col("__vps") & F.col("__sps") & F.col("__pps")).cast("long"))).rows()
+    on = F.col("__gop") > 0
+    groups = rows.groupBy(*keys, "__gop").agg(F.count_if(on).alias("__n"), F.count_if(on & key).alias("__k"), F.count_if(~on).alias("__d"))
     groups = groups.withColumn("__last", F.max("__gop").over(Window.partitionBy(*keys)))
-    closed = F.when((F.col("__gop") > 0) & (F.col("__gop") < F.col("__last")), F.col("n"))
-    return groups.groupBy(*keys).agg(F.sum("n").alias("frames"), F.sum("k").alias("keyframes"), F.sum("d").alias("dropped_leading"), F.min(closed).alias("gop_min"), F.max(closed).alias("gop_max"))
+    closed = F.when(on & (F.col("__gop") < F.col("__last")), F.col("__n"))
+    return groups.groupBy(*keys).agg(F.sum("__n").alias("frames"), F.sum("__k").alias("keyframes"), F.sum("__d").alias("dropped_leading"), F.min(closed).alias("gop_min"), F.max(closed).alias("gop_max"))
 
 
 def parameter_sets(units: DataFrame, keys: list[str], order: list[str], unit: str = "unit") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .align import numbered
+from .ordered import Ordered
+
 #: Play modes.
 MODES = ("sequential", "repeat", "shuffle")
 
@@ -25,27 +28,27 @@ def step(index: Column, n: Column, mode: str, forward: bool = True, seed: int =
     return F.when(n == 0, None).when(index + 1 < n, index + 1).otherwise(end)
 
 
-def previous_played(plays: DataFrame, keys: list[str], order: list[str], index: str) -> DataFrame:
-    """plays with back: the entry that was played before this one, which shuffle goes back to; null for the first."""
-    return plays.withColumn("back", F.lag(index).over(Window.partitionBy(*keys).orderBy(*order)))
+def previous_played(plays: DataFrame, keys: list[str], order: list[str], index: str, hot: int | None = None) -> DataFrame:
+    """plays with back: the entry that was played before this one, which shuffle goes back to; null for the first. hot: see ordered.Ordered."""
+    return Ordered(plays, keys, order, hot).neighbour(index, "back").rows()
 
 
-def _numbered(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return rows.withColumn("pos", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long")).drop("__o", "__t")
+def _numbered(rows: DataFrame, keys: list[str], order: list[str], hot: int | None) -> DataFrame:
+    return numbered(rows, keys, order, "__n", hot).withColumn("pos", F.col("__n")).drop("__n", "__o", "__t")
 
 
-def insert(items: DataFrame, new: DataFrame, keys: list[str], at: str = "at") -> DataFrame:
+def insert(items: DataFrame, new: DataFrame, keys: list[str], at: str = "at", hot: int | None = None) -> DataFrame:
     """items with each of new (keys, item, at) before the entry at that place; null or too large a place is the end, too small a one the start. Entries
-    for one place come in the order of their items."""
+    for one place come in the order of their items. hot: see ordered.Ordered."""
     old = items.withColumn("__o", F.col("pos")).withColumn("__t", F.lit(1))
     place = F.greatest(F.coalesce(F.col(at), F.lit((1 << 62))), F.lit(0)).cast("long")
     rows = old.unionByName(new.withColumn("__o", place).withColumn("__t", F.lit(0)).drop(at), allowMissingColumns=True)
-    return _numbered(rows, keys, ["__o", "__t", "item"])
+    return _numbered(rows, keys, ["__o", "__t", "item"], hot)
 
 
-def remove(items: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    """items without the places of gone (keys, pos); places that aren't there change nothing."""
-    return _numbered(items.join(gone.select(*keys, "pos"), [*keys, "pos"], "left_anti"), keys, ["pos"])
+def remove(items: DataFrame, gone: DataFrame, keys: list[str], hot: int | None = None) -> DataFrame:
+    """items without the places of gone (keys, pos); places that aren't there change nothing. hot: see ordered.Ordered."""
+    return _numbered(items.join(gone.select(*keys, "pos"), [*keys, "pos"], "left_anti"), keys, ["pos"], hot)
 
 
 def move(items: DataFrame, moves: DataFrame, keys: list[str]) -> DataFrame:

@@ -157,17 +157,21 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
 
 def write_sidecars(rows: DataFrame) -> DataFrame:
     """Writes rows (path, document: JSON text) as files; path, written. A file that is there already is never replaced. Of rows with one path the smallest
-    document counts.
+    document counts. Folders that aren't there are made.
 
     Tasks write each document beside its place; the driver publishes those of the attempts that counted, each by a step that only one
     of two racing writers can make on a local disk (staging.publish). So a repeated task never reports a file as another's."""
     spark, run = rows.sparkSession, uuid.uuid4().hex
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = set()
         for b in batches:
             parts = []
             for path, text in zip(b["path"], b["document"]):
                 store, name = _store(path)
+                if "/" in name and (folder := name.rsplit("/", 1)[0]) not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
                 parts.append(f"{name}.{run}.{uuid.uuid4().hex}.part")
                 with store.open_output_stream(parts[-1]) as out:
                     out.write(text.encode())

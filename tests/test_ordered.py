@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from reelspan.operators import align, islands, ordered, profile
+from reelspan.operators import align, channels, islands, ordered, playlist, profile
 
 
 @pytest.fixture
@@ -117,3 +117,42 @@ def test_median_period_of_a_hot_key(blocks):
     for hot in (0, None):
         assert {x.k: x.period for x in profile.median_period(df, ["k"], ["t", "i"], "t", hot).collect()} == want
     assert profile.median_period(df.limit(0), ["k"], ["t", "i"], "t").count() == 0
+
+
+def test_stream_stats_in_blocks(blocks):
+    """One channel of 600 frames over five blocks, one whose sets never come, one of null flags; against a walk."""
+    r = random.Random(5)
+    rows = [("hot", i, *(r.random() < p for p in (0.2, 0.05, 0.05, 0.05))) for i in range(600)] + [("none", i, True, True, False, True) for i in range(9)] + [(None, i, None, True, True, None) for i in range(3)]
+    df = blocks.createDataFrame(rows, "k string, t long, is_key boolean, has_vps boolean, has_sps boolean, has_pps boolean")
+    expected = {}
+    for k in ("hot", "none", None):
+        seen, groups, dropped = [False] * 3, [], 0
+        for _, _, key, *sets in [x for x in rows if x[0] == k]:
+            seen = [a or bool(b) for a, b in zip(seen, sets)]
+            if key and all(seen):
+                groups.append(0)
+            if groups:
+                groups[-1] += 1
+            else:
+                dropped += 1
+        closed = groups[:-1]
+        expected[k] = (sum(groups), len(groups), dropped, min(closed, default=None), max(closed, default=None))
+    for hot in (0, None):
+        got = {x.k: tuple(x)[1:] for x in channels.stream_stats(df, ["k"], ["t"], hot).collect()}
+        assert got == expected and got["hot"][1] > 50
+
+
+def test_playlists_in_blocks(blocks):
+    """A list of 300 entries over five blocks: inserted into, removed from, and what was played before."""
+    items = [f"i{n}" for n in range(300)]
+    df = blocks.createDataFrame([("l", n, x) for n, x in enumerate(items)], "k string, pos long, item string")
+    new = blocks.createDataFrame([("l", f"n{n}", n * 7) for n in range(60)], "k string, item string, at long")
+    gone = blocks.createDataFrame([("l", n * 3) for n in range(200)], "k string, pos long")
+    order = lambda d: [x.item for x in d.orderBy("pos").collect()]
+    places = sorted([(n, 1, x) for n, x in enumerate(items)] + [(n * 7, 0, f"n{n}") for n in range(60)])
+    for hot in (0, None):
+        put = playlist.insert(df, new, ["k"], hot=hot)
+        assert order(put) == [x for _, _, x in places] and sorted(x.pos for x in put.collect()) == list(range(360))
+        assert order(playlist.remove(df, gone, ["k"], hot)) == [x for n, x in enumerate(items) if n % 3]
+        back = {x.pos: x.back for x in playlist.previous_played(df, ["k"], ["pos"], "item", hot).collect()}
+        assert back == {n: items[n - 1] if n else None for n in range(300)}
