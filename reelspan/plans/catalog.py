@@ -369,7 +369,7 @@ def stream_session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    from reelspan.plans import lists, more, recordings  # noqa: F401 (they register their queries)
+    from reelspan.plans import lists, messages, more, recordings  # noqa: F401 (they register their queries)
 
     return dict(QUERIES)
 
