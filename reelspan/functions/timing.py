@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 #: Fixed value: from here on (2000-01-01 UTC) nanoseconds count as absolute; smaller ones are relative to a boot.
 ABSOLUTE_NS = 946_684_800_000_000_000
-#: Playback rates in order, and MP4 ticks of a second and of a lone frame.
+#: Playback rates in order, MP4 ticks of a second and of a lone frame, and units of sizes in powers of 1024.
 RATES = (0.25, 0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 4.0)
 TICKS, LONE_FRAME = 90_000, 3_000
+UNITS = ("KB", "MB", "GB", "TB")
 
 
 def epoch_us(ts: Column) -> Column:
@@ -47,12 +48,13 @@ def position(ms: Column, millis: bool = False) -> Column:
     return F.concat(text, F.lit("."), F.lpad(F.floor(ms % 1000).cast("string"), 3, "0")) if millis else text
 
 
-def human_size(n: Column, places: int = 1) -> Column:
-    """Bytes in B, KB, MB, GB or TB, with decimals from KB on. Ties round half-even, as in C; format_string alone would round them up."""
-    part = lambda power: F.format_string(f"%.{places}f", F.bround(n / 1024.0**power, places))
-    out = F.concat(part(4), F.lit(" TB"))
-    for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
-        out = F.when(n < 1024 ** (power + 1), F.concat(part(power), F.lit(f" {unit}"))).otherwise(out)
+def human_size(n: Column, places: int = 1, last: str = "TB") -> Column:
+    """Bytes in B, KB, MB, GB or TB, no unit beyond `last`, with decimals from KB on. Ties round half-even, as in C; format_string alone would round them up."""
+    units = UNITS[: UNITS.index(last) + 1]
+    part = lambda power: F.concat(F.format_string(f"%.{places}f", F.bround(n / 1024.0**power, places)), F.lit(f" {units[power - 1]}"))
+    out = part(len(units))
+    for power in range(len(units) - 1, 0, -1):
+        out = F.when(n < 1024 ** (power + 1), part(power)).otherwise(out)
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(out)
 
 

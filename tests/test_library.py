@@ -203,6 +203,12 @@ def test_sizes_round_ties_as_c_does(spark):
         assert one(spark, n, one_place, two)
 
 
+def test_sizes_up_to_a_unit(spark):
+    c = F.lit(3 << 20).cast("long")
+    got = spark.range(1).select(timing.human_size(c, last="KB"), timing.human_size(c, last="MB"), timing.human_size(c * 1024, 2, "MB"), timing.human_size(F.lit(7), last="KB")).first()
+    assert tuple(got) == ("3072.0 KB", "3.0 MB", "3072.00 MB", "7 B")
+
+
 def one(spark, n, *texts):
     c = F.lit(n).cast("long")
     return tuple(spark.range(1).select(timing.human_size(c), timing.human_size(c, 2)).first()) == texts
