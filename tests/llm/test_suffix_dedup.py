@@ -1,9 +1,11 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelspan.llm import suffix_dedup
 
@@ -75,3 +77,26 @@ def test_repeated_rows_nulls_and_empty(spark):
     got = suffix_dedup.remove_repeats(df).select("doc_id", "n_removed", "n_spans").collect()
     assert sorted(map(tuple, got), key=str) == [(1, 0, 0), (None, 600, 1), (None, 600, 1)]
     assert suffix_dedup.remove_repeats(df.limit(0)).collect() == []
+
+
+def test_rows_of_one_context_are_dealt_to_many_tasks(spark):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    passage = "".join(random.Random(7).choice("abcdefgh ") for _ in range(1000))
+    texts = [(k if k % 9 else None, passage + f"{k % 5}" * 3) for k in range(300)] + [(k, passage[:700] + f"{k}") for k in range(300, 310)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    try:
+        for k, v in zip(kept, ("false", "-1")):
+            spark.conf.set(k, v)
+        got = suffix_dedup.remove_repeats(df)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = [(k, 5, k % 7, 0, 9, 1, 2) for k in range(3000)] + [(None, 5, 1, 0, 9, 1, 2)] * 40 + [(k, 5, 3, 0, 9, 1, k) for k in range(3, 60)]
+        rows = spark.createDataFrame(rows, "id long, t int, a int, lo int, hi int, key long, context long")
+        contexts = rows.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "t", "a", "lo", "hi")).alias("r"))
+        each = [r["count"] for r in suffix_dedup._twice(rows, contexts).groupBy(F.spark_partition_id()).count().collect()]
+        want = brute([t.encode() for _, t in texts], 400)
+        assert sorted(tuple(r)[1:5] for r in got.collect()) == sorted(want)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert not re.search(r"hashpartitioning\(key#\d+L, context#\d+L, \d+\)", plan)
+    assert sum(each) == 3040 and max(each) < 3040 / 2
